@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tallywright.llm.licenses import op10_licenses
 from tallywright.llm.urls import OP3_SQL, op3_urls
 
-QUERIES = {"op3_urls": op3_urls}
+QUERIES = {"op3_urls": op3_urls, "op10_licenses": op10_licenses}
 SQL = {"op3_urls": OP3_SQL}
