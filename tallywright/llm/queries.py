@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.licenses import op10_licenses
+from tallywright.llm.packing import op9_packing
 from tallywright.llm.urls import OP3_SQL, op3_urls
 
-QUERIES = {"op3_urls": op3_urls, "op10_licenses": op10_licenses}
+QUERIES = {"op3_urls": op3_urls, "op8_fingerprints": op8_fingerprints, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 SQL = {"op3_urls": OP3_SQL}
