@@ -6,6 +6,13 @@ from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.licenses import op10_licenses
 from tallywright.llm.packing import op9_packing
 from tallywright.llm.urls import OP3_SQL, op3_urls
+from tallywright.llm.warc import OP6_SQL, op6_warc
 
-QUERIES = {"op3_urls": op3_urls, "op8_fingerprints": op8_fingerprints, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
-SQL = {"op3_urls": OP3_SQL}
+QUERIES = {
+    "op3_urls": op3_urls,
+    "op6_warc": op6_warc,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_packing": op9_packing,
+    "op10_licenses": op10_licenses,
+}
+SQL = {"op3_urls": OP3_SQL, "op6_warc": OP6_SQL}
