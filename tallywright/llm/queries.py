@@ -6,10 +6,12 @@ from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.licenses import op10_licenses
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
+from tallywright.llm.toxicity import op1_toxicity
 from tallywright.llm.urls import OP3_SQL, op3_urls
 from tallywright.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_neighbours": op2_neighbours,
     "op3_urls": op3_urls,
     "op6_warc": op6_warc,
