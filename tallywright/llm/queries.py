@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallywright.llm.fingerprints import op8_fingerprints
+from tallywright.llm.jaccard import op5_jaccard
 from tallywright.llm.licenses import op10_licenses
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neighbours": op2_neighbours,
     "op3_urls": op3_urls,
+    "op5_jaccard": op5_jaccard,
     "op6_warc": op6_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
