@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import numbered
+from tallywright.llm.shared import numbered, stored
 
 CAPACITY = 2048
 #: Words whose ids a Python worker keeps; a full store is emptied.
 CACHED = 400_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: Byte-level vocabularies write each byte as a letter: itself if it shows, else the next from 256 on.
+_BYTE_LETTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
 
 
 class WordIds:
@@ -51,6 +55,17 @@ class WordIds:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    def _encode_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words and marks. Lower-case Latin letters pass the tokenizer's normaliser and
+        splitter unchanged, as one piece of bytes, so these words go to its model directly."""
+        plain = [p for p in parts if p.isalpha() and max(p) <= "\u024f" and p.islower() and "\u0130" not in p]
+        model = self.tokenizer.model
+        for p in plain:
+            tokens = model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            yield p, array("I", [t.id for t in tokens]).tobytes()
+        rest = sorted(set(parts).difference(plain))
+        yield from zip(rest, self._encode(rest), strict=True)
+
     @staticmethod
     def _halves(word: str) -> tuple[str, str]:
         """(word, closing punctuation); pieces of letters and of marks never join."""
@@ -71,8 +86,7 @@ class WordIds:
         known = self.known
         if new := set().union(*words).difference(known):
             halves = {w: self._halves(w) for w in new}
-            parts = sorted({p for pair in halves.values() for p in pair if p and p not in known})
-            known.update(zip(parts, self._encode(parts), strict=True))
+            known.update(self._encode_parts(sorted({p for pair in halves.values() for p in pair if p and p not in known})))
             for w, (body, tail) in halves.items():
                 known[w] = known[body] + known[tail] if tail else known[body]
         whole = dict(zip(sorted(odd), self._encode([texts[i] for i in sorted(odd)]), strict=True)) if odd else {}
@@ -174,7 +188,8 @@ def best_fit_runs(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tup
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    pieces = numbered(cut(docs, tokenizer, capacity), ["length", "doc_id", "piece"], "pieces")
+    # Dealing by ranges reads its input twice; texts are tokenized once.
+    pieces = numbered(stored(cut(docs, tokenizer, capacity), "cut"), ["length", "doc_id", "piece"], "pieces")
     # At most ``capacity`` rows, one per length.
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     before, rows = {}, 0
