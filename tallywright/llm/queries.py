@@ -7,6 +7,7 @@ from tallywright.llm.jaccard import op5_jaccard
 from tallywright.llm.licenses import op10_licenses
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
+from tallywright.llm.privacy import op4_privacy
 from tallywright.llm.toxicity import op1_toxicity
 from tallywright.llm.urls import OP3_SQL, op3_urls
 from tallywright.llm.warc import OP6_SQL, op6_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_neighbours": op2_neighbours,
     "op3_urls": op3_urls,
+    "op4_privacy": op4_privacy,
     "op5_jaccard": op5_jaccard,
     "op6_warc": op6_warc,
     "op8_fingerprints": op8_fingerprints,
