@@ -5,6 +5,7 @@ from __future__ import annotations
 from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.jaccard import op5_jaccard
 from tallywright.llm.licenses import op10_licenses
+from tallywright.llm.mixing import op7_mixing
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
 from tallywright.llm.privacy import op4_privacy
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_privacy": op4_privacy,
     "op5_jaccard": op5_jaccard,
     "op6_warc": op6_warc,
+    "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
