@@ -371,3 +371,20 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of ``documents`` under 3-word shingles and a similarity of 0.9 or more."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, (90, 100))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+e AS (SELECT doc_id, hash(t) AS t FROM (SELECT doc_id, unnest(g) AS t FROM s)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(id, reach) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id
+FROM n JOIN (SELECT id, min(reach) AS component_id FROM r GROUP BY id) m ON m.id = n.doc_id
+"""
