@@ -41,8 +41,11 @@ from tallywright.llm.shared import stored
 
 #: Pivots that come last, at most: the shingles that most documents share.
 COMMON = 65_536
-#: Entries of one region, and members of one cluster, that a task joins as one block.
-REGION_BLOCK, CLUSTER_BLOCK = 2_000, 4_000
+#: Entries of one region, and shingles of one cluster, that a task joins as one block.
+REGION_BLOCK, CLUSTER_BLOCK = 2_000, 1_500_000
+#: Sets below PARITY_BELOW shingles have parities, those from COUNTS_FROM on counts; the two overlap,
+#: so that sets of similar size have one in common.
+PARITY_BELOW, COUNTS_FROM, BUCKETS = 400, 300, 256
 #: Members of a cluster that are joined without further pivots, and pivots of a larger one.
 LEAF, PIVOTS = 256, 8
 #: Shingles that the counting pass gathers before it counts them, and hashes of words kept.
@@ -76,15 +79,16 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(s)
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """64 bytes: 256 parities and 16 counts of shingles by hash.
+def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None]:
+    """Parities (BUCKETS bits) and counts (BUCKETS bytes) of shingles by hash.
 
-    Every shingle that only one of two sets has changes one parity and one count by one, so the
-    differing parities, and the summed differences of counts, are at most the symmetric difference.
+    A shingle that only one of two sets has changes one parity and one count by one, so the number
+    of differing parities, and the sum of differences of counts, are at most the symmetric difference.
+    Parities are compact but fill up; counts keep telling large sets apart.
     """
-    parities = np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) & 255, minlength=256) & 1).astype(np.uint8))
-    counts = np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) & 15, minlength=16), 65_535).astype("<u2")
-    return np.concatenate([parities, counts.view(np.uint8)])
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS)
+    parities = np.packbits((counts & 1).astype(np.uint8)).tobytes() if len(s) < PARITY_BELOW else None
+    return parities, np.minimum(counts, 255).astype(np.uint8).tobytes() if len(s) >= COUNTS_FROM else None
 
 
 def _common(docs: DataFrame, size: int, least: int = 16) -> np.ndarray:
@@ -118,7 +122,7 @@ def _common(docs: DataFrame, size: int, least: int = 16) -> np.ndarray:
 
 
 def _described(docs: DataFrame, size: int, share: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(doc_id, n, digest, pivots, sketch) per row."""
+    """(doc_id, n, digest, pivots, parities, counts) per row."""
     order = np.argsort(common, kind="stable")
     known = docs.sparkSession.sparkContext.broadcast((common[order].view(np.uint64), order))
     num, den = share
@@ -130,7 +134,7 @@ def _described(docs: DataFrame, size: int, share: tuple[int, int], common: np.nd
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                n, digests, pivots, sketches = [], [], [], []
+                n, digests, pivots, kept = [], [], [], []
                 for x in part.column("text"):
                     s = shingle_set(x.as_py(), size)
                     n.append(len(s))
@@ -142,13 +146,13 @@ def _described(docs: DataFrame, size: int, share: tuple[int, int], common: np.nd
                     if len(rare) < keep:
                         rare = np.concatenate([rare, s[shared][np.argsort(rank[at[shared]])][: keep - len(rare)]])
                     pivots.append(rare.view(np.int64))
-                    sketches.append(sketch(s).tobytes())
+                    kept.append(sketches(s))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    names=["doc_id", "n", "digest", "pivots", "sketch"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), *[pa.array([k[c] for k in kept], pa.binary()) for c in (0, 1)]],
+                    names=["doc_id", "n", "digest", "pivots", "parities", "counts"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, pivots array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, pivots array<long>, parities binary, counts binary")
 
 
 def _blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
@@ -218,22 +222,27 @@ def _candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     def near(n: np.ndarray, parities: np.ndarray, counts: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
         """Of the rows js those that row i may be linked with."""
-        total = n[i] + n[js]
         js = js[den * np.minimum(n[i], n[js]) >= num * np.maximum(n[i], n[js])]
-        # Similarity of at least num / den bounds the symmetric difference by this share of n + n.
-        total = n[i] + n[js]
-        most = total * (den - num) // (den + num)
-        apart = np.bitwise_count(parities[js] ^ parities[i]).sum(axis=1, dtype=np.int64)
-        js, most = js[apart <= most], most[apart <= most]
-        return js[np.abs(counts[js] - counts[i]).sum(axis=1) <= most]
+        # A similarity of num / den bounds the symmetric difference by this share of both sizes.
+        most = (n[i] + n[js]) * (den - num) // (den + num)
+        fits = np.ones(len(js), dtype=bool)
+        if n[i] < PARITY_BELOW:
+            both = n[js] < PARITY_BELOW
+            fits[both] = np.bitwise_count(parities[js[both]] ^ parities[i]).sum(axis=1, dtype=np.int64) <= most[both]
+        if n[i] >= COUNTS_FROM:
+            both = fits & (n[js] >= COUNTS_FROM)
+            fits[both] = np.abs(counts[js[both]] - counts[i]).sum(axis=1, dtype=np.int64) <= most[both]
+        return js[fits]
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(x or bytes(width) for x in column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for table in _groups(batches, "pivot"):
             ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-            raw = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, 64)
-            parities = raw[:, :32].copy().view(np.uint64)
-            counts = raw[:, 32:].copy().view("<u2").astype(np.int32)
+            parities = matrix(table.column("parities"), BUCKETS // 8).view(np.uint64)
+            counts = matrix(table.column("counts"), BUCKETS).astype(np.int16)
             out, begin = [], 0
             for end in _ends(table, "pivot").tolist():
                 label = np.array([forest.root(int(x)) for x in ids[begin:end]])
@@ -315,7 +324,7 @@ def _links(members: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 sets = [shingle_set(x.as_py(), size).tobytes() for x in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("members"), pa.array(sets, pa.binary())], names=["id", "cluster", "members", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("shingles"), pa.array(sets, pa.binary())], names=["id", "cluster", "shingles", "set"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "cluster"):
@@ -331,8 +340,8 @@ def _links(members: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = members.mapInArrow(with_sets, "id long, cluster long, members long, set binary")
-    return _blocks(sets, "cluster", "members", CLUSTER_BLOCK).mapInArrow(join, "a long, b long")
+    sets = members.mapInArrow(with_sets, "id long, cluster long, shingles long, set binary")
+    return _blocks(sets, "cluster", "shingles", CLUSTER_BLOCK).mapInArrow(join, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), text: str = "text") -> DataFrame:
@@ -345,19 +354,22 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(
         known.groupBy("digest").agg(
-            F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "pivots", "sketch")]
+            F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "pivots", "parities", "counts")]
         ),
         "classes",
     )
     per_pivot = Window.partitionBy("pivot")
+    # Most pivots are met by one document only; sketches travel with those that are left.
     entries = (
-        classes.select("id", "n", "sketch", F.explode("pivots").alias("pivot"))
+        classes.select("id", F.explode("pivots").alias("pivot"))
         .withColumn("met", F.count("*").over(per_pivot))
         .where("met > 1")
+        .join(classes.select("id", "n", "parities", "counts"), "id")
     )
     clusters = components(_candidates(_blocks(entries, "pivot", "met", REGION_BLOCK), share), "candidates")
-    sizes = clusters.groupBy("component_id").agg(F.count("*").alias("members"))
-    members = clusters.join(sizes, "component_id").select("id", F.col("component_id").alias("cluster"), "members")
+    clusters = clusters.join(classes.select("id", "n"), "id")
+    sizes = clusters.groupBy("component_id").agg(F.sum("n").alias("shingles"))
+    members = clusters.join(sizes, "component_id").select("id", F.col("component_id").alias("cluster"), "shingles")
     found = components(_links(docs.join(members, docs["doc_id"] == members["id"]), size, share), "links")
     named = classes.join(found, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     # An empty set is linked with nothing, not even with another empty one.

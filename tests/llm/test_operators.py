@@ -224,7 +224,7 @@ def brute_components(texts, size, num, den):
 def test_jaccard_against_brute_force(spark, monkeypatch, size, num):
     monkeypatch.setattr(jaccard, "LEAF", 8)  # so that clusters do split by pivots
     monkeypatch.setattr(jaccard, "REGION_BLOCK", 10)  # and regions into blocks
-    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 25)
+    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", 1500)
     rng = np.random.default_rng(size)
     texts = {1: None, 2: "", 3: " ", 4: "one two", 5: "one two", 6: "One  two\x0b", 7: "one two three"}
     base = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) for _ in range(4)]
