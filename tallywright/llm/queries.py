@@ -5,7 +5,7 @@ from __future__ import annotations
 from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.jaccard import OP5_SQL, op5_jaccard
 from tallywright.llm.licenses import op10_licenses
-from tallywright.llm.mixing import op7_mixing
+from tallywright.llm.mixing import OP7_SQL, op7_mixing
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
 from tallywright.llm.privacy import op4_privacy
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
 }
-SQL = {"op3_urls": OP3_SQL, "op5_jaccard": OP5_SQL, "op6_warc": OP6_SQL}
+SQL = {"op3_urls": OP3_SQL, "op5_jaccard": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
