@@ -259,3 +259,58 @@ def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),
         F.array_join(F.concat(*base, F.coalesce(told("terms"), F.array().cast("array<string>"))), ",").alias("spans"),
     )
+
+
+def _placed_sql(text: str, pattern: str, at: str = "0") -> str:
+    """List of (s, e, v) of all matches in SQL, as _placed() makes it."""
+    size = "lambda x: length(x)"
+    return f"""(SELECT list_transform(range(1, len(m) + 1), lambda i: {{'s': {at} + list_sum(list_transform(g[1:i], {size})) + coalesce(list_sum(list_transform(m[1:i - 1], {size})), 0),
+      'e': {at} + list_sum(list_transform(g[1:i], {size})) + coalesce(list_sum(list_transform(m[1:i], {size})), 0), 'v': m[i]}})
+      FROM (SELECT regexp_extract_all({text}, '{pattern}') AS m, regexp_split_to_array({text}, '{pattern}') AS g))"""
+
+
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_BASE_SQL = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (
+        r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0",
+    ),
+    "card": (
+        r"[0-9]([\x20-]?[0-9])+",
+        f"length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split({_DIGITS}, ''), lambda c, i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 "
+        "THEN CAST(c AS INTEGER) ELSE CAST(c AS INTEGER) * 2 - CASE WHEN c > '4' THEN 9 ELSE 0 END END)) % 10 = 0",
+    ),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+}
+_WORD_SQL = r"\p{L}{%d,}" % LETTERS
+_KINDS_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, t, {k} AS k, '{kind}' AS kind, x.s::BIGINT AS s, x.e::BIGINT AS e, x.v AS v FROM (SELECT doc_id, t, unnest({_placed_sql('t', pattern)}) AS x FROM d) WHERE {fits.replace('(v,', '(x.v,')}"
+    for k, (kind, (pattern, fits)) in enumerate(_BASE_SQL.items())
+)
+OP4_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS MATERIALIZED ({_KINDS_SQL}),
+w AS (SELECT *, greatest(s - {WINDOW}, 0) AS f FROM b),
+l AS (SELECT *, substr(t, f + 1, s - f) AS lft, substr(t, e + 1, {WINDOW}) AS rgt FROM w),
+h AS (SELECT *, CASE WHEN f > 0 THEN length(regexp_extract(lft, '^\p{{L}}*')) ELSE 0 END AS head,
+             CASE WHEN length(rgt) = {WINDOW} THEN regexp_replace(rgt, '\p{{L}}+$', '') ELSE rgt END AS wr FROM l),
+g AS (SELECT *, substr(lft, head + 1) AS wl FROM h),
+u AS (SELECT doc_id, kind || ':' || lower(v) AS entity, lft || chr(1) || rgt AS context,
+             unnest(list_concat({_placed_sql('wl', _WORD_SQL, 'f + head')}, {_placed_sql('wr', _WORD_SQL, 'e')})) AS x FROM g),
+m AS MATERIALIZED (SELECT doc_id, entity, context, lower(x.v) AS term, x.s::BIGINT AS s, x.e::BIGINT AS e FROM u
+      WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = u.doc_id AND x.s < b.e AND x.e > b.s)),
+de AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id) AS df_e FROM b GROUP BY ALL),
+co AS (SELECT entity, term, count(DISTINCT doc_id) AS co FROM m GROUP BY ALL HAVING count(DISTINCT context) >= {SUPPORT}),
+dt AS (SELECT term, count(*) AS df_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{_WORD_SQL}'))) AS term FROM d) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n FROM d),
+q AS (SELECT co.entity, co.term FROM co JOIN de USING (entity) JOIN dt USING (term), n
+      WHERE df_e < n AND log2(n * co / (greatest(df_t, co) * df_e)) / log2(n / df_e) >= {GENERALISE}),
+a AS (SELECT DISTINCT m.doc_id, m.s, m.e FROM m JOIN q USING (entity, term)),
+z AS (SELECT doc_id, k, kind, s, e FROM b UNION ALL SELECT doc_id, 9, 'term', s, e FROM a),
+o AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s, e) AS spans,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s, e) FILTER (k < 9) AS base,
+             {', '.join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in KINDS)} FROM z GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (doc_id)
+"""

@@ -8,7 +8,7 @@ from tallywright.llm.licenses import op10_licenses
 from tallywright.llm.mixing import OP7_SQL, op7_mixing
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
-from tallywright.llm.privacy import op4_privacy
+from tallywright.llm.privacy import OP4_SQL, op4_privacy
 from tallywright.llm.toxicity import op1_toxicity
 from tallywright.llm.urls import OP3_SQL, op3_urls
 from tallywright.llm.warc import OP6_SQL, op6_warc
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
 }
-SQL = {"op3_urls": OP3_SQL, "op5_jaccard": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": OP7_SQL}
+SQL = {
+    "op3_urls": OP3_SQL,
+    "op4_privacy": OP4_SQL,
+    "op5_jaccard": OP5_SQL,
+    "op6_warc": OP6_SQL,
+    "op7_mixing": OP7_SQL,
+}
