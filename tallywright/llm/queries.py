@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.jaccard import OP5_SQL, op5_jaccard
-from tallywright.llm.licenses import op10_licenses
+from tallywright.llm.licenses import OP10_SQL, op10_licenses
 from tallywright.llm.mixing import OP7_SQL, op7_mixing
 from tallywright.llm.neighbours import op2_neighbours
 from tallywright.llm.packing import op9_packing
@@ -31,4 +31,5 @@ SQL = {
     "op5_jaccard": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op10_licenses": OP10_SQL,
 }
