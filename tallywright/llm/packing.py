@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,12 +28,11 @@ from pyspark.sql import functions as F
 from tallywright.llm.shared import numbered, stored
 
 CAPACITY = 2048
-#: Words whose ids a Python worker keeps; a full store is emptied.
-CACHED = 400_000
+#: Words whose ids a Python worker keeps; a full store is emptied. New words encoded as one text.
+CACHED, TOGETHER = 600_000, 4_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
-_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-#: Byte-level vocabularies write each byte as a letter: itself if it shows, else the next from 256 on.
-_BYTE_LETTERS = {b: b if b in _SHOWN else 256 + sum(x not in _SHOWN for x in range(b)) for b in range(256)}
+#: Marks that may close a word; the tokenizer makes one piece of a run of them, apart from letters.
+_MARKS = ".,;:!?%$#&*"
 
 
 class WordIds:
@@ -49,46 +47,58 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether a token closes a run of letters.
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
-    def _encode_parts(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of words and marks. Lower-case Latin letters pass the tokenizer's normaliser and
-        splitter unchanged, as one piece of bytes, so these words go to its model directly."""
-        plain = [p for p in parts if p.isalpha() and max(p) <= "\u024f" and p.islower() and "\u0130" not in p]
-        model = self.tokenizer.model
-        for p in plain:
-            tokens = model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))
-            yield p, array("I", [t.id for t in tokens]).tobytes()
-        rest = sorted(set(parts).difference(plain))
-        yield from zip(rest, self._encode(rest), strict=True)
-
-    @staticmethod
-    def _halves(word: str) -> tuple[str, str]:
-        """(word, closing punctuation); pieces of letters and of marks never join."""
-        body = word.rstrip(".,;:!?")
-        if not body or not body[-1].isalnum():
-            body = word
-        tail = word[len(body) :]
-        # The tokenizer lower-cases; special tokens hold "<|" and keep their case.
-        return (body.lower() if body.isascii() and "<|" not in body else body), tail
+    def _encode_plain(self, bodies: list[str]) -> list[bytes]:
+        """Ids of words of Latin letters only. Each is one piece for the tokenizer, and one token of
+        every piece closes it, so many words are encoded as one text and cut at these tokens."""
+        out: list[bytes] = []
+        for begin in range(0, len(bodies), TOGETHER):
+            part = bodies[begin : begin + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            blob = ids.tobytes()
+            # Another kind of vocabulary has no closing tokens; its words are encoded one by one.
+            out += [blob[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(part) else self._encode(part)
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of ``new`` words into the store."""
+        plain, bodies, rest = [], [], []
+        for w in new:
+            body = w.rstrip(_MARKS)
+            # The one Latin letter whose lower case is no letter alone is left to the tokenizer.
+            if body.isalpha() and (body.isascii() or (max(body) <= "\u024f" and "\u0130" not in body)):
+                plain.append(w)
+                bodies.append(body)
+            else:
+                rest.append(w)
+        tails = [w[len(body) :] for w, body in zip(plain, bodies, strict=True)]
+        if strange := sorted(set(tails).difference(self.tails)):
+            self.tails.update(zip(strange, self._encode(strange), strict=True))
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+        self.known.update({w: ids + self.tails[t] if t else ids for w, ids, t in zip(plain, self._encode_plain(bodies), tails, strict=True)})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text the ids and a closing 0."""
         if len(self.known) > CACHED:
             self.known.clear()
+            self.tails = {"": b""}
         # The tokenizer's white space has no file, group, record and unit separators; split() does.
         odd = {i for i, x in enumerate(texts) if any(c in x for c in "\x1c\x1d\x1e\x1f")}
         words = [[] if i in odd else x.split() for i, x in enumerate(texts)]
         known = self.known
         if new := set().union(*words).difference(known):
-            halves = {w: self._halves(w) for w in new}
-            known.update(self._encode_parts(sorted({p for pair in halves.values() for p in pair if p and p not in known})))
-            for w, (body, tail) in halves.items():
-                known[w] = known[body] + known[tail] if tail else known[body]
+            self._learn(new)
         whole = dict(zip(sorted(odd), self._encode([texts[i] for i in sorted(odd)]), strict=True)) if odd else {}
         return [(whole[i] if i in odd else b"".join(map(known.__getitem__, ws))) + _CLOSE for i, ws in enumerate(words)]
 
