@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tallywright.llm.shared import numbered, stored
 
 CAPACITY = 2048
-#: Words whose ids a Python worker keeps; a full store is emptied. New words encoded as one text.
-CACHED, TOGETHER = 600_000, 4_000
+#: Words whose ids a Python worker keeps, some 230 bytes each; a full store is emptied. New words encoded as one text.
+CACHED, TOGETHER = 1_500_000, 4_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
 #: Marks that may close a word; the tokenizer makes one piece of a run of them, apart from letters.
 _MARKS = ".,;:!?%$#&*"
