@@ -23,12 +23,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The phrases of the contract and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: No rule and no phrase fits a text in which this finds nothing.
-COARSE = (
-    r"(?i)licen[sc]|copyright|copyleft|spdx|warranty|public domain|all rights reserved|(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-    r"(?:cc|a?l?gpl|mit|bsd|mpl|epl|apache)(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-)
-
 #: Licence families: label, regex of the name, keyword that every name of the family holds, versions.
 FAMILIES = [
     ("gpl", "(?:gnu )?(?:general public licen[sc]e|gpl)", "gpl|general public", ["1 0", "1", "2 0", "2", "3 0", "3"]),
@@ -86,6 +80,23 @@ UNVERSIONED = [
 ]
 
 
+def _coarse() -> str:
+    """A pattern over raw texts: no rule and no phrase fits a text in which it finds nothing.
+
+    Every rule and phrase holds the name of a family or of a plain rule as whole words, and nothing
+    but separators lies between two words, so the names themselves are the pattern.
+    """
+    separator = WORD.removesuffix("+").replace("[^", "[")
+    names = [name for _, name, _, _ in FAMILIES] + [name for _, name, _ in PLAIN] + [phrase for phrase, _ in PHRASES]
+    spaced = [n.replace("[^ ]+", "@").replace(" ?", "~").replace(" ", f"{separator}+").replace("~", f"{separator}*").replace("@", WORD) for n in names]
+    word = WORD.removesuffix("+")
+    return f"(?i)(?<!{word})(?:{'|'.join(spaced)})(?!{word})"
+
+
+#: Built from the rules, so it skips only texts without any detection.
+COARSE = _coarse()
+
+
 def signature_rules() -> list[dict]:
     """The ordered rules: priority, label, keywords, regex over space-joined words, confidence.
 
@@ -207,7 +218,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         ).otherwise(acc),
     )["out"]
     none = F.array().cast("array<string>")
-    df = df.withColumn("detections", kept)
+    df = df.withColumn("detections", F.coalesce(kept, F.array().cast("array<struct<start:int,back:int,priority:int,label:string,sure:double>>")))
     method = F.coalesce(F.transform("detections", lambda d: d["label"]), none)
     sure = F.coalesce(F.array_max(F.transform("detections", lambda d: d["sure"])), F.lit(0.0))
     return df.withColumns(

@@ -385,3 +385,51 @@ def test_licenses_against_brute_force(spark, tmp_path):
     assert by_text["cc by cc by-nc 4.0 CC\tBY"] == "cc-by,cc-by-nc-4.0"
     assert by_text[TEXTS[8][1]] == "gpl,gpl-3,mit"
     assert len(licenses.signature_rules()) >= 200
+
+
+def shortest(regex):
+    """A text that fits ``regex``: first branches, optional parts left out."""
+    from re import _parser
+
+    def told(items):
+        out = ""
+        for op, arg in items:
+            match str(op):
+                case "LITERAL":
+                    out += chr(arg)
+                case "NOT_LITERAL":
+                    out += "x"
+                case "IN":
+                    out += "x" if str(arg[0][0]) == "NEGATE" else chr(arg[0][1])
+                case "BRANCH":
+                    out += told(arg[1][0])
+                case "SUBPATTERN":
+                    out += told(arg[-1])
+                case "MAX_REPEAT":
+                    out += told(arg[2]) * arg[0]
+                case "ASSERT":
+                    pass
+                case _:
+                    raise ValueError(op)
+        return out
+
+    return told(_parser.parse(regex))
+
+
+def test_licenses_every_rule_alone(spark):
+    rules, sets = licenses.signature_rules(), []
+    for r in rules:
+        text = shortest(r["regex"])
+        sets += [(r["label"], text), (r["label"], text.upper().replace(" ", "\n -"))]
+    extra = [
+        ("cc-by-4.0", "Creative Commons Attribution 4.0"), ("cc0-1.0", "CC0 1.0"), ("bsd-2-clause", "FreeBSD"), ("ms-pl", "(Ms-PL)"),
+        ("cc-by-sa-3.0", "creative commons attribution ShareAlike 3.0"), ("proprietary", "All rights\nreserved"),
+        ("public-domain", "put into the public\ndomain"), ("wtfpl", "do what the f*** you want to public licence".replace("f***", "heck")),
+        ("", "limited permit, odd artistically"), ("", None),
+    ]
+    sets += extra
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(sets)], "doc_id long, text string").repartition(8)
+    rows = licenses.scan_licenses(d).select("doc_id", "labels").collect()
+    assert len(rows) == len(sets)
+    wrong = [(sets[r.doc_id], r.labels) for r in rows if sets[r.doc_id][0] not in r.labels.split(",")]
+    assert not wrong
