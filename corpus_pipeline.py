@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.jaccard import jaccard_join
 from tallywright.llm.mixing import in_mixed_order
-from tallywright.llm.packing import pack, tokenizer_path
+from tallywright.llm.packing import in_file_order, pack_in_order, tokenizer_path
 from tallywright.llm.privacy import sanitised
 from tallywright.llm.shared import stored
 from tallywright.llm.toxicity import THRESHOLD, score, toxic_labels, train
@@ -46,8 +46,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
-    return pack(docs, tokenizer_path())
+    """The pieces of all documents with their sequences and offsets; sequences follow the files read, hence the mix."""
+    return pack_in_order(in_file_order(docs, "place"), tokenizer_path(), "place")
 
 
 STAGES = [

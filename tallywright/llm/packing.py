@@ -22,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.shared import numbered, stored
 
 CAPACITY = 2048
+#: Stretches of an order that are packed on their own, at most, and the pieces of one, at least.
+PARTS, LEAST = 16, 8192
 #: Words whose ids a Python worker keeps, some 230 bytes each; a full store is emptied. New words encoded as one text.
 CACHED, TOGETHER = 1_500_000, 4_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
@@ -116,10 +119,12 @@ def word_ids(path: str) -> WordIds:
 PIECES_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document: (doc_id, piece, start, length, ids_crc32)."""
+def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, place: str | None = None) -> DataFrame:
+    """The pieces of every document: (doc_id, piece, start, length, ids_crc32) and the document's ``place``, if asked for."""
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    if place:
+        types, names = [*types, pa.int64()], [*names, "place"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +132,16 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
                 part = batch.slice(begin, 512)
                 out: list[list] = [[] for _ in names]
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), word_ids(tokenizer).ids(texts), strict=True):
+                places = [[x] for x in part.column("place").to_pylist()] if place else [[]] * len(texts)
+                for doc, at_place, ids in zip(part.column("doc_id").to_pylist(), places, word_ids(tokenizer).ids(texts), strict=True):
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
-                        for c, v in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
+                        for c, v in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own), *at_place), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
+    if place:
+        return docs.select("doc_id", "text", F.col(place).cast("long").alias("place")).mapInArrow(pieces, f"{PIECES_SCHEMA}, place long")
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES_SCHEMA)
 
 
@@ -221,6 +229,56 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     )
 
 
+def in_file_order(docs: DataFrame, place: str) -> DataFrame:
+    """``docs`` with the 0-based ``place`` of each row in the files it is read from, in the order of their names.
+
+    A table that is not read from files has its rows numbered by partition.
+    """
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn(place, F.monotonically_increasing_id())
+    ahead = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file.
+    counts = rows.groupBy(F.col("_file").alias("_of")).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_of", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
+    return rows.join(F.broadcast(offsets), F.col("_file") == F.col("_of")).withColumn(place, F.col("_offset") + F.col("_row")).drop("_file", "_of", "_row", "_offset")
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, place: str, capacity: int = CAPACITY, parts: int = PARTS, least: int = LEAST) -> DataFrame:
+    """As pack(), but the sequences keep the order of ``place``.
+
+    At most ``parts`` stretches of the order, of ``least`` pieces at least, are packed one after the
+    other, so a piece never leaves its stretch. Within one, pieces of equal lengths are taken by
+    place, and sequences are numbered by the place of the piece that opens them.
+    """
+    spark = docs.sparkSession
+    by_place = numbered(stored(cut(docs, tokenizer, capacity, place), "cut"), ["place", "doc_id", "piece"], "by-place", "rank")
+    n = by_place.count()
+    each = max(least, -(-n // parts))
+    pieces = numbered(by_place.withColumn("part", F.floor(F.col("rank") / each)).drop("rank"), ["part", "length", "place", "doc_id", "piece"], "pieces")
+    # At most ``parts`` x ``capacity`` rows.
+    histogram = {(r["part"], r["length"]): r["n"] for r in pieces.groupBy("part", "length").agg(F.count("*").alias("n")).collect()}
+    runs, rows, opened = [], 0, 0
+    for part in sorted({p for p, _ in histogram}):
+        lengths, before = {k: c for (p, k), c in sorted(histogram.items()) if p == part}, {}
+        for k, c in lengths.items():
+            before[k], rows = rows, rows + c
+        own = best_fit_runs(lengths, capacity)
+        runs += [(part, k, before[k] + a, before[k] + b, opened + s, o) for k, a, b, s, o in own]
+        opened = max(opened + s + b - a + 1 for _, a, b, s, _ in own)
+    schema = "run_part long, run_length int, first_pos long, last_pos long, first_sequence long, offset long"
+    # Bounded by the numbers of parts, lengths and gap sizes, not by documents.
+    places = F.broadcast(spark.createDataFrame(runs, schema))
+    fits = (F.col("part") == F.col("run_part")) & (F.col("length") == F.col("run_length")) & F.col("pos").between(F.col("first_pos"), F.col("last_pos"))
+    placed = stored(pieces.join(places, fits).withColumn("_sequence", F.col("first_sequence") + F.col("pos") - F.col("first_pos")), "placed")
+    openings = placed.where(F.col("offset") == 0).select(F.col("_sequence").alias("_opened"), "place")
+    order = numbered(openings, ["place", "_opened"], "sequences", "sequence_id").drop("place")
+    return placed.join(order, F.col("_sequence") == F.col("_opened")).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def tokenizer_path() -> str:
     """The registered query's tokenizer file; every machine has the package."""
     import public_tokenizers

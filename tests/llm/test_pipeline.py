@@ -66,3 +66,30 @@ def test_run_equals_its_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and {r.offset + r.length <= 2048 for r in rows} == {True}
     assert privacy.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Sources take turns along ``sequence_id`` as the weights have them, until one runs out."""
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(["word"] * int(rng.integers(300, 1500))), "hot" if i < 1500 else "small", 0) for i in range(2000)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    mixed = corpus_pipeline.stored(corpus_pipeline.in_mixed_order(spark.read.parquet(f"{tmp_path}/documents.parquet"), {"hot": 0.5, "small": 0.5}), "mix")
+    place = {r.doc_id: r.place for r in packing.in_file_order(mixed, "place").select("doc_id", "place").collect()}
+    assert sorted(place.values()) == list(range(2000))
+    assert abs(sum(i >= 1500 for i, p in place.items() if p < 1000) - 500) <= 8  # one block
+    source = {i: s for i, _, s, _ in docs}
+    for rows in (
+        corpus_pipeline.packing(spark, mixed, str(tmp_path)).collect(),
+        packing.pack_in_order(packing.in_file_order(mixed, "place"), packing.tokenizer_path(), "place", parts=8, least=100).collect(),
+    ):
+        opening = [source[r.doc_id] for r in sorted(rows, key=lambda r: r.sequence_id) if r.offset == 0]
+        assert len(opening) == 1 + max(r.sequence_id for r in rows)
+        early, late = opening[: len(opening) // 3], opening[-len(opening) // 3 :]
+        assert 0.4 < early.count("small") / len(early) < 0.6 and late.count("small") <= 0.05 * len(late)
+    early = [r for r in rows if r.sequence_id < len(opening) * 0.45]
+    assert 0.4 < sum(r.length for r in early if source[r.doc_id] == "small") / sum(r.length for r in early) < 0.6
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert sorted(r.doc_id for r in rows) == sorted(source) and max(filled.values()) <= 2048
