@@ -53,9 +53,9 @@ TERM = r"\p{L}{%d,}+" % LETTERS
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
-def _placed(text: F.Column, pattern: str, at: F.Column | None = None) -> F.Column:
+def _placed(text: F.Column, pattern: str | F.Column, at: F.Column | None = None) -> F.Column:
     """Array of (start, end, value) of all matches, in code points from ``at`` on."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), -1)
     steps = F.transform(matches, lambda m, i: F.struct(F.length(F.element_at(between, i + 1)).alias("gap"), m.alias("value")))
     return F.aggregate(
         steps,
@@ -212,24 +212,74 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.join(terms, same, "left").select("doc_id", "text_key", *KINDS, "terms")
 
 
+def document_disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(entity, term, share) as of disclosures(), by terms anywhere in the documents that mention the entity.
+
+    Here the context is the whole text, so a term needs SUPPORT different texts.
+    """
+    mentions = found.where(F.col("windows").isNotNull()).select("doc_id", "text_key", F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity")).distinct()
+    # An entity of fewer texts than SUPPORT has no such term.
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= SUPPORT)
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
+    held = docs.select(F.col("doc_id").alias("_id"), _key(text).alias("_row"), F.array_distinct(words).alias("_words")).dropDuplicates(["_id", "_row"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
+    together = (
+        mentions.join(entities.select("entity"), "entity", "left_semi")
+        .join(held, same)
+        .select("entity", "text_key", F.explode("_words").alias("term"))
+        .groupBy("entity", "term", "text_key")
+        .agg(F.count("*").alias("rows"))
+        .groupBy("entity", "term")
+        .agg(F.sum("rows").alias("co"), F.count("*").alias("support"))
+        .where(F.col("support") >= SUPPORT)
+    )
+    frequency = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    n = found.count()
+    known = F.log2(F.lit(float(n)) / F.col("df_e"))
+    pmi = F.log2(F.lit(float(n)) * F.col("co") / (F.greatest("df_t", "co") * F.col("df_e")))
+    return (
+        together.join(entities, "entity")
+        .join(frequency, "term")
+        .where(F.col("df_e") < n)
+        .select("entity", "term", (pmi / known).alias("share"))
+        .where(F.col("share") >= GENERALISE)
+    )
+
+
+def _given_away(raw: F.Column, base: F.Column, given: F.Column) -> F.Column:
+    """Array of (start, end, share): every place in ``raw`` of the (term, share) in ``given``, base spans apart."""
+    shares = F.map_from_entries(given)
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(raw, F.lit(TERM), F.lit(0))), lambda w: F.map_contains_key(shares, F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
+    spans = F.when(F.size(forms) > 0, _placed(raw, pattern)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    apart = F.filter(spans, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
+    return F.transform(apart, lambda t: F.struct(t["start"], t["end"], F.element_at(shares, F.lower(t["value"])).alias("share")))
+
+
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with base values replaced by their kind and disclosing terms generalised or removed.
 
-    ``n_chars``, if there, follows the text.
+    Unlike op4_privacy's spans, a term that discloses an entity goes from the whole of every
+    document that mentions the entity, and terms far from the mention are weighed too. ``n_chars``,
+    if there, follows the text.
     """
-    rows = (
-        marked(docs, text)
-        .where((F.size(F.concat(*KINDS)) > 0) | F.col("terms").isNotNull())
-        .withColumnsRenamed({"doc_id": "_id", "text_key": "_row"})
-        .dropDuplicates(["_id", "_row"])
+    found = spans_of(docs, text)
+    disclosed = disclosures(found, docs, text).unionByName(document_disclosures(found, docs, text)).groupBy("entity", "term").agg(F.max("share").alias("share"))
+    given = (
+        found.where(F.col("windows").isNotNull())
+        .select("doc_id", "text_key", F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity"))
+        .join(disclosed, "entity")
+        .groupBy("doc_id", "text_key", "term")
+        .agg(F.max("share").alias("share"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_row"))
+        .agg(F.collect_list(F.struct("term", "share")).alias("_given"))
     )
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
+    # Only rows with mentions have terms.
+    rows = found.where(F.size(F.concat(*KINDS)) > 0).join(given, same, "left").drop("_id", "_row")
+    rows = rows.withColumnsRenamed({"doc_id": "_id", "text_key": "_row"}).dropDuplicates(["_id", "_row"])
     cut = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put"))
-    base = F.concat(*[_each(k, cut) for k in KINDS])
-    terms = F.transform(
-        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[WORD]")).alias("put")),
-    )
-    rows = rows.select("_id", "_row", F.array_sort(F.concat(base, terms)).alias("_cuts"))
+    rows = rows.select("_id", "_row", "_given", F.concat(*KINDS).alias("_base"), F.concat(*[_each(k, cut) for k in KINDS]).alias("_puts"))
     raw = F.col(text)
     folded = F.aggregate(
         F.col("_cuts"),
@@ -241,7 +291,13 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
         ).otherwise(F.struct(F.greatest(acc["at"], c["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.length(raw))),
     )
+    none = F.array().cast("array<struct<start:int,end:int,put:string>>")
+    terms = F.transform(
+        _given_away(F.col(text), F.col("_base"), F.col("_given")),
+        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[WORD]")).alias("put")),
+    )
     joined = docs.withColumn("_key", _key(text)).join(rows, F.col("_key").eqNullSafe(F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    joined = joined.withColumn("_cuts", F.array_sort(F.concat("_puts", F.when(F.col("_given").isNotNull(), terms).otherwise(none))))
     out = joined.withColumn(text, F.when(F.col("_cuts").isNotNull(), folded).otherwise(raw))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))

@@ -201,6 +201,21 @@ def test_privacy_disclosing_terms(spark):
     assert clean[0].text == text[0] and len(clean) == len(docs)
 
 
+def test_privacy_terms_far_from_the_mention(spark):
+    """What gives an address away goes from the whole text, wherever it stands."""
+    docs = [(i, f"filler{i} some ordinary sentence about weather number{i}") for i in range(60)]
+    far = " some ordinary sentence about weather" * 5
+    docs += [(100, f"colonel mustard writes from x.y@mail.example.com today{far} Mustard, mustards"), (101, f"reach colonel Mustard, x.y@mail.example.com soon{far}")]
+    docs += [(110, f"Owner Plum.{far} a.b@mail.example.com{far} plum"), (111, f"thanks, plum.{far} a.b@mail.example.com"), (112, f"ordinary{far}")]
+    docs += [(i, f"scarlet.{far} c.d@mail.example.com") for i in (120, 121)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    clean = {r.doc_id: r.text for r in privacy.sanitised(d).collect()}
+    assert clean[100] == f"  writes from [EMAIL] today{far} , mustards" and clean[101] == f"reach  , [EMAIL] soon{far}"
+    assert clean[110] == f"Owner .{far} [EMAIL]{far} " and clean[111] == f"thanks, .{far} [EMAIL]"
+    assert clean[120] == f"scarlet.{far} [EMAIL]"  # copies of one text are no evidence
+    assert clean[112] == dict(docs)[112] and len(clean) == len(docs)
+
+
 def brute_components(texts, size, num, den):
     sets = {i: frozenset(jaccard.shingle_set(t, size).tolist()) for i, t in texts.items()}
     parent = {i: i for i in sets}
