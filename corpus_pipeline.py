@@ -22,31 +22,41 @@ SHINGLE, SHARE = 5, (80, 100)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; it learns from the rows of ``docs`` that have labels."""
+    """Documents that the classifier does not reject; it learns from the rows of ``docs`` that have labels.
+
+    A null or empty text has the model's prior and stays. A caller's own ``score`` column is kept as it is.
+    """
     model = train(docs, toxic_labels(spark, sf_dir))
-    return score(docs, model).where(F.col("score") < THRESHOLD).select(docs.columns)
+    return score(docs, model, column="_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of linked ones; rows without an id stay."""
+    """The document with the smallest id of every group of linked ones.
+
+    Rows that share an id are one document: they go or stay together, repeated ones as one row. Rows without an
+    id, and texts without words, are linked with nothing and stay.
+    """
     found = jaccard_join(docs, SHINGLE, SHARE)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return known.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates().unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms replaced."""
+    """All documents, personal data and disclosing terms replaced; null and empty texts stay as they are."""
     return sanitised(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix."""
+    """All documents, written in the order of the mix; a null source is a source of its own, repeated rows stay."""
     return in_mixed_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets; sequences follow the files read, hence the mix."""
+    """The pieces of all documents with their sequences and offsets; sequences follow the files read, hence the mix.
+
+    A null or empty text is one piece with the closing id alone; an empty table gives no pieces.
+    """
     return pack_in_order(in_file_order(docs, "place"), tokenizer_path(), "place")
 
 

@@ -27,6 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.workers import held, slices
+
+
 #: Samples of a fingerprint; the deviation of a likeness is at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 128
 #: Terms whose variates a Python worker keeps: CACHED x SAMPLES x 4 bytes. A full cache is emptied.
@@ -113,12 +116,9 @@ class Sampler:
         return out
 
 
-_SAMPLERS: dict[int, Sampler] = {}
-
-
 def sampler(samples: int = SAMPLES) -> Sampler:
     """The Python worker's own sampler."""
-    return _SAMPLERS.setdefault(samples, Sampler(samples))
+    return held(("samples", samples), lambda: Sampler(samples))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -192,18 +192,17 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the row whose next one has not come yet
+        waiting: tuple | None = None  # the row whose next one has not come yet
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in slices(batch, "text", 1_000_000, 256):
                 ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
                 halos, pieces = part.column("halo").to_pylist(), part.column("piece").to_pylist()
                 prints = sampler(samples).fingerprints(texts)
-                rows = [] if held is None else [held]
+                rows = [] if waiting is None else [waiting]
                 rows += [(p, h, i, x, f) for p, h, i, x, f in zip(pieces, halos, ids, texts, prints, strict=True)]
                 # A halo ends its piece; repeated ids may leave several, of which the first counts.
                 todo = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1] and a[0] == b[0]]
-                held = rows[-1]
+                waiting = rows[-1]
                 out = []
                 edits = []
                 for a, b in todo:

@@ -1,29 +1,30 @@
-"""Exact n-gram Jaccard join in the metric space of shingle sets, by pivots and Voronoi regions.
-
-The Jaccard distance 1 - |x n y| / |x u y| is a metric on all sets, so a pivot may be any set.
-
-Level 0, over the whole table: the pivots are the one-shingle sets, in one order for the whole table
-(shingles that many documents share last). A document is at distance 1 - 1/n from the pivots that it
-contains and at 1 from all others, so its Voronoi region is that of its first contained pivot. A
-partner within distance e misses at most floor(e n) of its n shingles, which gives the window: the
-document is replicated to its first floor(e n) + 1 pivots, and two documents within e always meet in
-a region. (Pivots that are documents cannot serve here: unrelated documents are at a distance of
-nearly 1 from each other and from all such pivots, so no window prunes anything.) Inside a region
-sizes and sketches, each a lower bound of the distance, leave candidates; an overfull region is cut
-into blocks and joined by pairs of blocks.
-
-Level 1 and on: candidates are connected into clusters, a superset of the components. Inside a
-cluster distances are small and tell documents apart, so there pivots are documents: each member
-joins the region of its nearest pivot, and also every region whose pivot is not farther than the
-nearest one by more than 2 e, which the triangle inequality demands; regions join recursively and
-end in exact counts of common shingles.
+"""Exact n-gram Jaccard join of shingle sets: prefix filtering first, then pivots and Voronoi regions.
+
+The Jaccard distance 1 - |x n y| / |x u y| is a metric on all sets.
+
+Level 0, over the whole table, is a prefix-filter join, chosen instead of document pivots: unrelated
+documents are at a distance of nearly 1 from each other and from every document pivot, so a window
+of twice the threshold would replicate every document to every region. Shingles have one order for
+the whole table, those that many documents share last. A partner within distance e misses at most
+floor(e n) of a document's n shingles, so two documents within e always share one of their first
+floor(e n) + 1 shingles and meet there. (In terms of the metric: the pivots are the one-shingle sets,
+which the triangle inequality alone would not tell apart.) Where documents meet, sizes and sketches,
+each a lower bound of the distance, leave candidates; an overfull meeting place is cut into blocks
+and joined by pairs of blocks.
+
+Level 1 and on is the metric join by document pivots: candidates are connected into clusters, a
+superset of the components. Inside a cluster distances are small and tell documents apart, so each
+member joins the Voronoi region of its nearest pivot, and also every region whose pivot is not
+farther than the nearest one by more than 2 e, which the triangle inequality demands; regions join
+recursively, down to LEAF members, and end in exact counts of common shingles.
 
 Only links that connect something new leave a task, so a group of copies costs its size in links and
-not its square. Equal sets are one class from the start.
+not its square. Equal sets are one class from the start. Texts are shingled once; the sets are stored.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are their
 own component; a text of fewer words than a shingle is one shingle; repeated rows are in one class;
-rows that share an id are one document; a null id has a null component; extra columns do not matter.
+rows that share an id are one document, linked by any of its texts, and each tells the size of its
+own set; a null id has a null component and links nothing; extra columns do not matter.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm.components import components
 from tallywright.llm.shared import stored
+from tallywright.llm.workers import WordStore, held, release, slices
 
 #: Pivots that come last, at most: the shingles that most documents share.
 COMMON = 65_536
@@ -47,11 +49,9 @@ REGION_BLOCK, CLUSTER_BLOCK = 2_000, 1_500_000
 #: so that sets of similar size have one in common.
 PARITY_BELOW, COUNTS_FROM, BUCKETS = 400, 300, 256
 #: Members of a cluster that are joined without further pivots, and pivots of a larger one.
-LEAF, PIVOTS = 256, 8
-#: Shingles that the counting pass gathers before it counts them, and hashes of words kept.
-GATHERED, CACHED = 2_000_000, 500_000
-
-_WORDS: dict[bytes, int] = {}
+LEAF, PIVOTS = 32, 8
+#: Shingles that the counting pass gathers before it counts them, and bytes of texts or sets that are handled together.
+GATHERED, BATCH_BYTES = 2_000_000, 8_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -64,14 +64,15 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
     Words are what ASCII white space leaves, with A-Z lower-cased; ``bytes`` do exactly that.
     """
+    known = held(("shingles",), WordStore)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    if len(_WORDS) > CACHED:
-        _WORDS.clear()
-    for w in set(words).difference(_WORDS):
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    known.room()
+    fresh = set(words).difference(known)
+    known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
+    known.size += sum(map(len, fresh)) + known.per_word * len(fresh)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(size, len(h))
     s = np.zeros(len(h) - size + 1, dtype=np.uint64)
     for i in range(size):
@@ -91,8 +92,24 @@ def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None]:
     return parities, np.minimum(counts, 255).astype(np.uint8).tobytes() if len(s) >= COUNTS_FROM else None
 
 
-def _common(docs: DataFrame, size: int, least: int = 16) -> np.ndarray:
-    """The COMMON most shared shingles, the rarest of them first.
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, digest, set) per row: the sorted hashes of its shingles, as bytes."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", BATCH_BYTES):
+                sets = [shingle_set(x.as_py(), size) for x in part.column("text")]
+                raw = [s.tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())],
+                    names=["doc_id", "n", "digest", "set"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(shingled, "doc_id long, n long, digest binary, set binary")
+
+
+def _common(rows: DataFrame, least: int = 16) -> np.ndarray:
+    """The COMMON most shared shingles of the sets, the rarest of them first.
 
     Counts are exact but for shingles that occur once in a stretch of GATHERED; which shingles are
     here decides the order of pivots, and any order gives the same links.
@@ -104,41 +121,40 @@ def _common(docs: DataFrame, size: int, least: int = 16) -> np.ndarray:
             often = n > 1
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
 
+        release()
         sets, total = [], 0
         for batch in batches:
             for x in batch.column(0):
-                sets.append(shingle_set(x.as_py(), size))
+                sets.append(np.frombuffer(x.as_buffer(), dtype=np.uint64))
                 total += len(sets[-1])
                 if total >= GATHERED:
                     yield counted(sets)
                     sets, total = [], 0
+            # What waits must not hold on to its batch.
+            sets = [np.concatenate(sets)] if sets else []
         if sets:
             yield counted(sets)
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = rows.where("n > 0").select("set").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # At most COMMON rows come back.
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     return np.array([r["shingle"] for r in reversed(top)], dtype=np.int64)
 
 
-def _described(docs: DataFrame, size: int, share: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(doc_id, n, digest, pivots, parities, counts) per row."""
-    order = np.argsort(common, kind="stable")
-    known = docs.sparkSession.sparkContext.broadcast((common[order].view(np.uint64), order))
+def _described(rows: DataFrame, share: tuple[int, int], common: np.ndarray) -> DataFrame:
+    """(row, pivots, parities, counts) per row (row, set)."""
+    order = np.argsort(common.view(np.uint64), kind="stable")
+    known = rows.sparkSession.sparkContext.broadcast((common.view(np.uint64)[order], order))
     num, den = share
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         values, rank = known.value
-        by_value = np.argsort(values, kind="stable")
-        values, rank = values[by_value], rank[by_value]
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                n, digests, pivots, kept = [], [], [], []
-                for x in part.column("text"):
-                    s = shingle_set(x.as_py(), size)
-                    n.append(len(s))
-                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+            for part in slices(batch, "set", BATCH_BYTES):
+                pivots, kept = [], []
+                for x in part.column("set"):
+                    s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
                     at = np.minimum(np.searchsorted(values, s), max(0, len(values) - 1))
                     shared = values[at] == s if len(values) else np.zeros(len(s), dtype=bool)
                     keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
@@ -148,11 +164,11 @@ def _described(docs: DataFrame, size: int, share: tuple[int, int], common: np.nd
                     pivots.append(rare.view(np.int64))
                     kept.append(sketches(s))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), *[pa.array([k[c] for k in kept], pa.binary()) for c in (0, 1)]],
-                    names=["doc_id", "n", "digest", "pivots", "parities", "counts"],
+                    [part.column("row"), pa.array(pivots, pa.list_(pa.int64())), *[pa.array([k[c] for k in kept], pa.binary()) for c in (0, 1)]],
+                    names=["row", "pivots", "parities", "counts"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, digest binary, pivots array<long>, parities binary, counts binary")
+    return rows.select("row", "set").mapInArrow(describe, "row long, pivots array<long>, parities binary, counts binary")
 
 
 def _blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
@@ -238,6 +254,7 @@ def _candidates(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
         return np.frombuffer(b"".join(x or bytes(width) for x in column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         forest = Forest()
         for table in _groups(batches, "pivot"):
             ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
@@ -316,22 +333,18 @@ class Cluster:
             self.join(region)
 
 
-def _links(members: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b): exact links that connect the components of the clusters' members (id, cluster, text)."""
-
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
-                sets = [shingle_set(x.as_py(), size).tobytes() for x in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("shingles"), pa.array(sets, pa.binary())], names=["id", "cluster", "shingles", "set"])
+def _links(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(a, b): exact links that connect the components of the clusters' members (id, cluster, shingles, set)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for table in _groups(batches, "cluster"):
             begin, links = 0, []
             for end in _ends(table, "cluster").tolist():
                 part = table.slice(begin, end - begin)
                 begin = end
+                if part.num_rows < 2:
+                    continue
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in part.column("set").to_pylist()]
                 cluster = Cluster(part.column("id").to_numpy(), sets, share, Forest())
                 cluster.join(np.argsort(cluster.n, kind="stable"))
@@ -340,8 +353,7 @@ def _links(members: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    sets = members.mapInArrow(with_sets, "id long, cluster long, shingles long, set binary")
-    return _blocks(sets, "cluster", "shingles", CLUSTER_BLOCK).mapInArrow(join, "a long, b long")
+    return _blocks(members, "cluster", "shingles", CLUSTER_BLOCK).mapInArrow(join, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), text: str = "text") -> DataFrame:
@@ -349,35 +361,36 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
 
     Two documents are linked when den * common >= num * united, ``share`` being (num, den).
     """
-    docs = docs.select("doc_id", F.col(text).alias("text"))
-    rows = stored(_described(docs, size, share, _common(docs, size)), "sets")
+    sets = _sets(docs.select("doc_id", F.col(text).alias("text")), size)
+    # A stored row keeps its number, which also names the class that it stands for.
+    rows = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(
-        known.groupBy("digest").agg(
-            F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "pivots", "parities", "counts")]
-        ),
-        "classes",
-    )
+    classes = stored(known.groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n")), "classes").withColumnRenamed("row", "id")
+    chosen = rows.select("row", "set").join(classes.select(F.col("id").alias("row")), "row", "left_semi")
+    described = stored(_described(chosen, share, _common(rows)), "described").withColumnRenamed("row", "id")
     per_pivot = Window.partitionBy("pivot")
     # Most pivots are met by one document only; sketches travel with those that are left.
     entries = (
-        classes.select("id", F.explode("pivots").alias("pivot"))
+        described.select("id", F.explode("pivots").alias("pivot"))
         .withColumn("met", F.count("*").over(per_pivot))
         .where("met > 1")
-        .join(classes.select("id", "n", "parities", "counts"), "id")
+        .join(described.select("id", "parities", "counts").join(classes.select("id", "n"), "id"), "id")
     )
     clusters = components(_candidates(_blocks(entries, "pivot", "met", REGION_BLOCK), share), "candidates")
     clusters = clusters.join(classes.select("id", "n"), "id")
     sizes = clusters.groupBy("component_id").agg(F.sum("n").alias("shingles"))
     members = clusters.join(sizes, "component_id").select("id", F.col("component_id").alias("cluster"), "shingles")
-    found = components(_links(docs.join(members, docs["doc_id"] == members["id"]), size, share), "links")
-    named = classes.join(found, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
-    # An empty set is linked with nothing, not even with another empty one.
-    return (
-        rows.withColumn("class", F.when(F.col("n") > 0, F.col("digest")))
-        .join(named.withColumnRenamed("digest", "class"), "class", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    links = _links(rows.select(F.col("row").alias("id"), "set").join(members, "id").select("id", "cluster", "shingles", "set"), share)
+    named = stored(known.select("doc_id", "digest").distinct().join(classes.select("digest", F.col("id").alias("class")), "digest").select("doc_id", "class"), "named")
+    # An id with several texts ties their classes together.
+    several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
+    tied = named.join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
+    found = components(links.unionByName(tied), "links")
+    placed = named.join(found, F.col("class") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "class").alias("_component"))
+    first = placed.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
+    of_id = placed.join(first, "_component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    # Ids without any shingle are linked with nothing, not even with one another.
+    return rows.select("doc_id", "n").join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

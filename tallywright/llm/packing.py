@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.shared import numbered, stored
+from tallywright.llm.workers import WordStore, held, slices
 
 CAPACITY = 2048
 #: Stretches of an order that are packed on their own, at most, and the pieces of one, at least.
 PARTS, LEAST = 16, 8192
-#: Words whose ids a Python worker keeps, some 230 bytes each; a full store is emptied. New words encoded as one text.
-CACHED, TOGETHER = 1_500_000, 4_000
+#: New words encoded as one text, and bytes of texts that are tokenized together.
+TOGETHER, BATCH_BYTES = 4_000, 4_000_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
 #: Marks that may close a word; the tokenizer makes one piece of a run of them, apart from letters.
 _MARKS = ".,;:!?%$#&*"
@@ -54,7 +55,7 @@ class WordIds:
         #: Whether a token closes a run of letters.
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = WordStore()
         self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -88,13 +89,12 @@ class WordIds:
         tails = [w[len(body) :] for w, body in zip(plain, bodies, strict=True)]
         if strange := sorted(set(tails).difference(self.tails)):
             self.tails.update(zip(strange, self._encode(strange), strict=True))
-        self.known.update(zip(rest, self._encode(rest), strict=True))
-        self.known.update({w: ids + self.tails[t] if t else ids for w, ids, t in zip(plain, self._encode_plain(bodies), tails, strict=True)})
+        self.known.learn(dict(zip(rest, self._encode(rest), strict=True)))
+        self.known.learn({w: ids + self.tails[t] if t else ids for w, ids, t in zip(plain, self._encode_plain(bodies), tails, strict=True)})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text the ids and a closing 0."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if self.known.room():
             self.tails = {"": b""}
         # The tokenizer's white space has no file, group, record and unit separators; split() does.
         odd = {i for i, x in enumerate(texts) if any(c in x for c in "\x1c\x1d\x1e\x1f")}
@@ -106,14 +106,9 @@ class WordIds:
         return [(whole[i] if i in odd else b"".join(map(known.__getitem__, ws))) + _CLOSE for i, ws in enumerate(words)]
 
 
-_WORD_IDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The Python worker's own store for the tokenizer at ``path``."""
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+    return held(("ids", path), lambda: WordIds(path))
 
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -128,8 +123,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, place: str |
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for part in slices(batch, "text", BATCH_BYTES):
                 out: list[list] = [[] for _ in names]
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 places = [[x] for x in part.column("place").to_pylist()] if place else [[]] * len(texts)
@@ -203,6 +197,25 @@ def best_fit_runs(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tup
     return runs
 
 
+def _with_runs(pieces: DataFrame, runs: DataFrame, n_runs: int, n: int) -> DataFrame:
+    """``pieces`` joined with the run that holds their ``pos``.
+
+    Runs split the positions into intervals, up to some thousands for one length. Positions are dealt
+    into as many equal buckets as there are runs, so the runs come in at most twice their number of
+    rows, and a piece tests the runs of its bucket only.
+    """
+    width = max(1, -(-n // max(1, n_runs)))
+    bucket = lambda c: F.floor(c / width)
+    by_bucket = runs.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("first_pos")), bucket(F.col("last_pos")))))
+    # Bounded by the number of runs: at most a few for every pair of a length and a gap size.
+    return (
+        pieces.withColumn("_bucket", bucket(F.col("pos")))
+        .join(F.broadcast(by_bucket), "_bucket")
+        .where(F.col("pos").between(F.col("first_pos"), F.col("last_pos")))
+        .drop("_bucket")
+    )
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
@@ -215,10 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
         before[n], rows = rows, rows + histogram[n]
     runs = [(n, before[n] + a, before[n] + b, s, o) for n, a, b, s, o in best_fit_runs(histogram, capacity)]
     schema = "run_length int, first_pos long, last_pos long, first_sequence long, offset long"
-    # Bounded by the numbers of lengths and gap sizes, not by documents.
-    places = F.broadcast(spark.createDataFrame(runs, schema))
-    fits = (F.col("length") == F.col("run_length")) & F.col("pos").between(F.col("first_pos"), F.col("last_pos"))
-    return pieces.join(places, fits).select(
+    return _with_runs(pieces, spark.createDataFrame(runs, schema), len(runs), rows).select(
         "doc_id",
         "piece",
         "start",
@@ -268,10 +278,10 @@ def pack_in_order(docs: DataFrame, tokenizer: str, place: str, capacity: int = C
         runs += [(part, k, before[k] + a, before[k] + b, opened + s, o) for k, a, b, s, o in own]
         opened = max(opened + s + b - a + 1 for _, a, b, s, _ in own)
     schema = "run_part long, run_length int, first_pos long, last_pos long, first_sequence long, offset long"
-    # Bounded by the numbers of parts, lengths and gap sizes, not by documents.
-    places = F.broadcast(spark.createDataFrame(runs, schema))
-    fits = (F.col("part") == F.col("run_part")) & (F.col("length") == F.col("run_length")) & F.col("pos").between(F.col("first_pos"), F.col("last_pos"))
-    placed = stored(pieces.join(places, fits).withColumn("_sequence", F.col("first_sequence") + F.col("pos") - F.col("first_pos")), "placed")
+    placed = stored(
+        _with_runs(pieces, spark.createDataFrame(runs, schema), len(runs), rows).withColumn("_sequence", F.col("first_sequence") + F.col("pos") - F.col("first_pos")),
+        "placed",
+    )
     openings = placed.where(F.col("offset") == 0).select(F.col("_sequence").alias("_opened"), "place")
     order = numbered(openings, ["place", "_opened"], "sequences", "sequence_id").drop("place")
     return placed.join(order, F.col("_sequence") == F.col("_opened")).select(

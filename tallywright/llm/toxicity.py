@@ -17,11 +17,12 @@ all whole texts in Spark; what tasks get is bounded by FEATURES.
 Defined cases: a null or empty text has the score of no words, the model's prior; with labels of one
 kind only that kind's certainty is every score, and 0 without labels; equal texts score equally; an
 id that occurs twice among the labels counts once, with the larger label; null labels do not count;
-extra columns stay.
+extra columns stay, but one named like the score's ``column`` is replaced by it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm.shared import stored
+from tallywright.llm.workers import WordStore, held, slices
 
 #: Characters of the word beginnings.
 PREFIXES = (4, 5)
@@ -60,8 +62,6 @@ IDENTITY_TERMS = [
     ["mujeres", "hombres"],
 ]
 _STRIP = ".,;:!?\"'()[]{}*&%$#|-_<>/\\"
-#: Words whose features a Python worker remembers; a full memory is emptied.
-CACHED = 500_000
 
 
 def word_features(raw: str) -> tuple[int, ...]:
@@ -152,8 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
+            for part in slices(batch, "text", 4_000_000, 256):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -205,30 +204,32 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
     return fit([r["features"] for r in small], y, np.where(y == 1, undo[1], undo[0]), pairs, lam)
 
 
-_WORKERS: dict[int, dict[str, tuple]] = {}
+class Scorer:
+    """A model's weights with the telling features of the words that a worker has met."""
 
+    def __init__(self, model: Model):
+        self.weights, self.bias, self.memory = model.weights, model.bias, WordStore()
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``, from whole texts."""
-    known_by = docs.sparkSession.sparkContext.broadcast(model)
+    def logit(self, text: str | None) -> float:
+        memory, weights = self.memory, self.weights
+        memory.room()
+        words = set((text or "").lower().split())
+        # Nearly all words have no telling feature.
+        memory.learn({w: tuple(f for f in word_features(w) if f in weights) for w in words.difference(memory)})
+        found = set().union(*filter(None, map(memory.__getitem__, words)))
+        return self.bias + sum(weights[f] for f in sorted(found))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
+    """``docs`` with the score of whole texts in ``column``, which replaces one of that name."""
+    known_by, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        weights, bias = known_by.value.weights, known_by.value.bias
-        memory = _WORKERS.setdefault(id(weights), {})
-        if len(memory) > CACHED:
-            memory.clear()
-        out = np.empty(len(texts))
-        for k, x in enumerate(texts):
-            words = set((x or "").lower().split())
-            for w in words.difference(memory):
-                memory[w] = tuple(f for f in word_features(w) if f in weights)
-            # Nearly all words have no telling feature.
-            found = set().union(*filter(None, map(memory.__getitem__, words)))
-            out[k] = bias + sum(weights[f] for f in sorted(found))
-        return pd.Series(_logistic(out))
-
-    return docs.withColumn("score", of(F.col(text)))
+        scorer = held(("toxicity", token), lambda: Scorer(known_by.value))
+        return pd.Series(_logistic(np.array([scorer.logit(x) for x in texts], dtype=np.float64)))
+
+    return docs.withColumn(column, of(F.col(text)))
 
 
 def held_out(doc_id: F.Column) -> F.Column:

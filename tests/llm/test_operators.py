@@ -1,15 +1,17 @@
 """The ten operators on small tables: brute force, exact round trips and the defined edge cases."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import fingerprints, jaccard, licenses, mixing, neighbours, packing, privacy, toxicity, urls, warc
+from tallywright.llm import fingerprints, jaccard, licenses, mixing, neighbours, packing, privacy, toxicity, urls, warc, workers
 from tallywright.llm.components import components
 from tallywright.llm.queries import QUERIES
 
@@ -75,6 +77,35 @@ def test_toxicity_edges(spark, edge):
     assert len({r.score for r in rows if r.doc_id in (2, 3, 4)}) == 1
 
 
+def test_toxicity_held_out(spark):
+    """Rows whose labels training never saw: nearly all toxic ones are found, nearly no clean one is."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r.toxic is not None}
+    rows = [(labels[r.doc_id], r.predicted) for r in QUERIES["op1_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
+    found, wrong = [p for y, p in rows if y], [p for y, p in rows if not y]
+    assert len(found) >= 100 and sum(found) >= 0.9 * len(found) and sum(wrong) <= 0.01 * len(wrong)
+
+
+def test_workers_hold_one_store(spark):
+    """A store is dropped when another owner begins, and emptied beyond its bytes."""
+    workers._HELD.clear()
+    jaccard.shingle_set("some words here", 2)
+    assert [k[0] for k in workers._HELD] == ["shingles"]
+    packing.word_ids(packing.tokenizer_path()).ids(["some words here"])
+    assert [k[0] for k in workers._HELD] == ["ids"]
+    fingerprints.sampler()
+    assert [k[0] for k in workers._HELD] == ["samples"]
+    workers.release()
+    assert not workers._HELD
+    store = workers.WordStore(limit=1000)
+    store.learn({f"w{i}": b"12345" for i in range(10)})
+    assert store.room() and not store and not store.room()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 50, "c", "d"])], names=["t"])
+    assert [b.num_rows for b in workers.slices(batch, "t", 20, 2)] == [2, 1, 2]
+
+
 def test_toxicity_counterfactual(spark):
     """A term that goes along with toxic labels does not condemn a neutral mention."""
     rng = np.random.default_rng(3)
@@ -254,6 +285,14 @@ def test_jaccard_against_brute_force(spark, monkeypatch, size, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, size, num, 100)
 
 
+def test_jaccard_rows_of_one_id_are_one_document(spark):
+    """Ids with several texts are linked by any of them; an id without words among them stays its own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (9, a), (9, None), (12, c), (12, ""), (7, None), (None, a), (20, c + " more"), (20, c + " more")]
+    got = sorted(tuple(r) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, (80, 100)).collect() if r.doc_id is not None)
+    assert got == sorted([(5, 26, 3), (5, 26, 3), (3, 26, 3), (9, 26, 3), (9, 0, 3), (12, 26, 12), (12, 0, 12), (7, 0, 7), (20, 27, 12), (20, 27, 12)])
+
+
 def test_components_of_a_chain(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5000, 5000)], "a long, b long")
