@@ -322,15 +322,33 @@ def test_arc_header_lines():
         list(warc.arc_records(data[:-20]))
 
 
-@pytest.mark.parametrize("weights", [{"a": 512, "b": 256, "c": 256}, {"a": 341, "b": 341, "c": 342}, {"a": 700, "b": 300, "c": 23, None: 1}])
-def test_mixing_period_is_pfair(spark, weights):
-    rows = sorted(mixing.period(spark, weights).collect(), key=lambda r: r.slot)
-    had = defaultdict(int)
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3},
+        {"a": 1 / 7, "b": 2 / 7, None: 4 / 7},
+        {"a": 0.9, "b": 0.0999, "c": 0.0001},
+        {f"s{i}": float(i + 1) ** -0.5 for i in range(60)},
+        {"hot": 1000.0, **{f"s{i}": 1.0 + i % 3 for i in range(3000)}},
+        {f"s{i}": 1.0 for i in range(3000)},
+    ],
+)
+def test_mixing_is_less_than_a_block_off(spark, weights):
+    """Against the unrounded target weights, at every slot; few sources stay within two documents."""
+    slots, total = 6000 if len(weights) < 1000 else 1500, sum(weights.values())
+    rows = [r for r in mixing.schedule(spark, mixing.whole_weights(weights), slots).collect() if r.slot < slots]
+    rows.sort(key=lambda r: r.slot)
+    assert [r.slot for r in rows] == list(range(slots))
+    share = {s: w / total for s, w in weights.items()}
+    had, worst = dict.fromkeys(weights, 0), 0.0
     for t, r in enumerate(rows):
-        assert r.slot == t and r.release <= t < r.due
-        had[r.of] += 1
-        assert all(abs(had[s] - w * (t + 1) / 1024) < 1 for s, w in weights.items())
-    assert had == weights
+        assert r.number == had[r.source]
+        worst = max(worst, abs(had[r.source] - share[r.source] * t))
+        had[r.source] += 1
+        worst = max(worst, abs(had[r.source] - share[r.source] * (t + 1)))
+        assert r.release <= t < r.due
+    worst = max(worst, *(abs(had[s] - share[s] * slots) for s in weights))
+    assert worst < (mixing.BLOCK if len(weights) > 1000 else 2)
 
 
 def test_mixing_edges(spark, edge):
@@ -342,6 +360,17 @@ def test_mixing_edges(spark, edge):
     late = mixing.mixed(docs, {"s1": 1.0}).collect()
     assert {r.source for r in late if r.slot is not None} == {"s1"} and len(late) == len(TEXTS)
     assert mixing.whole_weights({"a": 1, "b": 1, "c": 1}, 10) == {"a": 4, "b": 3, "c": 3}
+    assert mixing.whole_weights({"a": 1.0, "b": 1e-30}) == {"a": mixing.WHOLE - 1, "b": 1}
+
+
+def test_mixing_many_small_sources(spark):
+    """Sources without a whole share of an epoch take part; only the rest of the last one follows unmixed."""
+    docs = [(i, "hot" if i < 1500 else f"s{i % 750}", "x") for i in range(3000)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = mixing.mixed(d, {"hot": 0.5, **{f"s{i}": 0.5 / 750 for i in range(750)}}).collect()
+    assert sorted(r.place for r in rows) == list(range(3000)) and len({r.doc_id for r in rows}) == 3000
+    hot = [r.place for r in rows if r.source == "hot" and r.place < 2000]
+    assert abs(len(hot) - 1000) < 8 and all(r.source == "hot" for r in rows if r.slot is None)
 
 
 def test_fingerprints_estimate_the_similarity(spark, edge, tmp_path):
