@@ -64,14 +64,14 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
     Words are what ASCII white space leaves, with A-Z lower-cased; ``bytes`` do exactly that.
     """
-    known = held(("shingles",), WordStore)
+    store = held(("shingles",), WordStore)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    known.room()
-    fresh = set(words).difference(known)
-    known.update((w, xxhash.xxh3_64_intdigest(w)) for w in fresh)
-    known.size += sum(map(len, fresh)) + known.per_word * len(fresh)
+    store.room()
+    known = store.words
+    if fresh := set(words).difference(known):
+        store.learn({w: xxhash.xxh3_64_intdigest(w) for w in fresh})
     h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     size = min(size, len(h))
     s = np.zeros(len(h) - size + 1, dtype=np.uint64)

@@ -99,7 +99,7 @@ class WordIds:
         # The tokenizer's white space has no file, group, record and unit separators; split() does.
         odd = {i for i, x in enumerate(texts) if any(c in x for c in "\x1c\x1d\x1e\x1f")}
         words = [[] if i in odd else x.split() for i, x in enumerate(texts)]
-        known = self.known
+        known = self.known.words
         if new := set().union(*words).difference(known):
             self._learn(new)
         whole = dict(zip(sorted(odd), self._encode([texts[i] for i in sorted(odd)]), strict=True)) if odd else {}

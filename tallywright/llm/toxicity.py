@@ -211,12 +211,13 @@ class Scorer:
         self.weights, self.bias, self.memory = model.weights, model.bias, WordStore()
 
     def logit(self, text: str | None) -> float:
-        memory, weights = self.memory, self.weights
-        memory.room()
+        known, weights = self.memory.words, self.weights
+        self.memory.room()
         words = set((text or "").lower().split())
         # Nearly all words have no telling feature.
-        memory.learn({w: tuple(f for f in word_features(w) if f in weights) for w in words.difference(memory)})
-        found = set().union(*filter(None, map(memory.__getitem__, words)))
+        if new := words.difference(known):
+            self.memory.learn({w: tuple(f for f in word_features(w) if f in weights) for w in new})
+        found = set().union(*filter(None, map(known.__getitem__, words)))
         return self.bias + sum(weights[f] for f in sorted(found))
 
 

@@ -18,22 +18,25 @@ import pyarrow.compute  # noqa: F401
 LIMIT, PER_WORD = 128_000_000, 150
 
 
-class WordStore(dict):
-    """Values of words. ``learn`` adds some, ``room`` empties a full store between batches."""
+class WordStore:
+    """``words`` and their values. ``learn`` adds some, ``room`` empties a full store between batches.
+
+    ``words`` is a plain dict: set operations look words up in one, but walk through all of a subclass.
+    """
 
     def __init__(self, limit: int = LIMIT, per_word: int = PER_WORD):
-        super().__init__()
+        self.words: dict[Any, Any] = {}
         self.limit, self.per_word, self.size = limit, per_word, 0
 
     def learn(self, values: Mapping[Any, Any]) -> None:
-        self.update(values)
+        self.words.update(values)
         self.size += sum(map(len, values)) + self.per_word * len(values)
 
     def room(self) -> bool:
         """Whether the store was emptied because it was full."""
         if self.size <= self.limit:
             return False
-        self.clear()
+        self.words.clear()
         self.size = 0
         return True
 

@@ -101,7 +101,7 @@ def test_workers_hold_one_store(spark):
     assert not workers._HELD
     store = workers.WordStore(limit=1000)
     store.learn({f"w{i}": b"12345" for i in range(10)})
-    assert store.room() and not store and not store.room()
+    assert store.room() and not store.words and not store.room()
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 50, "c", "d"])], names=["t"])
     assert [b.num_rows for b in workers.slices(batch, "t", 20, 2)] == [2, 1, 2]
 
