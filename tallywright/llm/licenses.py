@@ -1,234 +1,138 @@
 """Licence scan by ordered signature rules, in Spark SQL functions only.
 
-Each text becomes its words, joined by single spaces. A keyword prefilter skips nearly all texts
-and, in those left, nearly all rules; the rest of the rules are regular expressions over the
-joined words. Detections are word intervals. Equal intervals go to the rule with the smaller
-priority number; an interval inside a longer one is suppressed. Phrases of the base contract are
-counted on their own and never suppressed.
+Each text becomes its words, joined by single spaces. The rules are hand-written regular expressions
+over these words (``license_rules``), in families. A keyword prefilter, derived from the rules
+themselves, skips the families none of whose rules can fit; the rules of a family that is left are one
+literal pattern, tried in their order at every place. Detections are word intervals. Equal intervals
+go to the rule with the smaller priority number; an interval inside a longer one is suppressed.
+Phrases of the base contract are counted on their own and never suppressed.
 
 Defined cases: a null text counts as empty; a text without words has no places, null first and
-last word, empty labels and score 0; repeated rows each get their row; extra columns stay; all
-places of a very long text count.
+last word, empty labels and score 0; repeated rows each get their row; extra columns stay, but those
+named like the results are replaced by them; all places of a very long text count.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.license_rules import RULES, Rule, families, keywords
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A run of letters, digits and non-ASCII characters, before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words: all ASCII but letters and digits.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The phrases of the contract and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: Licence families: label, regex of the name, keyword that every name of the family holds, versions.
-FAMILIES = [
-    ("gpl", "(?:gnu )?(?:general public licen[sc]e|gpl)", "gpl|general public", ["1 0", "1", "2 0", "2", "3 0", "3"]),
-    ("lgpl", "(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)", "lgpl|lesser general|library general", ["2 0", "2 1", "2", "3 0", "3"]),
-    ("agpl", "(?:gnu )?(?:affero general public licen[sc]e|agpl)", "agpl|affero", ["1 0", "3 0", "3"]),
-    ("gfdl", "(?:gnu )?(?:free documentation licen[sc]e|gfdl|fdl)", "fdl|free documentation", ["1 1", "1 2", "1 3"]),
-    ("apache", "apache(?: software)?(?: licen[sc]e)?", "apache", ["1 0", "1 1", "2 0", "2"]),
-    ("mpl", "(?:mozilla public licen[sc]e|mpl)", "mpl|mozilla", ["1 0", "1 1", "2 0", "2"]),
-    ("epl", "(?:eclipse public licen[sc]e|epl)", "epl|eclipse", ["1 0", "2 0"]),
-    ("cddl", "(?:common development and distribution licen[sc]e|cddl)", "cddl|common development", ["1 0", "1 1"]),
-    ("eupl", "(?:european union public licen[sc]e|eupl)", "eupl|european union", ["1 0", "1 1", "1 2"]),
-    ("afl", "(?:academic free licen[sc]e|afl)", "afl|academic free", ["1 1", "1 2", "2 0", "2 1", "3 0"]),
-    ("osl", "(?:open software licen[sc]e|osl)", "osl|open software", ["1 0", "2 0", "2 1", "3 0"]),
-    ("artistic", "artistic(?: licen[sc]e)?", "artistic", ["1 0", "2 0"]),
-    ("cc-by", "(?:cc by|creative commons attribution)", "cc by|creative commons", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)", "cc by sa|creative commons", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)", "cc by nc|creative commons", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?derivatives)", "cc by nd|creative commons", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by nc sa|creative commons", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)", "cc by nc nd|creative commons", ["1 0", "2 0", "2 5", "3 0", "4 0"]),
-    ("cc0", "(?:cc0|cc zero|creative commons zero)", "cc0|cc zero|creative commons", ["1 0"]),
-    ("odc-by", "(?:odc by|open data commons attribution licen[sc]e)", "odc by|open data commons", ["1 0"]),
-    ("odbl", "(?:odbl|open database licen[sc]e)", "odbl|open database", ["1 0"]),
-    ("bsl", "(?:boost software licen[sc]e|bsl)", "bsl|boost", ["1 0"]),
-    ("ms-pl", "(?:microsoft (?:public|reciprocal) licen[sc]e|ms pl|ms rl)", "ms pl|ms rl|microsoft", ["1 0"]),
-    ("zpl", "(?:zope public licen[sc]e|zpl)", "zpl|zope", ["1 1", "2 0", "2 1"]),
-    ("psf", "(?:python software foundation licen[sc]e|psf)", "psf|python software", ["2 0", "2"]),
-    ("ofl", "(?:sil open font licen[sc]e|open font licen[sc]e|ofl)", "ofl|open font", ["1 0", "1 1"]),
-]
-#: Families without versions: label, regex, keyword.
-PLAIN = [
-    ("mit", "(?:the )?mit licen[sc]e", "mit"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?", "bsd"),
-    ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?", "bsd"),
-    ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?", "bsd"),
-    ("bsd", "bsd(?: style)? licen[sc]e", "bsd"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
-    ("isc", "isc licen[sc]e", "isc"),
-    ("zlib", "zlib(?: libpng)? licen[sc]e", "zlib"),
-    ("wtfpl", "(?:wtfpl|do what the [^ ]+ you want to public licen[sc]e)", "wtfpl|do what the"),
-    ("unlicense", "(?:the )?unlicense", "unlicense"),
-    ("public-domain", "(?:in|into|to) the public domain", "public domain"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
-    ("no-warranty", "without warranty of any kind", "without warranty"),
-]
-#: Forms of a versioned name, best first: kind, template, confidence.
-FORMS = [
-    ("grant", "(?:released|licensed|distributed|available|published) under(?: the)?(?: terms of)?(?: the)? {name}(?: licen[sc]e)? (?:version |v)?{version}(?: or (?:any )?later(?: version)?)?", 1.0),
-    ("named", "{name}(?: licen[sc]e)? (?:version |v)?{version}(?: or (?:any )?later(?: version)?)?", 0.95),
-]
-UNVERSIONED = [
-    ("grant", "(?:released|licensed|distributed|available|published) under(?: the)?(?: terms of)?(?: the)? {name}", 0.9),
-    ("named", "{name}(?: licen[sc]e)?", 0.8),
-]
-
-
-def _coarse() -> str:
-    """A pattern over raw texts: no rule and no phrase fits a text in which it finds nothing.
-
-    Every rule and phrase holds the name of a family or of a plain rule as whole words, and nothing
-    but separators lies between two words, so the names themselves are the pattern.
-    """
-    separator = WORD.removesuffix("+").replace("[^", "[")
-    names = [name for _, name, _, _ in FAMILIES] + [name for _, name, _ in PLAIN] + [phrase for phrase, _ in PHRASES]
-    spaced = [n.replace("[^ ]+", "@").replace(" ?", "~").replace(" ", f"{separator}+").replace("~", f"{separator}*").replace("@", WORD) for n in names]
-    word = WORD.removesuffix("+")
-    return f"(?i)(?<!{word})(?:{'|'.join(spaced)})(?!{word})"
+#: How sure a phrase of the contract is on its own: like a bare licence name.
+PHRASE_SURE = 0.8
+_FOUND = "struct<start:int,back:int,priority:int,label:string,sure:double>"
+_EMPTY = f"array<{_FOUND}>"
+#: Marks around a detection; both are separators, so no word holds them.
+_OPEN, _SHUT = "\x01", "\x02"
+#: Detections that one step of the suppression takes together.
+_CHUNK = 256
 
 
-#: Built from the rules, so it skips only texts without any detection.
-COARSE = _coarse()
+def joined_words(raw: F.Column) -> F.Column:
+    """The words of a text, A-Z lower-cased, with one space before, between and after them."""
+    words = F.trim(F.regexp_replace(F.translate(raw, UPPER, LOWER), SEPARATORS, " "))
+    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def signature_rules() -> list[dict]:
-    """The ordered rules: priority, label, keywords, regex over space-joined words, confidence.
+def _spaces(text: F.Column) -> F.Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
-    Every family is crossed with its versions and the forms above, so the list is a function of
-    the short tables rather than a table itself; a longer version comes before its prefix.
-    """
-    rules = []
-    for family, name, keyword, versions in FAMILIES:
-        for version in sorted(versions, key=lambda v: (-len(v), v)):
-            for _, form, sure in FORMS:
-                label = f"{family}-{version.replace(' ', '.')}"
-                rules.append((label, keyword, form.format(name=name, version=version), sure))
-    for family, name, keyword in [(f, n, k) for f, n, k, _ in FAMILIES] + PLAIN:
-        for _, form, sure in UNVERSIONED:
-            rules.append((family, keyword, form.format(name=name), sure))
-    return [
-        {"priority": k, "label": label, "keywords": keyword.split("|"), "regex": f"(?<= )(?:{regex})(?= )", "sure": sure}
-        for k, (label, keyword, regex, sure) in enumerate(rules)
-    ]
 
+def _place_count(joined: F.Column, phrase: str) -> tuple[F.Column, F.Column, F.Column]:
+    """(places, first word, last word) of ``phrase``; the two words are null without a place."""
+    pieces = F.split(joined, f"(?<= ){phrase}(?= )", -1)
+    there = F.contains(joined, F.lit(f" {phrase} "))
+    n = F.when(there, F.size(pieces) - 1).otherwise(0)
+    first = F.when(there, _spaces(F.element_at(pieces, 1)) - 1)
+    last = F.when(there, _spaces(joined) - 1 - phrase.count(" ") - _spaces(F.element_at(pieces, -1)))
+    return n, first, last
 
-def _spaces(text: F.Column) -> F.Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
+def _gate(joined: F.Column, rules: list[Rule]) -> F.Column:
+    """Whether a rule may fit; the keywords with "licen" are looked for only where that stands."""
+    licen = [k for k in keywords(rules) if "licen" in k]
+    other = [F.contains(joined, F.lit(k)) for k in keywords(rules) if "licen" not in k]
+    named = [F.contains(joined, F.lit("licen")) & reduce(or_, [F.contains(joined, F.lit(k)) for k in licen])] if licen else []
+    return reduce(or_, other + named)
 
-def _intervals(joined: F.Column, regex: F.Column | str, extra: dict[str, F.Column]) -> F.Column:
-    """Array of (start, end) word intervals at which ``regex`` matches the joined words.
 
-    The text between matches and the matches themselves are counted in spaces, so word numbers
-    come from two linear passes.
+def _detections(joined: F.Column, rules: list[Rule]) -> F.Column:
+    """Array of the detections of one family's rules, which do not overlap each other.
+
+    ``back`` is the negative end, so that the longest detection at a place sorts first.
     """
-    pattern = F.lit(regex) if isinstance(regex, str) else regex
-    between, matched = F.split(joined, pattern, -1), F.regexp_extract_all(joined, pattern, F.lit(0))
-    steps = F.transform(
-        matched,
-        lambda m, i: F.struct(_spaces(F.element_at(between, i + 1)).alias("gap"), (_spaces(m) + 1).alias("n")),
+    pattern = f"(?<= )(?:{'|'.join(r.regex for r in rules)})(?= )"
+    words = F.split(F.regexp_replace(joined, pattern, f"{_OPEN}$0{_SHUT}"), " ", -1)
+    at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull())
+    starts, ends = at(lambda w: F.startswith(w, F.lit(_OPEN))), at(lambda w: F.endswith(w, F.lit(_SHUT)))
+    table = F.array(
+        *[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.sure).alias("sure"), F.lit(f"^(?:{r.regex})$").alias("whole")) for r in rules]
+    )
+    # What matched is short; the first rule that fits all of it is the one that did.
+    which = lambda value: F.element_at(F.filter(table, lambda r: F.rlike(value, r["whole"])), 1)
+    values = F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))
+    named = F.transform(
+        F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("back"))),
+        lambda x, i: F.struct(x["start"], x["back"], which(F.element_at(values, i + 1)).alias("rule")),
     )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    folded = F.aggregate(
-        steps,
-        F.struct(F.lit(-1).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            # A match of n words holds n - 1 spaces; the spaces around it belong to the gaps.
-            (acc["at"] + s["gap"] + s["n"] - 1).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + s["gap"]).alias("start"), (acc["at"] + s["gap"] + s["n"]).alias("end"))),
-            ).alias("out"),
-        ),
-    )["out"]
-    return F.transform(folded, lambda x: F.struct(x["start"], x["end"], *[v.alias(k) for k, v in extra.items()]))
+    found = F.transform(
+        named,
+        lambda x: F.struct(x["start"], x["back"], x["rule"]["priority"].alias("priority"), x["rule"]["label"].alias("label"), x["rule"]["sure"].alias("sure")),
+    )
+    return F.when(_gate(joined, rules), found).otherwise(F.array().cast(_EMPTY))
 
 
-def _place_count(joined: F.Column, phrase: str) -> tuple[F.Column, F.Column, F.Column]:
-    """(places, first word, last word) of ``phrase``; the two words are null without a place."""
-    pieces = F.split(joined, f"(?<= ){phrase}(?= )", -1)
-    n = F.size(pieces) - 1
-    words = _spaces(joined) - 1
-    first = F.when(n > 0, _spaces(F.element_at(pieces, 1)) - 1)
-    last = F.when(n > 0, words + 1 - (phrase.count(" ") + 1) - _spaces(F.element_at(pieces, -1)))
-    return n, first, last
+def _kept(found: F.Column) -> F.Column:
+    """Of sorted detections those that are not inside one before them.
+
+    By start, the longest first and then the better priority: whatever ends no later than one before it lies
+    inside that one, or equals it with a worse priority. Chunks keep the copying of arrays far from quadratic.
+    """
+    none = F.array().cast(_EMPTY)
+
+    def one(acc: F.Column, d: F.Column) -> F.Column:
+        grown = F.struct((-d["back"]).alias("reach"), F.concat(acc["out"], F.array(d)).alias("out"))
+        return F.when(-d["back"] > acc["reach"], grown).otherwise(acc)
+
+    def chunk(acc: F.Column, k: F.Column) -> F.Column:
+        part = F.aggregate(F.slice(found, k * _CHUNK + 1, _CHUNK), F.struct(acc["reach"].alias("reach"), none.alias("out")), one)
+        return F.transform(F.array(part), lambda p: F.struct(p["reach"].alias("reach"), F.concat(acc["outs"], F.array(p["out"])).alias("outs")))[0]
+
+    start = F.struct(F.lit(-1).alias("reach"), F.array().cast(f"array<{_EMPTY}>").alias("outs"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _CHUNK).cast("int"))
+    return F.when(F.size(found) > 0, F.flatten(F.aggregate(chunks, start, chunk)["outs"])).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and detections."""
-    rules = F.array(
-        *[
-            F.struct(
-                F.lit(r["priority"]).alias("priority"),
-                F.lit(r["label"]).alias("label"),
-                F.array(*map(F.lit, r["keywords"])).alias("keywords"),
-                F.lit(r["regex"]).alias("regex"),
-                F.lit(r["sure"]).alias("sure"),
-            )
-            for r in signature_rules()
-        ]
-    )
-    raw = F.coalesce(F.col(text), F.lit(""))
-    words = F.regexp_extract_all(F.translate(raw, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    joined = F.when(raw.rlike(COARSE), F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
-    df = docs.withColumns({"n_words": F.regexp_count(raw, F.lit(WORD)).cast("long"), "_joined": joined})
-    places = [_place_count(F.col("_joined"), p) for p, _ in PHRASES]
+    joined, every = F.col("_joined"), range(len(PHRASES))
+    df = docs.withColumn("_joined", joined_words(F.coalesce(F.col(text), F.lit(""))))
+    places = [_place_count(joined, p) for p, _ in PHRASES]
     df = df.withColumns({f"_{k}_{i}": c for i, place in enumerate(places) for k, c in zip("nfl", place, strict=True)})
-    every = range(len(PHRASES))
-    df = df.withColumns(
-        {
-            "n_base": reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_n_{i}"), F.lit(0)) for i in every]).cast("long"),
-            "first_word": F.least(*[F.col(f"_f_{i}") for i in every]).cast("long"),
-            "last_word": F.greatest(*[F.col(f"_l_{i}") for i in every]).cast("long"),
-            "_base": F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"_n_{i}") > 0, F.lit(PHRASES[i][1])) for i in every])))),
-        }
-    )
-    fitting = F.filter(rules, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_joined"), k)))
-    found = F.flatten(
-        F.transform(
-            fitting,
-            lambda r: _intervals(F.col("_joined"), r["regex"], {"priority": r["priority"], "label": r["label"], "sure": r["sure"]}),
-        )
-    )
-    # By start, the longest first and then the better priority: whatever ends no later than one
-    # before it lies inside that one, or equals it with a worse priority.
-    df = df.withColumn(
-        "_found",
-        F.when(
-            F.col("_joined").isNotNull(),
-            F.transform(
-                F.array_sort(
-                    F.transform(found, lambda d: F.struct(d["start"], (-d["end"]).alias("back"), d["priority"], d["label"], d["sure"]))
-                ),
-                lambda d: d,
-            ),
-        ),
-    )
-    kept = F.aggregate(
-        F.col("_found"),
-        F.struct(F.lit(-1).alias("reach"), F.slice(F.col("_found"), 1, 0).alias("out")),
-        lambda acc, d: F.when(
-            -d["back"] > acc["reach"], F.struct((-d["back"]).alias("reach"), F.concat(acc["out"], F.array(d)).alias("out"))
-        ).otherwise(acc),
-    )["out"]
-    none = F.array().cast("array<string>")
-    df = df.withColumn("detections", F.coalesce(kept, F.array().cast("array<struct<start:int,back:int,priority:int,label:string,sure:double>>")))
-    method = F.coalesce(F.transform("detections", lambda d: d["label"]), none)
+    df = df.withColumn("_found", F.array_sort(F.concat(*[_detections(joined, rules) for rules in families().values()])))
+    df = df.withColumn("detections", _kept(F.col("_found")))
+    base = F.array_compact(F.array(*[F.when(F.col(f"_n_{i}") > 0, F.lit(PHRASES[i][1])) for i in every]))
     sure = F.coalesce(F.array_max(F.transform("detections", lambda d: d["sure"])), F.lit(0.0))
     return df.withColumns(
         {
-            "base_labels": F.array_join("_base", ","),
-            "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce("_base", none), method))), ","),
-            # A contract phrase alone is as sure as a bare licence name.
-            "score": F.greatest(sure, F.when(F.col("n_base") > 0, F.lit(0.8)).otherwise(F.lit(0.0))),
+            "n_words": (_spaces(joined) - 1).cast("long"),
+            "n_base": reduce(add, [F.col(f"_n_{i}") for i in every]).cast("long"),
+            "first_word": F.least(*[F.col(f"_f_{i}") for i in every]).cast("long"),
+            "last_word": F.greatest(*[F.col(f"_l_{i}") for i in every]).cast("long"),
+            "base_labels": F.array_join(F.array_sort(F.array_distinct(base)), ","),
+            "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.transform("detections", lambda d: d["label"])))), ","),
+            "score": F.greatest(sure, F.when(F.size(base) > 0, F.lit(PHRASE_SURE)).otherwise(F.lit(0.0))),
         }
-    ).drop("_joined", "_found", "_base", *[f"_{k}_{i}" for k in "nfl" for i in every])
+    ).drop("_joined", "_found", *[f"_{k}_{i}" for k in "nfl" for i in every])
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,31 +143,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_regex(regex: str) -> str:
     """A rule for words that each have a space of their own on either side; SQL has no look-around."""
-    doubled = regex.replace(" ?", "(?:@)?").replace("[^ ]", "[^@]").replace(" ", "  ").replace("(?:@)?", "(?:  )?").replace("[^@]", "[^ ]")
-    return f" (?:{doubled}) "
-
-
-_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_COARSE_SQL = (
-    r"(?i)licen[sc]|copyright|copyleft|spdx|warranty|public domain|all rights reserved|"
-    rf"(?:^|{_SEPARATOR})(?:cc|a?l?gpl|mit|bsd|mpl|epl|apache)(?:{_SEPARATOR}|$)"
-)
-_RULES_SQL = ", ".join(
-    f"({r['priority']}, '{r['label']}', '{_sql_regex(r['regex'].removeprefix('(?<= )(?:').removesuffix(')(?= )'))}', {r['sure']}::DOUBLE)" for r in signature_rules()
-)
-_PHRASES_SQL = ", ".join(f"({-1 - k}, '{label}', '{_sql_regex(phrase)}', 0::DOUBLE)" for k, (phrase, label) in enumerate(PHRASES))
+    return f" (?:{regex.replace('[^ ]', '@').replace(' ', '  ').replace('@', '[^ ]')}) "
+
+
+_FAMILIES_SQL = ", ".join(f"('{name}', '{_sql_regex('|'.join(r.regex for r in rules))}')" for name, rules in families().items())
+_RULES_SQL = ", ".join(f"('{r.family}', {r.priority}, '{r.label}', '{_sql_regex(r.regex)}', {r.sure}::DOUBLE)" for r in RULES)
+_PHRASES_SQL = ", ".join(f"('{label}', '{_sql_regex(phrase)}')" for phrase, label in PHRASES)
 OP10_SQL = rf"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-t AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS t FROM w WHERE regexp_matches(raw, '{_COARSE_SQL}')),
-r(priority, label, regex, sure) AS (VALUES {_RULES_SQL}, {_PHRASES_SQL}),
-x AS (SELECT doc_id, priority, label, sure, list_transform(regexp_extract_all(t, regex), lambda v: (length(v) - length(replace(v, ' ', ''))) // 2) AS m,
-             list_transform(regexp_split_to_array(t, regex), lambda v: (length(v) - length(replace(v, ' ', ''))) // 2) AS g FROM t, r WHERE regexp_matches(t, regex)),
-s AS (SELECT doc_id, priority, label, sure, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': (list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0))::BIGINT,
-             'b': (list_sum(g[1:i]) + list_sum(m[1:i]))::BIGINT}})) AS p FROM x),
-k AS (SELECT *, coalesce(max(p.b) OVER (PARTITION BY doc_id ORDER BY p.a, p.b DESC, priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach FROM s WHERE priority >= 0),
-l AS (SELECT doc_id, label, sure, false AS base FROM k WHERE p.b > reach UNION ALL SELECT doc_id, label, 0.8, true FROM s WHERE priority < 0),
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS t FROM w),
+f(family, regex) AS (VALUES {_FAMILIES_SQL}),
+h(label, regex) AS (VALUES {_PHRASES_SQL}),
+r(family, priority, label, regex, sure) AS (VALUES {_RULES_SQL}),
+y AS (SELECT family, NULL AS label, regex FROM f UNION ALL SELECT NULL, label, regex FROM h),
+x AS (SELECT doc_id, family, label, regexp_extract_all(t, regex) AS v, list_transform(regexp_extract_all(t, regex), lambda v: (length(v) - length(replace(v, ' ', ''))) // 2) AS m,
+             list_transform(regexp_split_to_array(t, regex), lambda v: (length(v) - length(replace(v, ' ', ''))) // 2) AS g FROM t, y WHERE regexp_matches(t, regex)),
+s AS (SELECT doc_id, family, label, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': (list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0))::BIGINT,
+             'b': (list_sum(g[1:i]) + list_sum(m[1:i]))::BIGINT, 'v': v[i]}})) AS p FROM x),
+z AS (SELECT DISTINCT family, p.v AS v FROM s WHERE family IS NOT NULL),
+n AS (SELECT z.family, z.v, min(priority) AS priority FROM z JOIN r ON r.family = z.family AND regexp_full_match(z.v, r.regex) GROUP BY z.family, z.v),
+d AS (SELECT s.doc_id, s.p.a AS a, s.p.b AS b, n.priority FROM s JOIN n ON n.family = s.family AND n.v = s.p.v),
+k AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b DESC, priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach FROM d),
+l AS (SELECT doc_id, r.label, r.sure, false AS base FROM k JOIN r USING (priority) WHERE b > reach UNION ALL SELECT doc_id, label, {PHRASE_SURE}, true FROM s WHERE family IS NULL),
 o AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, max(sure) AS score FROM l GROUP BY doc_id),
-b AS (SELECT doc_id, count(*) AS n_base, min(p.a) AS first_word, max(p.a) AS last_word FROM s WHERE priority < 0 GROUP BY doc_id)
+b AS (SELECT doc_id, count(*) AS n_base, min(p.a) AS first_word, max(p.a) AS last_word FROM s WHERE family IS NULL GROUP BY doc_id)
 SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM w LEFT JOIN o USING (doc_id) LEFT JOIN b USING (doc_id)

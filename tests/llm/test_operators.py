@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.llm import fingerprints, jaccard, licenses, mixing, neighbours, packing, privacy, toxicity, urls, warc, workers
+from tallywright.llm import fingerprints, jaccard, license_rules, licenses, mixing, neighbours, packing, privacy, toxicity, urls, warc, workers
 from tallywright.llm.components import components
 from tallywright.llm.queries import QUERIES
 
@@ -466,8 +466,8 @@ def test_licenses_against_brute_force(spark, tmp_path):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     by_text = {texts[r.doc_id]: r.labels for r in rows}
     assert by_text["cc by cc by-nc 4.0 CC\tBY"] == "cc-by,cc-by-nc-4.0"
-    assert by_text[TEXTS[8][1]] == "gpl,gpl-3,mit"
-    assert len(licenses.signature_rules()) >= 200
+    assert by_text[TEXTS[8][1]] == "gpl,gpl-3.0,mit"
+    assert len(license_rules.RULES) >= 200 and len({r.regex for r in license_rules.RULES}) == len(license_rules.RULES)
 
 
 def shortest(regex):
@@ -500,19 +500,47 @@ def shortest(regex):
 
 
 def test_licenses_every_rule_alone(spark):
-    rules, sets = licenses.signature_rules(), []
-    for r in rules:
-        text = shortest(r["regex"])
-        sets += [(r["label"], text), (r["label"], text.upper().replace(" ", "\n -"))]
-    extra = [
-        ("cc-by-4.0", "Creative Commons Attribution 4.0"), ("cc0-1.0", "CC0 1.0"), ("bsd-2-clause", "FreeBSD"), ("ms-pl", "(Ms-PL)"),
-        ("cc-by-sa-3.0", "creative commons attribution ShareAlike 3.0"), ("proprietary", "All rights\nreserved"),
-        ("public-domain", "put into the public\ndomain"), ("wtfpl", "do what the f*** you want to public licence".replace("f***", "heck")),
-        ("", "limited permit, odd artistically"), ("", None),
-    ]
-    sets += extra
+    """Each rule gives its label to a text that only it fits, in other cases and with other separators too."""
+    sets = []
+    for r in license_rules.RULES:
+        text = shortest(r.regex)
+        assert any(k in f" {text} " for k in r.keywords), r
+        sets += [(r.label, text), (r.label, text.upper().replace(" ", "\n -"))]
+    sets += [
+        ("cc-by-4.0", "Creative Commons Attribution 4.0 International"), ("cc0-1.0", "CC0 1.0"), ("bsd-2-clause", "FreeBSD"), ("ms-pl", "(Ms-PL)"),
+        ("cc-by-sa-3.0", "creative commons attribution ShareAlike 3.0"), ("proprietary", "All rights\nreserved"), ("gfdl-1.3", "GFDL 1.3"),
+        ("public-domain", "put into the public\ndomain"), ("wtfpl", "do what the heck you want to public licence"), ("wtfpl", "WTFPL"),
+        ("cddl-1.0", "CDDL 1.0"), ("eupl-1.2", "EUPL-1.2"), ("osl-3.0", "OSL 3.0"), ("afl-3.0", "AFL 3.0"), ("artistic-2.0", "Artistic 2.0"),
+        ("odbl-1.0", "ODbL 1.0"), ("ofl-1.1", "OFL 1.1"), ("zpl-2.1", "ZPL 2.1"), ("psf-2.0", "PSF-2.0"), ("bsl-1.0", "Boost BSL 1.0"),
+        ("ms-pl", "MS-PL 1.0"), ("odc-by-1.0", "ODC-BY 1.0"), ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided"),
+        ("gpl-2.0-or-later", "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+        ("lgpl-2.1", "GNU Lesser General Public License v2.1"), ("mpl-2.0", "MPL-2.0"), ("gpl-3.0", "GPLv3"), ("agpl-3.0", "AGPL-3.0-only"),
+    ]
     d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(sets)], "doc_id long, text string").repartition(8)
     rows = licenses.scan_licenses(d).select("doc_id", "labels").collect()
     assert len(rows) == len(sets)
     wrong = [(sets[r.doc_id], r.labels) for r in rows if sets[r.doc_id][0] not in r.labels.split(",")]
     assert not wrong
+
+
+def test_licenses_no_false_labels(spark):
+    clean = [
+        "This license: an artistic view, apache helicopter, epl season", "limited permit, odd artistically", None, "", "the mit campus and bsd people",
+        "a boost of 1.0 in the mozilla fox", "gpl", "cc me in the mail, by 4.0 at the latest", "they rest later or 3 years later under the sea",
+        "apache 2 helicopters", "public opinion in the domain", "the licence plate of the car", "afl game 3", "permission is granted by the office",
+    ]
+    d = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
+    rows = {clean[r.doc_id]: (r.labels, r.score) for r in licenses.scan_licenses(d).collect()}
+    assert rows == dict.fromkeys(clean, ("", 0.0))
+
+
+def test_licenses_overlaps(spark):
+    """A detection inside a longer one is suppressed, places of a long text all count."""
+    long = "MIT License; " * 3000 + "licensed under the Apache License, Version 2.0"
+    d = spark.createDataFrame([(0, long), (1, "CC BY-NC-SA 4.0"), (2, "GNU Lesser General Public License 3.0")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(d.withColumn("labels", F.lit("x"))).collect()}
+    assert rows[0].labels == "apache,apache-2.0,mit" and rows[0].n_base == 3001 and len(rows[0].detections) == 3001
+    assert rows[0].detections[-1].start == 6000 and -rows[0].detections[-1].back == 6008
+    assert rows[1].labels == "cc-by,cc-by-nc-sa-4.0" and rows[2].labels == "lgpl-3.0"
