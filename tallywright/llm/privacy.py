@@ -246,14 +246,26 @@ def document_disclosures(found: DataFrame, docs: DataFrame, text: str = "text")
     )
 
 
-def _given_away(raw: F.Column, base: F.Column, given: F.Column) -> F.Column:
-    """Array of (start, end, share): every place in ``raw`` of the (term, share) in ``given``, base spans apart."""
-    shares = F.map_from_entries(given)
-    forms = F.filter(F.array_distinct(F.regexp_extract_all(raw, F.lit(TERM), F.lit(0))), lambda w: F.map_contains_key(shares, F.lower(w)))
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(forms, "|"), F.lit(r")(?!\p{L})"))
-    spans = F.when(F.size(forms) > 0, _placed(raw, pattern)).otherwise(F.array().cast(f"array<{_SPAN}>"))
-    apart = F.filter(spans, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
-    return F.transform(apart, lambda t: F.struct(t["start"], t["end"], F.element_at(shares, F.lower(t["value"])).alias("share")))
+def _without(masked: F.Column, given: F.Column) -> F.Column:
+    """``masked`` text without the words of ``given`` (term, share), wherever they stand.
+
+    The text is taken apart into kinds, words and what lies between. A word is looked for in one of many
+    small buckets of terms, so the work grows with the words and not with words times terms.
+    """
+    n = F.greatest(F.lit(1), F.floor(F.size(given) / 4).cast("int"))
+    slot = lambda word, n: F.pmod(F.hash(word), n)
+    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(given, lambda g: slot(g["term"], n) == k))
+    pieces = F.regexp_extract_all(masked, F.lit(rf"\[(?:{'|'.join(KINDS).upper()})\]|\p{{L}}++|\[|[^\p{{L}}\[]++"), F.lit(0))
+
+    def cleaned(b: F.Column) -> F.Column:
+        def put(word: F.Column) -> F.Column:
+            held = F.filter(F.element_at(b["buckets"], slot(F.lower(word), b["n"]) + 1), lambda g: g["term"] == F.lower(word))
+            return F.coalesce(F.get(F.transform(held, lambda g: F.when(g["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[WORD]"))), F.lit(0)), word)
+
+        return F.array_join(F.transform(pieces, put), "")
+
+    # An array of one value gives the buckets a name, so that they are made once a row.
+    return F.transform(F.array(F.struct(n.alias("n"), buckets.alias("buckets"))), cleaned)[0]
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -279,7 +291,7 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = found.where(F.size(F.concat(*KINDS)) > 0).join(given, same, "left").drop("_id", "_row")
     rows = rows.withColumnsRenamed({"doc_id": "_id", "text_key": "_row"}).dropDuplicates(["_id", "_row"])
     cut = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put"))
-    rows = rows.select("_id", "_row", "_given", F.concat(*KINDS).alias("_base"), F.concat(*[_each(k, cut) for k in KINDS]).alias("_puts"))
+    rows = rows.select("_id", "_row", "_given", F.concat(*[_each(k, cut) for k in KINDS]).alias("_puts"))
     raw = F.col(text)
     folded = F.aggregate(
         F.col("_cuts"),
@@ -291,14 +303,10 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
         ).otherwise(F.struct(F.greatest(acc["at"], c["end"]).alias("at"), acc["out"].alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.length(raw))),
     )
-    none = F.array().cast("array<struct<start:int,end:int,put:string>>")
-    terms = F.transform(
-        _given_away(F.col(text), F.col("_base"), F.col("_given")),
-        lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[WORD]")).alias("put")),
-    )
     joined = docs.withColumn("_key", _key(text)).join(rows, F.col("_key").eqNullSafe(F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("_cuts", F.array_sort(F.concat("_puts", F.when(F.col("_given").isNotNull(), terms).otherwise(none))))
-    out = joined.withColumn(text, F.when(F.col("_cuts").isNotNull(), folded).otherwise(raw))
+    joined = joined.withColumn("_cuts", F.array_sort("_puts"))
+    masked = F.when(F.col("_cuts").isNotNull(), folded).otherwise(raw)
+    out = joined.withColumn("_masked", masked).withColumn(text, F.when(F.col("_given").isNotNull(), _without(F.col("_masked"), F.col("_given"))).otherwise(F.col("_masked")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
