@@ -386,9 +386,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
     several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
     tied = named.join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
     found = components(links.unionByName(tied), "links")
-    placed = named.join(found, F.col("class") == F.col("id"), "left").select("doc_id", F.coalesce("component_id", "class").alias("_component"))
-    first = placed.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
-    of_id = placed.join(first, "_component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    # Copies share a class, so all but the last join is one row per class.
+    placed = named.groupBy("class").agg(F.min("doc_id").alias("first_id")).join(found, F.col("class") == F.col("id"), "left").select("class", "first_id", F.coalesce("component_id", "class").alias("_component"))
+    first = placed.groupBy("_component").agg(F.min("first_id").alias("component_id"))
+    of_id = named.join(placed.join(first, "_component").select("class", "component_id"), "class").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     # Ids without any shingle are linked with nothing, not even with one another.
     return rows.select("doc_id", "n").join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
