@@ -47,6 +47,28 @@ def mean_clusters(df: DataFrame, group: str, at: str, tolerance: Column) -> Data
     return rows.select(group, F.posexplode(folded).alias("cluster", "_c")).select(group, "cluster", (F.col("_c.sum") / F.col("_c.n")).alias("center"), F.col("_c.n").alias("n"))
 
 
+def mean_lines(df: DataFrame, group: list[str], order: list[str], at: str, key: str, tolerance: str, name: str = "line") -> DataFrame:
+    """``df`` with the number of the line that each row is in: rows, in ``order``, join the first line
+    whose running mean of ``at`` is within ``tolerance``.
+
+    A line's mean and not its last member decides, so lines cannot drift from box to box. The fold
+    goes over one group, a screen with its boxes.
+    """
+    kind = "array<struct<sum:double,n:int,keys:array<bigint>>>"
+    members = F.array_sort(F.collect_list(F.struct(*order, F.col(at).cast("double").alias("_at"), F.col(key).cast("long").alias("_key"))))
+    rows = df.groupBy(*group).agg(members.alias("_m"), F.max(tolerance).cast("double").alias("_t"))
+
+    def put(acc: Column, m: Column) -> Column:
+        near = F.transform(acc, lambda c: F.abs(c["sum"] / c["n"] - m["_at"]) <= F.col("_t"))
+        first = F.array_position(near, F.lit(True)) - 1
+        grown = lambda c: F.struct((c["sum"] + m["_at"]).alias("sum"), (c["n"] + 1).alias("n"), F.concat(c["keys"], F.array(m["_key"])).alias("keys"))
+        alone = F.struct(m["_at"].alias("sum"), F.lit(1).alias("n"), F.array(m["_key"]).alias("keys"))
+        return F.when(first >= 0, F.transform(acc, lambda c, i: F.when(i == first, grown(c)).otherwise(c))).otherwise(F.concat(acc, F.array(alone)))
+
+    lines = rows.select(*group, F.posexplode(F.aggregate("_m", F.array().cast(kind), put)).alias(name, "_c")).select(*group, name, F.explode("_c.keys").alias(key))
+    return df.join(lines.withColumn(key, F.col(key).cast(df.schema[key].dataType)), [*group, key])
+
+
 def merged_runs(df: DataFrame, group: str, start: str, end: str, size: Column, ratio: float = V.PHRASE_RATIO) -> DataFrame:
     """(group, run, start, end, n): intervals join their predecessors while the gap to what is merged
     so far lies in [-0.2 size, ratio size]."""

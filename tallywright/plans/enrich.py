@@ -6,12 +6,13 @@ Holdings have (pos, name, assetClass, currency, qty, price, value, cost, pnl, sy
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import numbers as N
 from tallywright.functions import text as S
 from tallywright.functions import vocabulary as V
+from tallywright.operators import matching
 
 
 def cash(df: DataFrame) -> Column:
@@ -53,9 +54,9 @@ def quantity_gate(df: DataFrame, fx: Column) -> DataFrame:
 
 def derived(df: DataFrame, fx: Column, as_of: Column) -> DataFrame:
     """Missing quantities: from the first unit price of the symbol in another row, then from the close."""
-    first = Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    unit = F.first(F.when(S.truthy(F.col("qty")), F.try_divide(F.col("value"), F.col("qty"))), ignorenulls=True).over(first)
-    df = df.withColumn("_unit", F.when(F.col("symbol").isNotNull(), unit))
+    unit = F.when(S.truthy(F.col("qty")), F.try_divide(F.col("value"), F.col("qty")))
+    # Aggregated per symbol and joined: rows without a symbol meet nothing and stay where they are.
+    df = matching.transfer_first(df, "symbol", ["pos"], F.when(F.col("symbol").isNotNull(), unit), "_unit")
     need = ~S.truthy(F.col("qty")) & F.col("symbol").isNotNull()
     foreign = F.when(F.col("currency") == "USD", fx).otherwise(F.lit(1.0))
     across = N.residual_tier(F.col("value"), F.col("_unit"))

@@ -306,7 +306,7 @@ FROM ids LEFT JOIN g USING (conv_id)
 def screen_classify(spark, sf):
     """Every conversation number up to the last, and one more that is empty, by the kinds of its turns."""
     turns = table(spark, sf, "conversations")
-    last = turns.agg(F.max("conv_id").alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m") + 1)).alias("conv_id"))
+    last = spark.range((turns.agg(F.max("conv_id")).first()[0] or 0) + 2).withColumnRenamed("id", "conv_id")
     tokens = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0))))
     return totals.classified(last, turns.withColumn("tokens", tokens), "conv_id", F.col("role") == "system", "tokens")
 
@@ -685,7 +685,7 @@ def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFr
 
         folder = tempfile.mkdtemp(prefix="tallywright-")
     key = uuid.uuid4().hex
-    return jobs.run_to_table(stream, f"{name}_{key}", mode, f"{folder.rstrip('/')}/{name}-{key}")
+    return jobs.run_to_table(stream, mode, f"{folder.rstrip('/')}/{name}-{key}")
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS done FROM events GROUP BY user_id")

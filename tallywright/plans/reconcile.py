@@ -69,7 +69,7 @@ def reference_totals(rows: DataFrame) -> DataFrame:
 
 def details(rows: DataFrame) -> DataFrame:
     """Rows of detail screens that are holdings: with a value, each value once, without total rows."""
-    own = rows.where((F.col("class") == "detail") & S.truthy(F.col("value")) & (F.col("name") != SCREEN_TOTAL) & ~S.is_field_label(F.col("name")))
+    own = rows.where((F.col("class") == "detail") & S.truthy(F.col("value")) & ~F.col("name").eqNullSafe(SCREEN_TOTAL) & ~F.coalesce(S.is_field_label(F.col("name")), F.lit(False)))
     return totals.without_total_rows(totals.first_per_value(own, SCREEN, F.col("value"), ["pos"]), SCREEN, "value")
 
 

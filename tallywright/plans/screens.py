@@ -31,9 +31,7 @@ def placed(boxes: DataFrame) -> DataFrame:
     b = boxes.join(metrics(boxes), SCREEN).withColumn("cy", F.col("y") + F.col("h") / 2)
     chrome = (F.col("y") < F.col("top") + CHROME * F.col("h0")) & (F.col("text").rlike(r"^\d{1,2}:\d{2}") | F.contains("text", F.lit("%")) | (F.length("text") <= 6))
     b = b.where(~chrome)
-    w = Window.partitionBy(*SCREEN).orderBy("cy", "x", "box_id")
-    fresh = F.coalesce((F.col("cy") - F.lag("cy").over(w) > V.LINE_TOLERANCE * F.col("h0")).cast("int"), F.lit(0))
-    b = b.withColumn("_new", fresh).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    b = sequences.mean_lines(b.withColumn("_near", V.LINE_TOLERANCE * F.col("h0")), SCREEN, ["cy", "x"], "cy", "box_id", "_near").drop("_near")
     line = Window.partitionBy(*SCREEN, "line")
     index = F.max(S.is_index_line(F.col("text")).cast("int")).over(line) == 1
     return b.withColumn("_i", index).where("not _i").drop("_i")

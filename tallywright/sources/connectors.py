@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +90,23 @@ def snapshot(quotes: DataFrame, as_of: str, source: str, fx: Column) -> DataFram
 
 
 def publish(df: DataFrame, path: str) -> bool:
-    """Replace the snapshot at ``path`` through Spark's commit protocol; an empty one is not published."""
+    """Replace the snapshot at ``path``; an empty one is not published.
+
+    The new snapshot is written aside and renamed, so a failed write leaves the old one as it was.
+    """
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").json(path)
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    fresh, old = f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    df.write.json(fresh)
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = files.exists(at(path)) and files.rename(at(path), at(old))
+    if not files.rename(at(fresh), at(path)):
+        if had:
+            files.rename(at(old), at(path))
+        raise OSError(f"the snapshot could not be moved to {path}")
+    if had:
+        files.delete(at(old), True)
     return True

@@ -26,8 +26,21 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str) -> DataF
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select("session_window.start", "session_window.end", key, "n")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is now and give its result."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what there is now and give its result, kept as Parquet below ``folder``.
+
+    A batch that is tried again overwrites its own files. In complete mode the last batch is the
+    whole result; else all batches are. Nothing comes to the driver.
+    """
+    seen: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/table/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        if path not in seen:
+            seen.append(path)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*(seen[-1:] if mode == "complete" else seen)) if seen else spark.createDataFrame([], stream.schema)

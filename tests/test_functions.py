@@ -168,7 +168,31 @@ def test_streams_with_windows(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
     spark.createDataFrame([("a", at(0)), ("a", at(30)), ("a", at(900)), ("b", at(2000))], "k string, ts timestamp").write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "e"))
-    out = jobs.run_to_table(jobs.sessions(stream, "ts", "k", "5 minutes", "0 seconds"), "sessions_t", "append", str(tmp_path / "c1"))
+    out = jobs.run_to_table(jobs.sessions(stream, "ts", "k", "5 minutes", "0 seconds"), "append", str(tmp_path / "c1"))
     assert sorted((r.k, r.n) for r in out.collect()) == [("a", 1), ("a", 2)]  # the last one is still open
-    out = jobs.run_to_table(jobs.windows(stream, "ts", "k", "10 minutes", "0 seconds"), "windows_t", "update", str(tmp_path / "c2"))
+    out = jobs.run_to_table(jobs.windows(stream, "ts", "k", "10 minutes", "0 seconds"), "update", str(tmp_path / "c2"))
     assert sorted((r.k, r.n) for r in out.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_lines_do_not_drift(spark):
+    """Boxes that follow each other at small steps do not become one line."""
+    rows = [("a", k, 10.0 + 5 * k, k, 8.0) for k in range(6)] + [("b", 0, 1.0, 0, 8.0), ("b", 1, 100.0, 0, 8.0)]
+    d = spark.createDataFrame(rows, "s string, box_id int, cy double, x int, near double")
+    got = {(r.s, r.box_id): r.line for r in sequences.mean_lines(d, ["s"], ["cy", "x"], "cy", "box_id", "near").collect()}
+    want, lines = {}, []
+    for s, k, cy, _, near in rows:
+        if s == "a":
+            at = next((i for i, line in enumerate(lines) if abs(sum(line) / len(line) - cy) <= near), None)
+            lines = [*lines, [cy]] if at is None else [[*line, cy] if i == at else line for i, line in enumerate(lines)]
+            want[s, k] = len(lines) - 1 if at is None else at
+    assert {k: v for k, v in got.items() if k[0] == "a"} == want and len(set(want.values())) > 1
+    assert got["b", 0] != got["b", 1]
+
+
+def test_publish_replaces_a_snapshot(spark, tmp_path):
+    path = str(tmp_path / "snapshot")
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    assert connectors.publish(frame(1, 2), path) and connectors.publish(frame(3), path)
+    assert not connectors.publish(frame(), path)
+    assert [r.v for r in spark.read.json(path).collect()] == [3]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["snapshot"]
