@@ -311,6 +311,24 @@ def test_warc_round_trip(spark, edge):
     assert rows == sorted(want)
 
 
+def test_warc_large_payloads_and_equal_rows(spark, tmp_path):
+    """Sizes of all classes, one of 50 MB; equal rows have identifiers of their own and revisits name a response."""
+    big = "0123456789abcdef" * (50 * 2**16)
+    texts = [(1, big), (2, big), (3, "y" * 2**19), (4, "z" * 5000), (4, "z" * 5000), (9, "z" * 5000), (9, "z" * 5000), (None, "w" * 3000)]
+    pages = spark.createDataFrame([(i, "http://a/", h) for i, h in texts], "page_id long, url string, html string")
+    warc.write_arc(pages, f"{tmp_path}/arc", 2)
+    for size, (_, most) in enumerate(warc.SIZES):
+        warc.convert(spark, f"{tmp_path}/arc/size={size}", f"{tmp_path}/warc/size={size}", most)
+    records = warc.read_warc(spark, f"{tmp_path}/warc/size=*")
+    rows = records.collect()
+    assert len({r.record_id for r in rows}) == len(texts)
+    responses = {r.record_id: r.page_id for r in rows if r.record_type == "response"}
+    assert sorted((r.page_id, responses[r.refers_to]) for r in rows if r.refers_to) == [(1, 2), (4, 9), (4, 9)]
+    assert sorted((r.page_id, r.refers_to) for r in warc.resolved(records).collect() if r.refers_to) == [(1, 2), (4, 9), (4, 9)]
+    files = [r.path for r in warc._files(spark, f"{tmp_path}/arc/size=2").collect()]
+    assert len(files) == 2
+
+
 def test_arc_header_lines():
     one = b"filedesc://a.arc 0.0.0.0 20240101000000 text/plain 76\n1 0 origin\nURL IP-address Archive-date Content-type Archive-length\n\n"
     head = len(b"1 0 origin\nURL IP-address Archive-date Content-type Archive-length\n")
