@@ -120,3 +120,13 @@ def filled_fields(*fields: Column) -> Column:
 def upper_median(values: Column) -> Column:
     """The middle of a sorted array, the upper one of two."""
     return F.try_element_at(F.sort_array(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
+
+
+def screen_arithmetic(qty: Column, unit_cost: Column, price: Column, value: Column) -> Column:
+    """struct(cost, value): what quantity and unit prices of a screen come to; a value that is there stays."""
+    return F.struct((qty * unit_cost).alias("cost"), F.coalesce(value, F.when(qty != 0, qty * price)).alias("value"))
+
+
+def iso_z(ts: Column) -> Column:
+    """An instant as text in UTC, to the second."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -50,6 +50,10 @@ SLIP_BROKEN, SLIP_FIXED, SLIP_FACTORS = 0.01, 0.001, (0.1, 0.01, 10.0, 100.0)
 QTY_BLANK, QTY_SURE, QTY_GROSS, SYMBOL_GATE = 1 / 3, 0.10, 0.35, 0.10
 IDENTITY, DISPLAY, FOREIGN_CASH = 0.001, 0.02, 0.02
 FX_LOW, FX_HIGH = 500.0, 3000.0
+DOLLAR_CASH, WON_CASH = 1e6, 1e5
+PITCH_SHARE, PITCH_LEAST, PITCH_HEIGHTS = 0.60, 1.6, 4.0
+TOP_LINES, SUM_MATCH = 8, 0.02
+GOLDEN_VALUE, GOLDEN_PRICE, GOLDEN_MATCH = 0.01, 0.02, 0.005
 STALE_DAYS, WIDE_RANGE_DAYS = 4, 80
 NAME_SUPPORT, NAME_LETTERS = 0.6, 4
 MAX_VARIANTS = 48

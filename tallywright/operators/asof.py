@@ -77,3 +77,26 @@ def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: Col
     """The last non-null ``value`` before or at each row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def nearest_aligned(left: DataFrame, right: DataFrame, keys: list[str], row: str, at: str, x: str, value: str, reach: float, limit: float) -> DataFrame:
+    """``left`` with the ``value`` and distance of the nearest right row along ``at``, from those aligned with it if there are any.
+
+    Aligned is |x - x| <= reach. Where aligned ones exist but the nearest is beyond the limit there is no match. Ties go
+    to the earlier right row, then to the smaller value. Rows meet by key and bucket of x; ``row`` identifies left rows.
+    """
+    bucket = F.floor(F.col(x) / F.lit(reach)).alias("_bucket")
+    other = right.select(*keys, F.col(at).alias("_at"), F.col(x).alias("_x"), F.col(value).alias("_v"), F.explode(F.array(*[bucket + k for k in (-1, 0, 1)])).alias("_bucket"))
+    near = left.select(*keys, row, at, x, bucket).join(other, [*keys, "_bucket"]).where(F.abs(F.col("_x") - F.col(x)) <= reach)
+    gap = F.abs(F.col("_at") - F.col(at)).cast("double")
+    best = near.groupBy(*keys, row).agg(F.min(F.struct(gap.alias("d"), F.col("_at"), F.col("_v"))).alias("_b"))
+    marked = left.join(best, [*keys, row], "left")
+    inside = F.col("_b.d") <= limit
+    columns = [F.col(c) for c in left.columns]
+    aligned = marked.where("_b is not null").select(*columns, F.when(inside, F.col("_b._v")).alias(value), F.when(inside, F.col("_b.d")).alias("distance"))
+    return aligned.unionByName(nearest_join(marked.where("_b is null").select(*columns), right.select(*keys, at, value), keys, at, value, limit))
+
+
+def nearest_edge(edges: Column, at: Column) -> Column:
+    """The 0-based number of the edge nearest to ``at``, the first on ties; null without edges."""
+    return F.array_min(F.transform(edges, lambda e, i: F.struct(F.abs(e - at).alias("d"), i.alias("i"))))["i"]

@@ -90,3 +90,46 @@ def between_exists(df: DataFrame, group: str, order: str, is_label: Column, is_a
     after = Window.partitionBy(group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     marked = df.withColumns({"_amount": F.min(F.when(is_amount, F.col(order))).over(after), "_label": F.min(F.when(is_label, F.col(order))).over(after)})
     return marked.withColumn("separator", is_label & F.coalesce(F.col("_label") < F.coalesce("_amount", F.lit(2**31)), F.lit(False))).drop("_amount", "_label")
+
+
+def following_count(df: DataFrame, group: str, line: str, flag: Column, name: str) -> DataFrame:
+    """(group, line, name): how many rows with the flag stand in later lines."""
+    lines = df.groupBy(group, line).agg(F.count_if(flag).alias("_n"))
+    below = Window.partitionBy(group).orderBy(F.desc(line)).rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select(group, line, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias(name))
+
+
+def row_pitch(df: DataFrame, group: str, at: str, height: Column) -> DataFrame:
+    """(group, pitch, reach): the upper median of the gaps between rows, and how far a label may be away.
+
+    Gaps between rows are those from the first jump of the sorted gaps on; without a jump the pitch is four heights.
+    """
+    w, s = Window.partitionBy(group).orderBy(at), Window.partitionBy(group).orderBy("_gap")
+    gaps = df.select(group, (F.col(at) - F.lag(at).over(w)).alias("_gap")).where("_gap > 0")
+    wide = gaps.join(gap_split(df, group, at), group).where("_gap >= threshold")
+    ranked = wide.withColumns({"_k": F.row_number().over(s), "_n": F.count("*").over(Window.partitionBy(group))})
+    middle = ranked.where("_k = floor(_n / 2) + 1").select(group, F.col("_gap").alias("_pitch"))
+    heights = df.groupBy(group).agg(F.max(height).alias("_h")).join(middle, group, "left")
+    pitch = F.coalesce("_pitch", F.col("_h") * V.PITCH_HEIGHTS)
+    return heights.select(group, pitch.alias("pitch"), F.greatest(F.col("_h") * V.PITCH_LEAST, pitch * V.PITCH_SHARE).alias("reach"))
+
+
+def gap_shares(df: DataFrame, group: str, start: str, end: str, size: str) -> DataFrame:
+    """Every interval but its group's first with ``share``: the gap to the one before, by the larger of both sizes."""
+    w = Window.partitionBy(group).orderBy(start, end)
+    gap = F.col(start) - F.lag(end).over(w)
+    larger = F.greatest(F.col(size), F.lag(size).over(w), F.lit(1))
+    return df.withColumn("share", F.try_divide(gap, larger)).where("share is not null")
+
+
+def most_frequent(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
+    """(group, value, n): the most frequent value of a group; of equal ones that which comes first."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    best = F.max_by(F.struct(value, "n"), F.struct("n", (-F.col("_first")).alias("f")))
+    return counts.groupBy(group).agg(best.alias("_b")).select(group, f"_b.{value}", "_b.n")
+
+
+def reading_text(df: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
+    """(group, text): the texts of a group, a screen, in reading order with a space between them."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_text"))))
+    return df.where(F.col(text).isNotNull()).groupBy(*group).agg(F.array_join(F.transform(parts, lambda p: p["_text"]), " ").alias(text))

@@ -92,3 +92,14 @@ def deposit_echoes_dropped(df: DataFrame, totals: DataFrame, group: str, pos: st
     out = out.withColumn("_many", many)
     stay = ~F.col("_cash") | (F.col("_many") < 2) | F.col("_anchor").isNull() | (F.col(pos) == F.col("_anchor"))
     return out.where(stay).select(df.columns)
+
+
+def sum_matched(rows: DataFrame, amounts: DataFrame, group: str, value: str, order: list[str], line: str, amount: str) -> DataFrame:
+    """(group, total): the first amount of the top lines that is the sum of the group's rows, within SUM_MATCH.
+
+    Groups of fewer than two rows have none: one row would only confirm itself. Rows without a value do not count.
+    """
+    sums = rows.where(truthy(F.col(value))).groupBy(group).agg(F.sum(value).alias("_sum"), F.count("*").alias("_n")).where("_n >= 2 and _sum > 0")
+    top = amounts.where((F.col(line) < V.TOP_LINES) & truthy(F.col(amount))).join(sums, group)
+    hits = top.where(F.abs(F.col(amount) - F.col("_sum")) <= V.SUM_MATCH * F.col("_sum"))
+    return hits.groupBy(group).agg(F.min_by(amount, F.struct(*order)).alias("total"))

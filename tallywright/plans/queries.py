@@ -11,7 +11,7 @@ from tallywright.functions import numbers as N
 from tallywright.functions import text as S
 from tallywright.functions import vocabulary as V
 from tallywright.operators import asof, compare, matching, merge, sequences, totals
-from tallywright.plans import enrich
+from tallywright.plans import currency, enrich
 from tallywright.sources import connectors, records
 from tallywright.sources.tables import table
 from tallywright.streaming import jobs
@@ -667,6 +667,188 @@ def order_invariance(spark, sf):
     return compare.same_rows(run(lines), run(lines.repartition("l_linenumber").sortWithinPartitions(F.xxhash64("l_orderkey", "v"))))
 
 
+# Spark rounds halves of the decimal text up, DuckDB those of the binary number: hence the 1e-9 in the SQL.
+_BALANCES = """
+c AS (SELECT o_custkey AS g, o_orderkey AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'KRW' END AS currency,
+             CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice / 100 ELSE o_totalprice * 10 END AS value FROM orders),
+m AS (SELECT u.g, u.pos AS u, min(k.pos) AS k FROM c u JOIN c k ON u.g = k.g AND u.currency = 'USD' AND k.currency <> 'USD'
+      AND u.value < 1e6 AND k.value > 1e5 AND k.value / u.value > 500 AND k.value / u.value < 3000 GROUP BY ALL),
+f AS (SELECT g, k, min(u) AS u FROM m GROUP BY ALL),
+r AS (SELECT c.g, c.pos, CASE WHEN f.u IS NULL THEN c.currency ELSE 'USD' END AS currency, d.value AS qty, c.value
+      FROM c LEFT JOIN f ON c.g = f.g AND c.pos = f.k LEFT JOIN c d ON d.g = f.g AND d.pos = f.u
+      WHERE NOT EXISTS (SELECT 1 FROM f x WHERE x.g = c.g AND x.u = c.pos))
+"""
+
+
+def _balances(spark, sf) -> DataFrame:
+    """Orders of a customer as cash rows of a screen, every second one in dollars."""
+    dollars = F.col("o_orderkey") % 2 == 0
+    none = F.lit(None).cast("double")
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("g"),
+        F.col("o_orderkey").alias("pos"),
+        F.when(dollars, "USD").otherwise("KRW").alias("currency"),
+        F.when(dollars, F.col("o_totalprice") / 100).otherwise(F.col("o_totalprice") * 10).alias("value"),
+        *[none.alias(c) for c in ("qty", "price", "cost", "pnl")],
+    )
+
+
+@query(f"WITH {_BALANCES} SELECT g, pos, currency, round(qty, 4) AS qty, round(value, 4) AS value FROM r")
+def cash_pairs(spark, sf):
+    """Cash rows of every customer with the pairs of one balance merged."""
+    out = currency.cash_pairs_merged(_balances(spark, sf), "g", "pos", F.lit(True))
+    return out.select("g", "pos", "currency", F.round("qty", 4).alias("qty"), F.round("value", 4).alias("value"))
+
+
+@query(f"""
+WITH {_BALANCES}, x AS (SELECT g, min_by(round(value / qty, 2), pos) AS fx FROM r WHERE currency = 'USD' AND value / qty > 500 AND value / qty < 3000 GROUP BY g)
+SELECT r.g, r.pos, x.fx, round(CASE WHEN currency = 'USD' AND abs(value / qty - fx) / fx < 0.02 THEN value / fx ELSE value END + 1e-9, 2) AS value FROM r LEFT JOIN x ON r.g = x.g
+""")
+def foreign_cash_value(spark, sf):
+    """Merged cash rows in their own currency, by the rate that the customer's first pair gives."""
+    rows = currency.cash_pairs_merged(_balances(spark, sf), "g", "pos", F.lit(True))
+    rates = currency.captured_rate(rows, "g", "pos", F.lit(True))
+    out = currency.foreign_cash(rows.join(rates, "g", "left"), F.col("fx"), F.lit(True))
+    return out.select("g", "pos", "fx", F.round("value", 2).alias("value"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS won, l_extendedprice AS v, l_quantity AS q, l_extendedprice / l_quantity AS p FROM lineitem),
+t AS (SELECT *, CASE WHEN won THEN round(v / 1300 + 1e-9, 2) ELSE v END AS w FROM r)
+SELECT l_orderkey, l_linenumber, w AS value,
+       CASE WHEN won AND abs(p / 1300 - w / q) < abs(p - w / q) THEN round(p / 1300 + 1e-9, 2) ELSE p END AS price, CASE WHEN won THEN 1300.0::DOUBLE END AS fx_applied FROM t
+""")
+def currency_unified(spark, sf):
+    """Every second line as a won amount of a dollar holding, in dollars."""
+    none = F.lit(None).cast("double")
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"), F.col("l_quantity").alias("qty"), F.try_divide("l_extendedprice", "l_quantity").alias("price"), none.alias("cost"), none.alias("pnl")
+    )
+    out = currency.unified(rows, F.lit(1300.0), F.lit(True), F.col("l_linenumber") % 2 == 0)
+    return out.select("l_orderkey", "l_linenumber", "value", "price", "fx_applied")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 4) AS cost, round(coalesce(CASE WHEN l_linenumber % 3 = 0 THEN l_extendedprice END, l_quantity * l_tax), 4) AS value FROM lineitem
+""")
+def screen_arithmetic(spark, sf):
+    """Cost and value of every line from quantity and unit prices; every third has a value of its own."""
+    own = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_extendedprice"))
+    got = N.screen_arithmetic(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), own)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", got.alias("s")).select("l_orderkey", "l_linenumber", F.round("s.cost", 4).alias("cost"), F.round("s.value", 4).alias("value"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def iso_time(spark, sf):
+    """The instant of every event as text."""
+    return table(spark, sf, "events").select("event_id", N.iso_z(F.col("ts")).alias("at"))
+
+
+@query("""
+WITH l AS (SELECT conv_id, turn, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY ALL)
+SELECT conv_id, turn, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS later FROM l
+""")
+def suffix_count(spark, sf):
+    """For every turn, how many user turns come after it."""
+    return sequences.following_count(table(spark, sf, "conversations"), "conv_id", "turn", F.col("role") == "user", "later")
+
+
+@query(f"""
+WITH {_GAPS},
+w AS (SELECT g.user_id, gap, row_number() OVER (PARTITION BY g.user_id ORDER BY gap) AS k, count(*) OVER (PARTITION BY g.user_id) AS n FROM g JOIN t USING (user_id) WHERE gap > 0 AND gap >= threshold),
+m AS (SELECT user_id, gap AS pitch FROM w WHERE k = n // 2 + 1),
+p AS (SELECT u.user_id, coalesce(pitch, 3600.0 * 4) AS pitch FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m USING (user_id))
+SELECT user_id, round(pitch, 3) AS pitch, round(greatest(1.6 * 3600, 0.6 * pitch), 3) AS reach FROM p
+""")
+def row_pitch(spark, sf):
+    """The middle of the long gaps of every user, and the reach that follows from it."""
+    out = sequences.row_pitch(_seconds(spark, sf), "user_id", "at", F.lit(3600.0))
+    return out.select("user_id", F.round("pitch", 3).alias("pitch"), F.round("reach", 3).alias("reach"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch(ts) AS a, epoch(ts) + 600 AS b, 60.0 * (1 + event_id % 5) AS h FROM events),
+g AS (SELECT event_id, (a - lag(b) OVER w) / greatest(h, lag(h) OVER w, 1) AS share FROM e WINDOW w AS (PARTITION BY user_id ORDER BY a, b, event_id))
+SELECT count(*) AS n, round(min(share), 4) AS low, round(max(share), 4) AS high, round(avg(share), 4) AS mean FROM g WHERE share IS NOT NULL
+""")
+def gap_distribution(spark, sf):
+    """Gaps between the events of a user, measured in sizes."""
+    events = _seconds(spark, sf).select("event_id", "user_id", "at", (F.col("at") + 600).alias("until"), (60.0 * (1 + F.col("event_id") % 5)).alias("size"))
+    out = sequences.gap_shares(events, "user_id", "at", "until", "size")
+    return out.agg(F.count("*").alias("n"), *[F.round(f("share"), 4).alias(k) for k, f in (("low", F.min), ("high", F.max), ("mean", F.avg))])
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)
+SELECT user_id, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) = 1
+""")
+def most_frequent(spark, sf):
+    """The most frequent type of event of every user, the first of equal ones."""
+    return sequences.most_frequent(table(spark, sf, "events"), "user_id", "event_type", "event_id")
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def reading_text(spark, sf):
+    """The texts of every conversation in their order."""
+    return sequences.reading_text(table(spark, sf, "conversations"), ["conv_id"], ["turn"], "text")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS s, count(*) AS n FROM lineitem WHERE l_extendedprice <> 0 GROUP BY l_orderkey),
+a AS (SELECT l_orderkey, l_linenumber, l_extendedprice * l_linenumber AS amount FROM lineitem),
+h AS (SELECT a.* FROM a JOIN s USING (l_orderkey) WHERE n >= 2 AND s > 0 AND l_linenumber < 8 AND amount <> 0 AND abs(amount - s) <= 0.02 * s)
+SELECT l_orderkey, round(min_by(amount, (l_linenumber, amount)), 2) AS total FROM h GROUP BY l_orderkey
+""")
+def sum_match_total(spark, sf):
+    """The first of an order's made-up amounts that is the sum of its lines."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("v"), (F.col("l_extendedprice") * F.col("l_linenumber")).alias("amount"))
+    out = totals.sum_matched(lines, lines, "l_orderkey", "v", ["l_linenumber", "amount"], "l_linenumber", "amount")
+    return out.select("l_orderkey", F.round("total", 2).alias("total"))
+
+
+@query("""
+WITH b AS (SELECT event_id, user_id, epoch(ts) AS moment, value AS x FROM events WHERE event_type = 'purchase'),
+l AS (SELECT event_id AS label, user_id, epoch(ts) AS moment, value AS x FROM events WHERE event_type = 'view'),
+j AS (SELECT b.event_id, l.label, abs(b.moment - l.moment) AS d, l.moment, abs(b.x - l.x) <= 20 AS aligned FROM b JOIN l USING (user_id)),
+p AS (SELECT * FROM j QUALIFY aligned OR NOT bool_or(aligned) OVER (PARTITION BY event_id)),
+n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, moment, label) = 1)
+SELECT b.event_id, CASE WHEN d <= 200000 THEN label END AS label, round(CASE WHEN d <= 200000 THEN d END, 3) AS seconds FROM b LEFT JOIN n USING (event_id)
+""")
+def nearest_aligned(spark, sf):
+    """Every purchase with the user's nearest view in time, of those of a like value if there are any."""
+    rows = _seconds(spark, sf)
+    left = rows.where("event_type = 'purchase'").select("event_id", "user_id", "at", F.col("value").alias("x"))
+    right = rows.where("event_type = 'view'").select("user_id", "at", F.col("value").alias("x"), F.col("event_id").alias("label"))
+    out = asof.nearest_aligned(left, right, ["user_id"], "event_id", "at", "x", "label", 20.0, 200_000.0)
+    return out.select("event_id", "label", F.round("distance", 3).alias("seconds"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN abs(p_retailprice - 1000) <= abs(p_retailprice - 1400) AND abs(p_retailprice - 1000) <= abs(p_retailprice - 1900) THEN 0
+       WHEN abs(p_retailprice - 1400) <= abs(p_retailprice - 1900) THEN 1 ELSE 2 END AS band FROM part
+""")
+def nearest_band(spark, sf):
+    """Every part with the nearest of three prices."""
+    edges = F.array(F.lit(1000.0), F.lit(1400.0), F.lit(1900.0))
+    return table(spark, sf, "part").select("p_partkey", asof.nearest_edge(edges, F.col("p_retailprice")).alias("band"))
+
+
+@query("""
+WITH p AS (SELECT l_extendedprice AS av, l_extendedprice * (1 + l_tax / 4) AS bv, l_quantity AS aq, l_quantity + (l_linenumber = 7)::INT AS bq, l_returnflag AS ar, l_linestatus AS br FROM lineitem)
+SELECT 'value' AS field, count(*) AS compared, count(*) FILTER (abs(av - bv) / av > 0.01) AS mismatched, round(max(abs(av - bv) / av), 6) AS worst FROM p
+UNION ALL SELECT 'qty', count(*), count(*) FILTER (aq <> bq), NULL FROM p
+UNION ALL SELECT 'flag', count(*), count(*) FILTER (ar <> br), NULL FROM p
+""")
+def field_report(spark, sf):
+    """Lines against changed copies, field by field."""
+    pairs = table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("a_value"), (F.col("l_extendedprice") * (1 + F.col("l_tax") / 4)).alias("b_value"),
+        F.col("l_quantity").alias("a_qty"), (F.col("l_quantity") + (F.col("l_linenumber") == 7).cast("int")).alias("b_qty"),
+        F.col("l_returnflag").alias("a_flag"), F.col("l_linestatus").alias("b_flag"),
+    )
+    return compare.field_report(pairs, ["qty", "flag"], {"value": V.GOLDEN_VALUE}).withColumn("worst", F.round("worst", 6))
+
+
 # Streams -------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import numbers as N
 from tallywright.functions import text as S
 from tallywright.operators import asof, compare, matching, merge, sequences, totals
-from tallywright.plans import enrich
+from tallywright.plans import currency, enrich
 from tallywright.sources import connectors, records
 from tallywright.streaming import jobs
 
@@ -196,3 +196,38 @@ def test_publish_replaces_a_snapshot(spark, tmp_path):
     assert not connectors.publish(frame(), path)
     assert [r.v for r in spark.read.json(path).collect()] == [3]
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["snapshot"]
+
+
+def test_cash_pairs_and_rates(spark):
+    """A dollar row takes the first plausible won row, a won row is taken once; null and zero values take no part."""
+    schema = "g int, pos int, currency string, qty double, price double, value double, cost double, pnl double"
+    rows = [(1, 1, "USD", 100.0), (1, 2, "USD", 101.0), (1, 3, None, 130_000.0), (1, 4, "KRW", 131_000.0), (1, 5, "KRW", 0.0), (1, 6, "USD", None), (2, 1, "USD", 100.0), (2, 2, "KRW", 9e6)]
+    df = spark.createDataFrame([(g, p, c, None, None, v, None, None) for g, p, c, v in rows], schema)
+    merged = currency.cash_pairs_merged(df, "g", "pos", F.lit(True))
+    assert sorted((r.g, r.pos, r.currency, r.qty) for r in merged.collect()) == [
+        (1, 2, "USD", None), (1, 3, "USD", 100.0), (1, 4, "KRW", None), (1, 5, "KRW", None), (1, 6, "USD", None), (2, 1, "USD", None), (2, 2, "KRW", None),
+    ]
+    assert [tuple(r) for r in currency.captured_rate(merged, "g", "pos", F.lit(True)).collect()] == [(1, 1300.0)]
+    assert currency.cash_pairs_merged(df.limit(0), "g", "pos", F.lit(True)).count() == 0
+    one = spark.createDataFrame([(1, 1, "USD", 2.0, 1300.0, 2600.0, 1300.0, None)], schema)
+    got = currency.unified(one, F.lit(1300.0), F.lit(True), F.lit(True)).first()
+    assert (got.value, got.cost, got.pnl, got.price, got.fx_applied) == (2.0, 1.0, None, 1.0, 1300.0)
+
+
+def test_pairs_of_rows(spark):
+    """Golden rows by name first, then by equal fields and value; one by one, in order."""
+    schema = "batch int, pos int, broker string, name string, value double"
+    golden = spark.createDataFrame([(1, 1, "a", "alpha", 100.0), (1, 2, "a", "beta", 200.0), (1, 3, "b", None, 300.0), (2, 1, "a", "alpha", 1.0)], schema)
+    got = spark.createDataFrame([(1, 1, "a", "x", 100.2), (1, 2, "a", "beta fund", 100.0), (1, 3, "b", "y", 301.0), (1, 4, "a", "alpha", None)], schema)
+    rounds = [([], True, None), (["broker"], False, 0.005)]
+    assert sorted(tuple(r) for r in compare.paired(golden, got, "batch", rounds).collect()) == [(1, 1, 4), (1, 2, 2), (1, 3, 3)]
+    values = [(["broker", "name"], False, None), (["broker"], False, 0.01)]
+    assert sorted(tuple(r) for r in compare.paired(golden, got, "batch", values, by_row=True).collect()) == [(1, 1, 4), (1, 3, 3)]
+
+
+def test_aligned_labels(spark):
+    """An aligned label beyond the limit is no match, and no other is tried."""
+    left = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 1, 50.0, 100.0), (3, 2, 0.0, 0.0)], "i int, s int, y double, x double")
+    right = spark.createDataFrame([(1, 40.0, 1.0, "far"), (1, 5.0, 60.0, "near"), (1, 52.0, 70.0, "low")], "s int, y double, x double, t string")
+    got = asof.nearest_aligned(left, right, ["s"], "i", "y", "x", "t", 10.0, 20.0)
+    assert {(r.i, r.t) for r in got.collect()} == {(1, None), (2, "low"), (3, None)}
