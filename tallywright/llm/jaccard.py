@@ -19,7 +19,8 @@ farther than the nearest one by more than 2 e, which the triangle inequality dem
 recursively, down to LEAF members, and end in exact counts of common shingles.
 
 Only links that connect something new leave a task, so a group of copies costs its size in links and
-not its square. Equal sets are one class from the start. Texts are shingled once; the sets are stored.
+not its square. Equal sets are one class from the start. Sets are longer than their texts, so they are not
+stored: texts are shingled to count shingles, to describe the rows, and those of clusters once more.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are their
 own component; a text of fewer words than a shingle is one shingle; repeated rows are in one class;
@@ -92,24 +93,23 @@ def sketches(s: np.ndarray) -> tuple[bytes | None, bytes | None]:
     return parities, np.minimum(counts, 255).astype(np.uint8).tobytes() if len(s) >= COUNTS_FROM else None
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, digest, set) per row: the sorted hashes of its shingles, as bytes."""
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """(id, cluster, shingles, set) per row (id, cluster, shingles, text): the sorted hashes of its shingles, as bytes."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
-                sets = [shingle_set(x.as_py(), size) for x in part.column("text")]
-                raw = [s.tobytes() for s in sets]
+                raw = [shingle_set(x.as_py(), size).tobytes() for x in part.column("text")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())],
-                    names=["doc_id", "n", "digest", "set"],
+                    [*(part.column(c) for c in ("id", "cluster", "shingles")), pa.array(raw, pa.binary())],
+                    names=["id", "cluster", "shingles", "set"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(shingled, "doc_id long, n long, digest binary, set binary")
+    return rows.select("id", "cluster", "shingles", "text").mapInArrow(shingled, "id long, cluster long, shingles long, set binary")
 
 
-def _common(rows: DataFrame, least: int = 16) -> np.ndarray:
-    """The COMMON most shared shingles of the sets, the rarest of them first.
+def _common(docs: DataFrame, size: int, least: int = 16) -> np.ndarray:
+    """The COMMON most shared shingles of the texts, the rarest of them first.
 
     Counts are exact but for shingles that occur once in a stretch of GATHERED; which shingles are
     here decides the order of pivots, and any order gives the same links.
@@ -121,54 +121,52 @@ def _common(rows: DataFrame, least: int = 16) -> np.ndarray:
             often = n > 1
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"])
 
-        release()
         sets, total = [], 0
         for batch in batches:
             for x in batch.column(0):
-                sets.append(np.frombuffer(x.as_buffer(), dtype=np.uint64))
+                sets.append(shingle_set(x.as_py(), size))
                 total += len(sets[-1])
                 if total >= GATHERED:
                     yield counted(sets)
                     sets, total = [], 0
-            # What waits must not hold on to its batch.
-            sets = [np.concatenate(sets)] if sets else []
         if sets:
             yield counted(sets)
 
-    counts = rows.where("n > 0").select("set").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     # At most COMMON rows come back.
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     return np.array([r["shingle"] for r in reversed(top)], dtype=np.int64)
 
 
-def _described(rows: DataFrame, share: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(row, pivots, parities, counts) per row (row, set)."""
+def _described(docs: DataFrame, size: int, share: tuple[int, int], common: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, n, digest, pivots, parities, counts) per row (doc_id, text_key, text)."""
     order = np.argsort(common.view(np.uint64), kind="stable")
-    known = rows.sparkSession.sparkContext.broadcast((common.view(np.uint64)[order], order))
+    known = docs.sparkSession.sparkContext.broadcast((common.view(np.uint64)[order], order))
     num, den = share
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         values, rank = known.value
         for batch in batches:
-            for part in slices(batch, "set", BATCH_BYTES):
-                pivots, kept = [], []
-                for x in part.column("set"):
-                    s = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+            for part in slices(batch, "text", BATCH_BYTES):
+                n, digests, pivots, kept = [], [], [], []
+                for x in part.column("text"):
+                    s = shingle_set(x.as_py(), size)
                     at = np.minimum(np.searchsorted(values, s), max(0, len(values) - 1))
                     shared = values[at] == s if len(values) else np.zeros(len(s), dtype=bool)
                     keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
                     rare = s[~shared][:keep]
                     if len(rare) < keep:
                         rare = np.concatenate([rare, s[shared][np.argsort(rank[at[shared]])][: keep - len(rare)]])
+                    n.append(len(s))
+                    digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     pivots.append(rare.view(np.int64))
                     kept.append(sketches(s))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(pivots, pa.list_(pa.int64())), *[pa.array([k[c] for k in kept], pa.binary()) for c in (0, 1)]],
-                    names=["row", "pivots", "parities", "counts"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(pivots, pa.list_(pa.int64())), *[pa.array([k[c] for k in kept], pa.binary()) for c in (0, 1)]],
+                    names=["doc_id", "text_key", "n", "digest", "pivots", "parities", "counts"],
                 )
 
-    return rows.select("row", "set").mapInArrow(describe, "row long, pivots array<long>, parities binary, counts binary")
+    return docs.mapInArrow(describe, "doc_id long, text_key binary, n long, digest binary, pivots array<long>, parities binary, counts binary")
 
 
 def _blocks(rows: DataFrame, key: str, count: str, block: int) -> DataFrame:
@@ -361,26 +359,29 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
 
     Two documents are linked when den * common >= num * united, ``share`` being (num, den).
     """
-    sets = _sets(docs.select("doc_id", F.col(text).alias("text")), size)
+    # With the id, a digest of the text finds the text again when its set is needed.
+    docs = docs.select("doc_id", F.unhex(F.sha2(F.col(text), 256)).alias("text_key"), F.col(text).alias("text"))
     # A stored row keeps its number, which also names the class that it stands for.
-    rows = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    rows = stored(_described(docs, size, share, _common(docs, size)).withColumn("row", F.monotonically_increasing_id()), "sets")
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = stored(known.groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n")), "classes").withColumnRenamed("row", "id")
-    chosen = rows.select("row", "set").join(classes.select(F.col("id").alias("row")), "row", "left_semi")
-    described = stored(_described(chosen, share, _common(rows)), "described").withColumnRenamed("row", "id")
+    chosen = F.min(F.struct("row", "n", "doc_id", "text_key")).alias("chosen")
+    classes = stored(known.groupBy("digest").agg(chosen).select("digest", "chosen.*"), "classes").withColumnRenamed("row", "id")
+    described = rows.select(F.col("row").alias("id"), "pivots", "parities", "counts").join(classes.select("id", "n"), "id")
     per_pivot = Window.partitionBy("pivot")
     # Most pivots are met by one document only; sketches travel with those that are left.
     entries = (
         described.select("id", F.explode("pivots").alias("pivot"))
         .withColumn("met", F.count("*").over(per_pivot))
         .where("met > 1")
-        .join(described.select("id", "parities", "counts").join(classes.select("id", "n"), "id"), "id")
+        .join(described.select("id", "n", "parities", "counts"), "id")
     )
     clusters = components(_candidates(_blocks(entries, "pivot", "met", REGION_BLOCK), share), "candidates")
-    clusters = clusters.join(classes.select("id", "n"), "id")
+    clusters = clusters.join(classes.select("id", "n", "doc_id", "text_key"), "id")
     sizes = clusters.groupBy("component_id").agg(F.sum("n").alias("shingles"))
-    members = clusters.join(sizes, "component_id").select("id", F.col("component_id").alias("cluster"), "shingles")
-    links = _links(rows.select(F.col("row").alias("id"), "set").join(members, "id").select("id", "cluster", "shingles", "set"), share)
+    members = clusters.join(sizes, "component_id").select("id", "doc_id", "text_key", F.col("component_id").alias("cluster"), "shingles")
+    # Repeated rows share the key; one of them is enough.
+    texts = docs.join(members, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    links = _links(_sets(texts, size), share)
     named = stored(known.select("doc_id", "digest").distinct().join(classes.select("digest", F.col("id").alias("class")), "digest").select("doc_id", "class"), "named")
     # An id with several texts ties their classes together.
     several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
