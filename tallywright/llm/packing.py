@@ -33,7 +33,7 @@ CAPACITY = 2048
 #: Stretches of an order that are packed on their own, at most, and the pieces of one, at least.
 PARTS, LEAST = 16, 8192
 #: New words encoded as one text, and bytes of texts that are tokenized together.
-TOGETHER, BATCH_BYTES = 4_000, 4_000_000
+TOGETHER, BATCH_BYTES = 4_000, 2_000_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
 #: Marks that may close a word; the tokenizer makes one piece of a run of them, apart from letters.
 _MARKS = ".,;:!?%$#&*"
