@@ -11,6 +11,7 @@ from tallywright.llm.packing import op9_packing
 from tallywright.llm.privacy import OP4_SQL, op4_privacy
 from tallywright.llm.toxicity import op1_toxicity
 from tallywright.llm.urls import OP3_SQL, op3_urls
+from tallywright.llm.vector_codes import OP11_SQL, op11_vector_codes
 from tallywright.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
+    "op11_vector_codes": op11_vector_codes,
 }
 SQL = {
     "op3_urls": OP3_SQL,
@@ -32,4 +34,5 @@ SQL = {
     "op6_warc": OP6_SQL,
     "op7_mixing": OP7_SQL,
     "op10_licenses": OP10_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
