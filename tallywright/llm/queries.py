@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tallywright.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from tallywright.llm.fingerprints import op8_fingerprints
 from tallywright.llm.jaccard import OP5_SQL, op5_jaccard
+from tallywright.llm.languages import op12_languages
 from tallywright.llm.licenses import OP10_SQL, op10_licenses
 from tallywright.llm.mixing import OP7_SQL, op7_mixing
 from tallywright.llm.neighbours import op2_neighbours
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_licenses": op10_licenses,
     "op11_vector_codes": op11_vector_codes,
+    "op12_languages": op12_languages,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 SQL = {
     "op3_urls": OP3_SQL,
@@ -35,4 +39,5 @@ SQL = {
     "op7_mixing": OP7_SQL,
     "op10_licenses": OP10_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }

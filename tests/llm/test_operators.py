@@ -54,13 +54,15 @@ def edge(spark, tmp_path_factory):
     vectors += [(200 + i, [1.0, 2.0, 0.0, -1.0], 0) for i in range(70)]
     vectors += [(300, None, 0), (320, [0.0] * 4, 0), (340, [1.0, None, 0.0, 0.0], 0), (360, [float("nan"), 1.0, 1.0, 1.0], 0), (380, [1.0], 0)]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    said = [(7, None, "user", "a", 1), (7, 1, None, "b", 2), (7, 2, "user", None, 3), (5, 1, "user", "x", 4), (None, 1, "user", "lost", 5)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string, depth int").write.parquet(f"{root}/conversations.parquet")
     return str(root)
 
 
 @pytest.fixture(scope="module")
 def empty(spark, edge, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{edge}/{name}.parquet").limit(0).write.parquet(f"{root}/{name}.parquet")
     return str(root)
 
