@@ -1,8 +1,8 @@
-"""The signature rules of the licence scan, written by hand, in order of priority.
+"""The signature rules of the licence scan, written by hand (the GNU families from hand-written forms), in order of priority.
 
 A line of a family is ``label | confidence | regex``. A regex is over lower-case words with single
-spaces between them, as ``scan_licenses`` joins them: "Apache-2.0" reads "apache 2 0". It matches
-whole words. Rules of one family are tried in their order at every place, so the longer and more
+spaces between them, as ``scan_licenses`` joins them: "Apache-2.0" reads "apache 2 0", and a plus behind the version
+of a GNU licence ends its last word: "GPL-2.0+" reads "gpl 2 0⁺". It matches whole words. Rules of one family are tried in their order at every place, so the longer and more
 telling ones come first. A word that also is common English ("artistic", "apache", "boost", "epl")
 counts only beside a version, a licence word or the rest of the name.
 """
@@ -12,68 +12,42 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+#: The GNU licences: short name, full name, versions from the newest, and what else names one without a version.
+GNU = [
+    ("gpl", "general public licen[sc]e", ["3.0", "2.0", "1.0"], ["0.8 | gnu general public licen[sc]e(?: gpl)?", "0.7 | gpl compatible"]),
+    ("lgpl", "(?:lesser|library) general public licen[sc]e", ["3.0", "2.1", "2.0"], ["0.8 | (?:gnu )?(?:lesser|library) general public licen[sc]e"]),
+    ("agpl", "affero general public licen[sc]e", ["3.0", "1.0"], ["0.8 | (?:gnu )?affero general public licen[sc]e"]),
+    ("gfdl", "free documentation licen[sc]e", ["1.3", "1.2", "1.1"], ["0.8 | (?:gnu )?free documentation licen[sc]e", "0.8 | gnu fdl(?: licen[sc]e)?"]),
+]
+#: The forms of each version: a header's own words, identifiers, names in running text. NUMBER is the version in words.
+#: Where a form may go on with "or later", a plus or "only", those come before the bare one.
+HEADERS = """
+-or-later | 1.0 | gnu FULL(?: as published by the free software foundation)?(?: either)? version NUMBER(?: of the licen[sc]e)? or at your option any later version
+-or-later | 1.0 | under the terms of the gnu FULL version NUMBER or any later version published by the free software foundation
+-only | 1.0 | gnu FULL(?: as published by the free software foundation)? version NUMBER of the licen[sc]e only
+"""
+NAMES = [("1.0", "spdx licen[sc]e identifier SHORT "), ("0.95", "(?:gnu )?FULL(?: SHORT)?(?: version| v)? (?:v)?"), ("0.9", "(?:gnu )?SHORT(?: version| v)? (?:v)?"), ("0.9", "SHORTv")]
+TAILS = [("-or-later", " or(?: at your option)?(?: any)? later(?: version)?"), ("-or-later", "⁺"), ("-only", " only"), ("", "")]
+
+
+def gnu_table() -> str:
+    """The lines of the GNU families, from GNU, HEADERS, NAMES and TAILS."""
+    lines = []
+    for short, full, versions, bare in GNU:
+        lines.append(f"# {short}")
+        number = {v: v[0] + ("(?: 0)?" if v.endswith(".0") else " " + v[2:]) for v in versions}
+        fill = lambda form, v: form.replace("FULL", full).replace("SHORT", short).replace("NUMBER", number[v])  # noqa: E731, B023
+        for header in HEADERS.strip().splitlines():
+            lines += [f"{short}-{v}{fill(header, v)}" for v in versions]
+        for sure, name in NAMES:
+            lines += [f"{short}-{v}{suffix} | {sure} | {fill(name, v)}{number[v]}{tail}" for v in versions for suffix, tail in TAILS]
+        lines += [f"{short} | {line}" for line in [*bare, f"0.8 | gnu {short}(?: licen[sc]e)?", f"0.8 | {short} licen[sc]e"]]
+    return "\n".join(lines)
+
+
 TABLE = r"""
-# gpl
-gpl-3.0-or-later | 1.0 | gnu general public licen[sc]e(?: as published by the free software foundation)? either version 3(?: 0)? of the licen[sc]e or at your option any later version
-gpl-2.0-or-later | 1.0 | gnu general public licen[sc]e(?: as published by the free software foundation)? either version 2(?: 0)? of the licen[sc]e or at your option any later version
-gpl-3.0-or-later | 1.0 | gnu general public licen[sc]e(?: gpl)?(?: version| v)? 3(?: 0)? or(?: any)? later(?: version)?
-gpl-2.0-or-later | 1.0 | gnu general public licen[sc]e(?: gpl)?(?: version| v)? 2(?: 0)? or(?: any)? later(?: version)?
-gpl-3.0 | 0.95 | (?:gnu )?general public licen[sc]e(?: gpl)?(?: version| v)? (?:v)?3(?: 0)?(?: only)?
-gpl-2.0 | 0.95 | (?:gnu )?general public licen[sc]e(?: gpl)?(?: version| v)? (?:v)?2(?: 0)?(?: only)?
-gpl-1.0 | 0.95 | (?:gnu )?general public licen[sc]e(?: gpl)?(?: version| v)? (?:v)?1(?: 0)?(?: only)?
-gpl-3.0-or-later | 1.0 | spdx licen[sc]e identifier gpl 3 0(?: or later)?
-gpl-2.0-only | 1.0 | spdx licen[sc]e identifier gpl 2 0(?: only)?
-gpl-3.0-or-later | 0.95 | (?:gnu )?gpl(?: version| v)? (?:v)?3(?: 0)? or(?: any)? later(?: version)?
-gpl-2.0-or-later | 0.95 | (?:gnu )?gpl(?: version| v)? (?:v)?2(?: 0)? or(?: any)? later(?: version)?
-gpl-3.0 | 0.9 | (?:gnu )?gpl(?: version| v)? (?:v)?3(?: 0)?(?: only)?
-gpl-2.0 | 0.9 | (?:gnu )?gpl(?: version| v)? (?:v)?2(?: 0)?(?: only)?
-gpl-1.0 | 0.9 | (?:gnu )?gpl(?: version| v)? (?:v)?1(?: 0)?(?: only)?
-gpl-3.0 | 0.9 | gplv3(?: 0)?
-gpl-2.0 | 0.9 | gplv2(?: 0)?
-gpl | 0.8 | gnu general public licen[sc]e(?: gpl)?
-gpl | 0.8 | gnu gpl(?: licen[sc]e)?
-gpl | 0.8 | gpl licen[sc]e
-gpl | 0.7 | gpl compatible
 # gpl grants
 gpl | 0.9 | under(?: the)?(?: terms of)?(?: the)? (?:gnu )?gpl(?: licen[sc]e)?
-# lgpl
-lgpl-2.1-or-later | 1.0 | gnu lesser general public licen[sc]e(?: as published by the free software foundation)? either version 2 1 of the licen[sc]e or at your option any later version
-lgpl-3.0-or-later | 1.0 | gnu lesser general public licen[sc]e(?: as published by the free software foundation)? either version 3(?: 0)? of the licen[sc]e or at your option any later version
-lgpl-2.0-or-later | 1.0 | gnu library general public licen[sc]e(?: as published by the free software foundation)? either version 2(?: 0)? of the licen[sc]e or at your option any later version
-lgpl-3.0 | 0.95 | (?:gnu )?lesser general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?3(?: 0)?(?: or later)?
-lgpl-2.1 | 0.95 | (?:gnu )?lesser general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?2 1(?: or later)?
-lgpl-2.0 | 0.95 | (?:gnu )?library general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?2(?: 0)?(?: or later)?
-lgpl-3.0 | 0.9 | (?:gnu )?lgpl(?: version| v)? (?:v)?3(?: 0)?(?: or later| only)?
-lgpl-2.1 | 0.9 | (?:gnu )?lgpl(?: version| v)? (?:v)?2 1(?: or later| only)?
-lgpl-2.0 | 0.9 | (?:gnu )?lgpl(?: version| v)? (?:v)?2(?: 0)?(?: or later| only)?
-lgpl-3.0 | 0.9 | lgplv3(?: 0)?
-lgpl-2.1 | 0.9 | lgplv2 1
-lgpl | 0.8 | (?:gnu )?lesser general public licen[sc]e
-lgpl | 0.8 | (?:gnu )?library general public licen[sc]e
-lgpl | 0.8 | gnu lgpl(?: licen[sc]e)?
-lgpl | 0.8 | lgpl licen[sc]e
-# agpl
-agpl-3.0-or-later | 1.0 | gnu affero general public licen[sc]e(?: as published by the free software foundation)? either version 3(?: 0)? of the licen[sc]e or at your option any later version
-agpl-3.0 | 0.95 | (?:gnu )?affero general public licen[sc]e(?: agpl)?(?: version| v)? (?:v)?3(?: 0)?(?: or later)?
-agpl-1.0 | 0.95 | (?:gnu )?affero general public licen[sc]e(?: agpl)?(?: version| v)? (?:v)?1(?: 0)?
-agpl-3.0 | 0.9 | (?:gnu )?agpl(?: version| v)? (?:v)?3(?: 0)?(?: or later| only)?
-agpl-1.0 | 0.9 | (?:gnu )?agpl(?: version| v)? (?:v)?1(?: 0)?
-agpl-3.0 | 0.9 | agplv3(?: 0)?
-agpl | 0.8 | (?:gnu )?affero general public licen[sc]e
-agpl | 0.8 | gnu agpl(?: licen[sc]e)?
-agpl | 0.8 | agpl licen[sc]e
-# gfdl
-gfdl-1.3 | 1.0 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e version 1 3
-gfdl-1.2 | 1.0 | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e version 1 2
-gfdl-1.3 | 0.95 | (?:gnu )?free documentation licen[sc]e(?: version| v)? (?:v)?1 3
-gfdl-1.2 | 0.95 | (?:gnu )?free documentation licen[sc]e(?: version| v)? (?:v)?1 2
-gfdl-1.1 | 0.95 | (?:gnu )?free documentation licen[sc]e(?: version| v)? (?:v)?1 1
-gfdl-1.3 | 0.9 | (?:gnu )?gfdl(?: version| v)? 1 3
-gfdl-1.2 | 0.9 | (?:gnu )?gfdl(?: version| v)? 1 2
-gfdl-1.1 | 0.9 | (?:gnu )?gfdl(?: version| v)? 1 1
-gfdl | 0.8 | gnu free documentation licen[sc]e
-gfdl | 0.8 | gnu fdl(?: licen[sc]e)?
-gfdl | 0.7 | free documentation licen[sc]e
 # apache
 apache-2.0 | 1.0 | licensed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e
 apache-2.0 | 1.0 | (?:released|licensed|distributed|available|published) under(?: the)?(?: terms of)?(?: the)? apache(?: software)? licen[sc]e(?: version| v)? (?:v)?2(?: 0)?
@@ -91,10 +65,15 @@ apache | 0.8 | apache licen[sc]e
 mit | 1.0 | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 mit | 0.95 | permission is hereby granted free of charge to any person obtaining a copy
 mit | 0.9 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit-0 | 1.0 | spdx licen[sc]e identifier mit 0
 mit | 1.0 | spdx licen[sc]e identifier mit
+mit | 0.9 | (?:1 0|1 1|2 0|2 1|3 0|4 0|0⁺|1⁺|clause|only|later|exception|unlicense|cc0|isc|zlib|0bsd) (?:or|and) mit
+mit | 0.9 | mit (?:or|and) (?:apache|bsd|gpl|lgpl|agpl|mpl|epl|bsl|cc0|artistic|isc|zlib)
+mit | 0.8 | mit apache
 mit | 0.9 | (?:released|licensed|distributed|available|published) under(?: the)?(?: terms of)?(?: the)? mit(?: x11)? licen[sc]e
 mit-0 | 0.9 | mit no attribution(?: licen[sc]e)?
 mit-0 | 0.9 | mit 0 licen[sc]e
+mit-0 | 0.8 | (?:or|and) mit 0
 x11 | 0.9 | mit x11 licen[sc]e
 x11 | 0.8 | x11 licen[sc]e
 mit | 0.8 | mit licen[sc]e
@@ -258,8 +237,10 @@ ofl | 0.8 | open font licen[sc]e
 # small permissive
 isc | 1.0 | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc | 0.8 | isc licen[sc]e
+isc | 0.9 | (?:1 0|2 0|3 0|clause|only|later|mit) (?:or|and) isc
 zlib | 1.0 | this software is provided as is without any express or implied warranty in no event will the authors be held liable
 zlib | 0.8 | zlib(?: libpng)? licen[sc]e
+zlib | 0.9 | (?:1 0|2 0|3 0|clause|only|later|mit) (?:or|and) zlib
 libpng | 0.8 | libpng licen[sc]e
 curl | 0.8 | curl licen[sc]e
 postgresql | 0.8 | postgresql licen[sc]e
@@ -273,7 +254,9 @@ json | 0.9 | the software shall be used for good not evil
 beerware | 0.8 | beer(?: )?ware licen[sc]e
 cpl-1.0 | 0.9 | common public licen[sc]e(?: version| v)? (?:v)?1 0
 ipl-1.0 | 0.9 | ibm public licen[sc]e(?: version| v)? (?:v)?1 0
-sspl-1.0 | 0.9 | server side public licen[sc]e(?: version| v)? (?:v)?1
+sspl-1.0 | 0.9 | server side public licen[sc]e(?: sspl)?(?: version| v)? (?:v)?1(?: 0)?
+sspl-1.0 | 0.9 | sspl(?: version| v)? (?:v)?1 0
+sspl | 0.8 | server side public licen[sc]e
 elastic-2.0 | 0.9 | elastic licen[sc]e(?: version| v)? (?:v)?2 0
 unicode | 0.8 | unicode(?: data files and software)? licen[sc]e agreement
 # public domain
@@ -284,6 +267,47 @@ unlicense | 0.8 | unlicense
 public-domain | 0.9 | (?:dedicated|released|placed|put) (?:in|into|to) the public domain
 public-domain | 0.8 | (?:in|into|to) the public domain
 public-domain | 0.8 | public domain dedication
+# identifiers
+isc | 1.0 | spdx licen[sc]e identifier isc
+zlib | 1.0 | spdx licen[sc]e identifier zlib
+libpng | 1.0 | spdx licen[sc]e identifier libpng
+curl | 1.0 | spdx licen[sc]e identifier curl
+postgresql | 1.0 | spdx licen[sc]e identifier postgresql
+ruby | 1.0 | spdx licen[sc]e identifier ruby
+vim | 1.0 | spdx licen[sc]e identifier vim
+ncsa | 1.0 | spdx licen[sc]e identifier ncsa
+x11 | 1.0 | spdx licen[sc]e identifier x11
+hpnd | 1.0 | spdx licen[sc]e identifier hpnd
+beerware | 1.0 | spdx licen[sc]e identifier beerware
+json | 1.0 | spdx licen[sc]e identifier json
+upl-1.0 | 0.9 | upl 1 0
+blueoak-1.0.0 | 0.9 | blueoak 1 0 0
+cpl-1.0 | 0.9 | cpl 1 0
+ipl-1.0 | 0.9 | ipl 1 0
+elastic-2.0 | 0.9 | elastic 2 0
+ecl-2.0 | 0.9 | ecl 2 0
+pddl-1.0 | 0.9 | pddl 1 0
+php-3.01 | 0.9 | php 3 01
+mulanpsl-2.0 | 0.9 | mulanpsl 2 0
+lppl-1.3c | 0.9 | lppl 1 3c
+libpng-2.0 | 0.9 | libpng 2 0
+unicode-dfs-2016 | 0.9 | unicode dfs 2016
+apache-1.1 | 0.9 | apache 1 1
+apache-1.0 | 0.9 | spdx licen[sc]e identifier apache 1 0
+python-2.0 | 0.9 | python 2 0 licen[sc]e
+python-2.0 | 0.9 | spdx licen[sc]e identifier python 2 0
+busl-1.1 | 0.9 | busl 1 1
+# exceptions
+gcc-exception-2.0 | 0.9 | gcc exception 2 0
+classpath-exception-2.0 | 0.9 | classpath exception(?: 2 0)?
+gcc-exception-3.1 | 0.9 | gcc (?:runtime library )?exception(?: 3 1)?
+llvm-exception | 0.9 | llvm exception
+autoconf-exception-2.0 | 0.9 | autoconf exception 2 0
+autoconf-exception-3.0 | 0.9 | autoconf exception 3 0
+bison-exception-2.2 | 0.9 | bison exception(?: 2 2)?
+font-exception-2.0 | 0.9 | font exception(?: 2 0)?
+linux-syscall-note | 0.9 | linux syscall note
+openssl-exception | 0.9 | openssl (?:linking )?exception
 # restrictions
 proprietary | 0.8 | all rights reserved
 proprietary | 0.9 | unauthori[sz]ed (?:copying|reproduction|distribution) of this (?:file|software|document) is strictly prohibited
@@ -293,7 +317,7 @@ no-warranty | 0.8 | without warranties or conditions of any kind
 """
 
 
-#: Stretches that are no use as keywords, because they are common words or bare versions.
+#: Stretches that are no use as keywords, because they are common words or bare versions, with or without their tails.
 WEAK = {"under", "later", "licen", "licen ", "version", "1 0", "2 0", "e", "e version", "agreement", "e agreement"}
 
 
@@ -317,7 +341,8 @@ def _stretch(regex: str) -> tuple[int, str]:
             flat += "\0"
         elif depth == 0:
             flat += token
-    told = [(0 if x.strip() in WEAK else len(x.strip()), x) for x in (flat + " ").split("\0")]
+    weak = lambda x: x in WEAK or re.fullmatch(r"[\d ⁺]*(?:only|or)?", x)
+    told = [(0 if weak(x.strip()) else len(x.strip()), x) for x in (flat + " ").split("\0")]
     return max(told, key=lambda t: (t[0], len(t[1])))
 
 
@@ -345,7 +370,7 @@ def _read(table: str) -> list[Rule]:
     return rules
 
 
-RULES = _read(TABLE)
+RULES = _read(gnu_table() + TABLE)
 
 
 def keywords(rules: list[Rule]) -> list[str]:

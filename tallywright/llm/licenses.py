@@ -25,6 +25,8 @@ from tallywright.llm.license_rules import RULES, Rule, families, keywords
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words: all ASCII but letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: "Or later" written as a plus, which else would be lost between words; the sign that stands for it is part of a word.
+PLUS, MARKED = r"((?:gpl|gfdl|public licen[sc]e)[ ,-]{0,2}(?:version |v ?)?[0-9](?:\.[0-9])?)\+", "⁺"
 #: The phrases of the contract and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 #: How sure a phrase of the contract is on its own: like a bare licence name.
@@ -39,7 +41,10 @@ _CHUNK = 256
 
 def joined_words(raw: F.Column) -> F.Column:
     """The words of a text, A-Z lower-cased, with one space before, between and after them."""
-    words = F.trim(F.regexp_replace(F.translate(raw, UPPER, LOWER), SEPARATORS, " "))
+    low = F.translate(raw, UPPER, LOWER)
+    plus = F.contains(low, F.lit("+")) & F.rlike(low, F.lit(PLUS))
+    low = F.when(plus, F.regexp_replace(low, PLUS, f"$1{MARKED}")).otherwise(low)
+    words = F.trim(F.regexp_replace(low, SEPARATORS, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
@@ -74,11 +79,9 @@ def _detections(joined: F.Column, rules: list[Rule]) -> F.Column:
     words = F.split(F.regexp_replace(joined, pattern, f"{_OPEN}$0{_SHUT}"), " ", -1)
     at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull())
     starts, ends = at(lambda w: F.startswith(w, F.lit(_OPEN))), at(lambda w: F.endswith(w, F.lit(_SHUT)))
-    table = F.array(
-        *[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.sure).alias("sure"), F.lit(f"^(?:{r.regex})$").alias("whole")) for r in rules]
-    )
-    # What matched is short; the first rule that fits all of it is the one that did.
-    which = lambda value: F.element_at(F.filter(table, lambda r: F.rlike(value, r["whole"])), 1)
+    table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.sure).alias("sure")) for r in rules])
+    # What matched is short; the first rule that fits all of it is the one that did. Each pattern is a literal, compiled once.
+    which = lambda value: F.element_at(table, F.coalesce(*[F.when(F.rlike(value, F.lit(f"^(?:{r.regex})$")), F.lit(k + 1)) for k, r in enumerate(rules)]))
     values = F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))
     named = F.transform(
         F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("back"))),
@@ -150,7 +153,7 @@ _FAMILIES_SQL = ", ".join(f"('{name}', '{_sql_regex('|'.join(r.regex for r in ru
 _RULES_SQL = ", ".join(f"('{r.family}', {r.priority}, '{r.label}', '{_sql_regex(r.regex)}', {r.sure}::DOUBLE)" for r in RULES)
 _PHRASES_SQL = ", ".join(f"('{label}', '{_sql_regex(phrase)}')" for phrase, label in PHRASES)
 OP10_SQL = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PLUS}', '\1{MARKED}', 'g'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 t AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS t FROM w),
 f(family, regex) AS (VALUES {_FAMILIES_SQL}),
 h(label, regex) AS (VALUES {_PHRASES_SQL}),

@@ -536,7 +536,7 @@ def test_licenses_every_rule_alone(spark):
         ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
         ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided"),
         ("gpl-2.0-or-later", "the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-        ("lgpl-2.1", "GNU Lesser General Public License v2.1"), ("mpl-2.0", "MPL-2.0"), ("gpl-3.0", "GPLv3"), ("agpl-3.0", "AGPL-3.0-only"),
+        ("lgpl-2.1", "GNU Lesser General Public License v2.1"), ("mpl-2.0", "MPL-2.0"), ("gpl-3.0", "GPLv3"), ("agpl-3.0-only", "AGPL-3.0-only"),
     ]
     d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(sets)], "doc_id long, text string").repartition(8)
     rows = licenses.scan_licenses(d).select("doc_id", "labels").collect()
@@ -545,6 +545,115 @@ def test_licenses_every_rule_alone(spark):
     assert not wrong
 
 
+#: What a reader of SPDX's list expects of each text, written apart from the rules: all labels and no other.
+IDENTIFIERS = """
+GPL-1.0-only: gpl-1.0-only
+GPL-1.0-or-later: gpl-1.0-or-later
+GPL-2.0: gpl-2.0
+GPL-2.0+: gpl-2.0-or-later
+GPL-2.0-only: gpl-2.0-only
+GPL-2.0-or-later: gpl-2.0-or-later
+GPL-3.0: gpl-3.0
+GPL-3.0+: gpl-3.0-or-later
+GPL-3.0-only: gpl-3.0-only
+GPL-3.0-or-later: gpl-3.0-or-later
+LGPL-2.0-only: lgpl-2.0-only
+LGPL-2.0-or-later: lgpl-2.0-or-later
+LGPL-2.1: lgpl-2.1
+LGPL-2.1+: lgpl-2.1-or-later
+LGPL-2.1-only: lgpl-2.1-only
+LGPL-2.1-or-later: lgpl-2.1-or-later
+LGPL-3.0-only: lgpl-3.0-only
+LGPL-3.0-or-later: lgpl-3.0-or-later
+LGPL-3.0+: lgpl-3.0-or-later
+AGPL-1.0-only: agpl-1.0-only
+AGPL-1.0-or-later: agpl-1.0-or-later
+AGPL-3.0: agpl-3.0
+AGPL-3.0-only: agpl-3.0-only
+AGPL-3.0-or-later: agpl-3.0-or-later
+GFDL-1.1-only: gfdl-1.1-only
+GFDL-1.1-or-later: gfdl-1.1-or-later
+GFDL-1.2-only: gfdl-1.2-only
+GFDL-1.3: gfdl-1.3
+GFDL-1.3-or-later: gfdl-1.3-or-later
+Apache-2.0: apache-2.0
+Apache-1.1: apache-1.1
+Apache-1.0: apache-1.0
+MIT: mit
+MIT-0: mit-0
+ISC: isc
+Zlib: zlib
+0BSD: 0bsd
+BSD-2-Clause: bsd-2-clause
+BSD-2-Clause-Patent: bsd-2-clause-patent
+BSD-3-Clause: bsd-3-clause
+BSD-3-Clause-Clear: bsd-3-clause-clear
+BSD-4-Clause: bsd-4-clause
+MPL-1.1: mpl-1.1
+MPL-2.0: mpl-2.0
+EPL-1.0: epl-1.0
+EPL-2.0: epl-2.0
+CDDL-1.0: cddl-1.0
+EUPL-1.2: eupl-1.2
+BSL-1.0: bsl-1.0
+BUSL-1.1: busl-1.1
+CC0-1.0: cc0-1.0
+CC-BY-SA-4.0: cc-by,cc-by-sa-4.0
+CC-BY-NC-ND-4.0: cc-by,cc-by-nc-nd-4.0
+OFL-1.1: ofl-1.1
+Unlicense: unlicense
+WTFPL: wtfpl
+SSPL-1.0: sspl-1.0
+Elastic-2.0: elastic-2.0
+PostgreSQL: postgresql
+X11: x11
+NCSA: ncsa
+Artistic-2.0: artistic-2.0
+Ruby: ruby
+MulanPSL-2.0: mulanpsl-2.0
+Python-2.0: python-2.0
+Apache-2.0 OR MIT: apache-2.0,mit
+(MIT OR Apache-2.0): apache-2.0,mit
+MIT OR GPL-2.0-or-later: gpl-2.0-or-later,mit
+GPL-2.0-only OR MIT: gpl-2.0-only,mit
+BSD-3-Clause AND MIT: bsd-3-clause,mit
+(GPL-2.0+ OR MIT): gpl-2.0-or-later,mit
+LGPL-2.1-only OR BSD-3-Clause: bsd-3-clause,lgpl-2.1-only
+LGPL-2.1-or-later AND GPL-3.0-only: gpl-3.0-only,lgpl-2.1-or-later
+GPL-2.0-only WITH Classpath-exception-2.0: classpath-exception-2.0,gpl-2.0-only
+GPL-2.0+ WITH Bison-exception-2.2: bison-exception-2.2,gpl-2.0-or-later
+GPL-3.0-or-later WITH GCC-exception-3.1: gcc-exception-3.1,gpl-3.0-or-later
+GPL-2.0 WITH Linux-syscall-note: gpl-2.0,linux-syscall-note
+Apache-2.0 WITH LLVM-exception: apache-2.0,llvm-exception
+MIT OR ISC: isc,mit
+"""
+#: The same for running text.
+SENTENCES = [
+    ("GPLv2+", "gpl-2.0-or-later"), ("GPL v3+", "gpl-3.0-or-later"), ("LGPLv2.1+", "lgpl-2.1-or-later"), ("GPL version 2+", "gpl-2.0-or-later"),
+    ("GPLv2 only", "gpl-2.0-only"), ("GPLv3 or later", "gpl-3.0-or-later"), ("GPL-2.0 plus 2+2", "gpl-2.0"), ("MIT/Apache-2.0", "apache-2.0,mit"),
+    ("the GNU General Public License, version 2", "gpl,gpl-2.0"), ("GNU General Public License v3.0 only", "gpl,gpl-3.0-only"),
+    ("GNU General Public License version 2 or (at your option) any later version", "gpl,gpl-2.0-or-later"),
+    ("GNU Lesser General Public License version 2.1 or later", "lgpl-2.1-or-later"), ("GNU Affero General Public License v3", "agpl-3.0"),
+    ("GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "lgpl-2.0-or-later"),
+    ("under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation", "gfdl-1.3-or-later"),
+    ("Server Side Public License", "sspl"), ("Server Side Public License, version 1", "sspl-1.0"), ("students of Harvard or MIT or Yale", ""),
+    ("GNU GPL", "gpl"), ("1 or later, 2 only, 3+", ""), ("the exception 2.0 of a rule", ""),
+]
+
+
+def test_licenses_identifiers(spark):
+    """Every identifier and expression behind its tag, and GNU ones bare too, gives just its own labels."""
+    told = [line.rsplit(": ", 1) for line in IDENTIFIERS.strip().splitlines()]
+    assert len(told) >= 60
+    cases = [(f"// SPDX-License-Identifier: {text}\n", labels) for text, labels in told] + SENTENCES
+    cases += [(f"see {text}, there", labels) for text, labels in told if "GPL" in text or "GFDL" in text]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string").repartition(8)
+    rows = licenses.scan_licenses(d).select("doc_id", "labels", "n_words", "text").collect()
+    # A phrase of the contract keeps its own label.
+    assert not [(cases[r.doc_id], r.labels) for r in rows if r.labels != cases[r.doc_id][1]]
+    assert all(r.n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r.text.lower())) for r in rows)
+
+
 def test_licenses_no_false_labels(spark):
     clean = [
         "This license: an artistic view, apache helicopter, epl season", "limited permit, odd artistically", None, "", "the mit campus and bsd people",
