@@ -34,6 +34,11 @@ def amount(s: Column) -> Column:
     return F.when(minus, -value).otherwise(value)
 
 
+def cell_number(s: Column) -> Column:
+    """The amount of a cell in which a thousands comma may have been read as a dot."""
+    return amount(F.regexp_replace(s, r"([.,]\d{3})\.(\d{3})(?!\d)", "$1,$2"))
+
+
 def share_quantity(s: Column) -> Column:
     """N of 'N주'; fractions count."""
     return F.regexp_replace(blank_to_null(F.regexp_extract(s, r"^([\d,]+(?:\.\d+)?)\s*주$", 1)), ",", "").try_cast("double")

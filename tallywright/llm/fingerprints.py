@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywright.llm.shared import bounded_batches
 from tallywright.llm.workers import held, slices
 
 
@@ -223,6 +224,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
+    bounded_batches(docs.sparkSession)
     pieces = 4 * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return with_next(docs, min(pieces, 4000)).mapInArrow(compare, NEXT_SCHEMA)
 

@@ -39,20 +39,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.components import components
-from tallywright.llm.shared import stored
+from tallywright.llm.shared import bounded_batches, stored
 from tallywright.llm.workers import WordStore, held, release, slices
 
 #: Pivots that come last, at most: the shingles that most documents share.
 COMMON = 65_536
 #: Entries of one region, and shingles of one cluster, that a task joins as one block.
-REGION_BLOCK, CLUSTER_BLOCK = 2_000, 1_500_000
+REGION_BLOCK, CLUSTER_BLOCK = 2_000, 1_000_000
 #: Sets below PARITY_BELOW shingles have parities, those from COUNTS_FROM on counts; the two overlap,
 #: so that sets of similar size have one in common.
 PARITY_BELOW, COUNTS_FROM, BUCKETS = 400, 300, 256
 #: Members of a cluster that are joined without further pivots, and pivots of a larger one.
 LEAF, PIVOTS = 32, 8
 #: Shingles that the counting pass gathers before it counts them, and bytes of texts or sets that are handled together.
-GATHERED, BATCH_BYTES = 2_000_000, 8_000_000
+GATHERED, BATCH_BYTES = 1_000_000, 2_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -281,10 +281,17 @@ class Cluster:
     def __init__(self, ids: np.ndarray, sets: list[np.ndarray], share: tuple[int, int], forest: Forest):
         self.ids, self.forest, self.share = ids, forest, share
         self.n = np.array([len(s) for s in sets], dtype=np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.n)
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(flat, kind="stable")
-        self.postings, self.starts = owner[order], np.searchsorted(flat[order], np.arange(flat.max() + 2))
+        # One sort gives the numbers of the shingles and who has each; what is large is let go at once.
+        values = np.concatenate(sets)
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        new = np.flatnonzero(values[1:] != values[:-1]) + 1
+        del values
+        self.starts = np.concatenate([[0], new, [len(order)]])
+        flat = np.empty(len(order), dtype=np.int32)
+        flat[order] = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
+        self.postings = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)[order]
+        del order
         self.columns = np.split(flat, np.cumsum(self.n)[:-1])
         self.links: list[tuple[int, int]] = []
         self.margin = 2 * (1 - share[0] / share[1]) + 1e-9
@@ -359,6 +366,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
 
     Two documents are linked when den * common >= num * united, ``share`` being (num, den).
     """
+    bounded_batches(docs.sparkSession)
     # With the id, a digest of the text finds the text again when its set is needed.
     docs = docs.select("doc_id", F.unhex(F.sha2(F.col(text), 256)).alias("text_key"), F.col(text).alias("text"))
     # A stored row keeps its number, which also names the class that it stands for.

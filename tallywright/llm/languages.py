@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import stored
+from tallywright.llm.shared import bounded_batches, columns_of, private, stored
 from tallywright.llm.workers import LIMIT, held, slices
 
 #: Letters of an n-gram, weight of shorter contexts, characters of a word.
@@ -242,6 +242,7 @@ def selected(of: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``labelled`` (doc_id, lang, text), rows without a language left out."""
+    bounded_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull())
     # At most LANGUAGES rows.
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -291,6 +292,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``languages``, the selected ones with their shares, largest first."""
+    bounded_batches(docs.sparkSession)
     shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double, languages array<struct<lang: string, share: double>>")
@@ -305,8 +307,8 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame(out, columns=["lang_pred", "score", "languages"])
 
     kept = docs.drop("lang_pred", "score", "languages")
-    name = f"_guess_{uuid.uuid4().hex}"
-    return kept.withColumn(name, of(F.col(text))).select(*[F.col(f"`{c}`") for c in kept.columns], f"{name}.*")
+    name = private("guess")
+    return kept.withColumn(name, of(F.col(text))).select(*columns_of(kept), f"{name}.*")
 
 
 def _batches(texts: pd.Series, most: int, rows: int) -> Iterator[list[str | None]]:

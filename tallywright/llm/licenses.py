@@ -83,10 +83,8 @@ def _detections(joined: F.Column, rules: list[Rule]) -> F.Column:
     # What matched is short; the first rule that fits all of it is the one that did. Each pattern is a literal, compiled once.
     which = lambda value: F.element_at(table, F.coalesce(*[F.when(F.rlike(value, F.lit(f"^(?:{r.regex})$")), F.lit(k + 1)) for k, r in enumerate(rules)]))
     values = F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))
-    named = F.transform(
-        F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("back"))),
-        lambda x, i: F.struct(x["start"], x["back"], which(F.element_at(values, i + 1)).alias("rule")),
-    )
+    spans = F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("back")))
+    named = F.zip_with(spans, values, lambda x, v: F.struct(x["start"], x["back"], which(v).alias("rule")))
     found = F.transform(
         named,
         lambda x: F.struct(x["start"], x["back"], x["rule"]["priority"].alias("priority"), x["rule"]["label"].alias("label"), x["rule"]["sure"].alias("sure")),

@@ -31,10 +31,12 @@ like the results are not passed on.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import numbered, stored
+from tallywright.llm.shared import columns_of, numbered, private, stored
 
 #: Documents of a block, and slots of an epoch.
 BLOCK, EPOCH = 8, 1024
@@ -147,6 +149,11 @@ def _scheduled(epochs: DataFrame) -> DataFrame:
     )
 
 
+def _table(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    """A small table of the driver's, of structs of ``kind``, read as JSON in the JVM."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def schedule(spark: SparkSession, weights: dict[Source, int], slots: int) -> DataFrame:
     """(source, number, slot, release, due): the documents that have the first ``slots`` slots, at least.
 
@@ -172,11 +179,11 @@ def schedule(spark: SparkSession, weights: dict[Source, int], slots: int) -> Dat
             root = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), F.lit(low).alias("low")) for n, low in tables[0][2]])
             epochs = spark.range(tables[0][1]).select(F.lit(0).alias("node"), F.col("id").alias("epoch"), root.alias("parties"))
         else:
-            parties = spark.createDataFrame([(n, p) for n, _, p in tables], "node int, parties array<struct<n:bigint,low:boolean>>")
-            lengths = spark.createDataFrame([(n, e) for n, e, _ in tables], "node int, epochs long")
+            parties = _table(spark, [{"node": n, "parties": [{"n": w, "low": low} for w, low in p]} for n, _, p in tables], "node:int,parties:array<struct<n:bigint,low:boolean>>")
+            lengths = _table(spark, [{"node": n, "epochs": e} for n, e, _ in tables], "node:int,epochs:bigint")
             epochs = lengths.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch")).repartition("node", "epoch").join(parties, "node")
         # One row per group and per source, whatever the number of documents is.
-        found = stored(_scheduled(epochs).join(spark.createDataFrame(kids, "node int, k int, source string, child int"), ["node", "k"]), "slots")
+        found = stored(_scheduled(epochs).join(_table(spark, [dict(zip(("node", "k", "source", "child"), x, strict=True)) for x in kids], "node:int,k:int,source:string,child:int"), ["node", "k"]), "slots")
         if above is not None:
             outer = above.select(F.col("child").alias("node"), F.col("number").alias("inner"), F.col("slot").alias("o_slot"), F.col("release").alias("o_release"), F.col("due").alias("o_due"))
             found = found.withColumnRenamed("slot", "inner").join(outer, ["node", "inner"]).select("source", "child", "number", F.col("o_slot").alias("slot"), F.col("o_release").alias("release"), F.col("o_due").alias("due"))
@@ -229,11 +236,12 @@ def mixed(docs: DataFrame, weights: dict[Source, float] | None = None, block: in
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """``docs`` themselves in the order of the mix: partitions, and rows in them, follow ``place``.
 
-    No row is dropped or repeated; written files hold the mix in order.
+    No row is dropped or repeated; written files hold the mix in order. Columns stay, whatever they are called.
     """
-    places = mixed(docs, weights).groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.min("place").alias("_place"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_tie"))
-    return docs.join(places, same, "left").repartitionByRange("_place", "doc_id").sortWithinPartitions("_place", "doc_id").select(docs.columns)
+    i, tie, place = (private(x) for x in ("id", "tie", "place"))
+    places = mixed(docs.select("source", "doc_id", "text"), weights).groupBy(F.col("doc_id").alias(i), F.col("tie").alias(tie)).agg(F.min("place").alias(place))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.xxhash64("text").eqNullSafe(F.col(tie))
+    return docs.join(places, same, "left").repartitionByRange(place, "doc_id").sortWithinPartitions(place, "doc_id").select(columns_of(docs))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

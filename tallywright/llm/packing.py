@@ -26,7 +26,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import numbered, stored
+from tallywright.llm.shared import bounded_batches, numbered, private, stored
 from tallywright.llm.workers import WordStore, held, slices
 
 CAPACITY = 2048
@@ -116,6 +116,7 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, place: str | None = None) -> DataFrame:
     """The pieces of every document: (doc_id, piece, start, length, ids_crc32) and the document's ``place``, if asked for."""
+    bounded_batches(docs.sparkSession)
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if place:
@@ -216,6 +217,12 @@ def _with_runs(pieces: DataFrame, runs: DataFrame, n_runs: int, n: int) -> DataF
     )
 
 
+def _runs_table(spark: SparkSession, runs: list[tuple], names: list[str]) -> DataFrame:
+    """The runs as a table of longs; an Arrow table goes to the JVM without Python workers."""
+    columns = zip(*runs, strict=True) if runs else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)}))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
@@ -227,8 +234,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     for n in sorted(histogram):
         before[n], rows = rows, rows + histogram[n]
     runs = [(n, before[n] + a, before[n] + b, s, o) for n, a, b, s, o in best_fit_runs(histogram, capacity)]
-    schema = "run_length int, first_pos long, last_pos long, first_sequence long, offset long"
-    return _with_runs(pieces, spark.createDataFrame(runs, schema), len(runs), rows).select(
+    names = ["run_length", "first_pos", "last_pos", "first_sequence", "offset"]
+    return _with_runs(pieces, _runs_table(spark, runs, names), len(runs), rows).select(
         "doc_id",
         "piece",
         "start",
@@ -242,17 +249,21 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
 def in_file_order(docs: DataFrame, place: str) -> DataFrame:
     """``docs`` with the 0-based ``place`` of each row in the files it is read from, in the order of their names.
 
-    A table that is not read from files has its rows numbered by partition.
+    A table that is not read from files has its rows numbered by partition. A column of that name is replaced,
+    all others stay whatever they are called.
     """
+    if "_metadata" in docs.columns:  # a caller's own column hides the files
+        return docs.withColumn(place, F.monotonically_increasing_id())
+    file, row, of, n, offset = (private(x) for x in ("file", "row", "of", "n", "offset"))
     try:
-        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        rows = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException:
         return docs.withColumn(place, F.monotonically_increasing_id())
-    ahead = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
-    counts = rows.groupBy(F.col("_file").alias("_of")).agg(F.count("*").alias("_n"))
-    offsets = counts.select("_of", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"))
-    return rows.join(F.broadcast(offsets), F.col("_file") == F.col("_of")).withColumn(place, F.col("_offset") + F.col("_row")).drop("_file", "_of", "_row", "_offset")
+    counts = rows.groupBy(F.col(file).alias(of)).agg(F.count("*").alias(n))
+    offsets = counts.select(of, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(offset))
+    return rows.join(F.broadcast(offsets), F.col(file) == F.col(of)).withColumn(place, F.col(offset) + F.col(row)).drop(file, of, row, offset)
 
 
 def pack_in_order(docs: DataFrame, tokenizer: str, place: str, capacity: int = CAPACITY, parts: int = PARTS, least: int = LEAST) -> DataFrame:
@@ -277,9 +288,9 @@ def pack_in_order(docs: DataFrame, tokenizer: str, place: str, capacity: int = C
         own = best_fit_runs(lengths, capacity)
         runs += [(part, k, before[k] + a, before[k] + b, opened + s, o) for k, a, b, s, o in own]
         opened = max(opened + s + b - a + 1 for _, a, b, s, _ in own)
-    schema = "run_part long, run_length int, first_pos long, last_pos long, first_sequence long, offset long"
+    names = ["run_part", "run_length", "first_pos", "last_pos", "first_sequence", "offset"]
     placed = stored(
-        _with_runs(pieces, spark.createDataFrame(runs, schema), len(runs), rows).withColumn("_sequence", F.col("first_sequence") + F.col("pos") - F.col("first_pos")),
+        _with_runs(pieces, _runs_table(spark, runs, names), len(runs), rows).withColumn("_sequence", F.col("first_sequence") + F.col("pos") - F.col("first_pos")),
         "placed",
     )
     openings = placed.where(F.col("offset") == 0).select(F.col("_sequence").alias("_opened"), "place")

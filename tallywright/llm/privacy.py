@@ -23,11 +23,13 @@ have shorter windows; an empty table gives no rows; extra columns stay.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import stored
+from tallywright.llm.shared import columns_of, private, stored
 
 #: The kinds in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -53,27 +55,70 @@ TERM = r"\p{L}{%d,}+" % LETTERS
 _SPAN = "struct<start:int,end:int,value:string>"
 
 
-def _placed(text: F.Column, pattern: str | F.Column, at: F.Column | None = None) -> F.Column:
+#: Steps that a fold takes together, and code points of a piece of a text. Folds copy what they have made at every
+#: step, and a place in a text is found by counting from its start; short stretches keep both linear.
+_STEPS, _PIECE = 256, 256
+#: Stands for the letters of base values, so that words that reach into one are told: a letter of one old manuscript.
+_MASK = "\ua66e"
+
+
+def _named(value: F.Column, made: Callable[[F.Column], F.Column]) -> F.Column:
+    """``made`` of ``value``; a value that only a lambda's variable stands for is worked out once a row."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _folded(steps: F.Column, kind: str, first: F.Column, step: Callable[[F.Column, F.Column], F.Column]) -> F.Column:
+    """Array of ``kind`` that ``step(at, element)``, a struct (at, out) of a number and an array, gives one after the other."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: F.Column, s: F.Column) -> F.Column:
+        return F.transform(F.array(step(acc["at"], s)), lambda n: F.struct(n["at"].alias("at"), F.concat(acc["out"], n["out"]).alias("out")))[0]
+
+    def chunk(acc: F.Column, k: F.Column, all_steps: F.Column) -> F.Column:
+        part = F.aggregate(F.slice(all_steps, k * _STEPS + 1, _STEPS), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["outs"], F.array(p["out"])).alias("outs")))[0]
+
+    def whole(given: F.Column) -> F.Column:
+        start = F.struct(first.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(given) - 1) / _STEPS).cast("int"))
+        return F.when(F.size(given) > 0, F.flatten(F.aggregate(chunks, start, lambda acc, k: chunk(acc, k, given))["outs"])).otherwise(none)
+
+    return _named(steps, whole)
+
+
+def _placed(text: F.Column, pattern: str, at: F.Column | None = None) -> F.Column:
     """Array of (start, end, value) of all matches, in code points from ``at`` on."""
+    # What lies before each match; the last piece has none behind it.
     matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), -1)
-    steps = F.transform(matches, lambda m, i: F.struct(F.length(F.element_at(between, i + 1)).alias("gap"), m.alias("value")))
-    return F.aggregate(
-        steps,
-        F.struct((at if at is not None else F.lit(0)).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + F.length(s["value"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + s["gap"]).alias("start"),
-                        (acc["at"] + s["gap"] + F.length(s["value"])).alias("end"),
-                        s["value"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
+    steps = F.filter(F.zip_with(matches, between, lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("value"))), lambda x: x["value"].isNotNull())
+
+    def step(at: F.Column, x: F.Column) -> F.Column:
+        start, end = at + x["gap"], at + x["gap"] + F.length(x["value"])
+        return F.struct(end.alias("at"), F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+
+    return _folded(steps, _SPAN, at if at is not None else F.lit(0), step)
+
+
+def _pieces(text: F.Column) -> F.Column:
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _PIECE), F.lit(0))
+
+
+def _cut(pieces: F.Column, at: F.Column, n: F.Column) -> F.Column:
+    """``n`` (at most _PIECE) code points from ``at`` on."""
+    k = F.floor(at / _PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substring(both, at % _PIECE + 1, n)
+
+
+def _cut_long(pieces: F.Column, at: F.Column, end: F.Column) -> F.Column:
+    """The code points from ``at`` up to ``end``, however many."""
+    i, j = F.floor(at / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int")
+    some = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    inside = F.substring(some(i), at % _PIECE + 1, end - at)
+    across = F.concat(
+        F.substring(some(i), at % _PIECE + 1, F.lit(_PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(some(j), F.lit(1), end % _PIECE)
+    )
+    return F.when(i == j, inside).otherwise(across)
 
 
 def _digits(value: F.Column) -> F.Column:
@@ -127,26 +172,40 @@ def _key(text: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def _masked(raw: F.Column, kind: str) -> F.Column:
+    """Pieces of the text with the letters of the kind's spans masked; an empty array without such a span."""
+    matches, between = F.regexp_extract_all(raw, F.lit(PATTERNS[kind]), F.lit(0)), F.split(raw, F.lit(PATTERNS[kind]), -1)
+    hidden = lambda m: F.when(_fits(kind, m), F.regexp_replace(m, r"\p{L}", _MASK)).otherwise(m)
+    text = F.array_join(F.zip_with(between, matches, lambda g, m: F.concat(g, F.coalesce(hidden(m), F.lit("")))), "")
+    return F.when(F.size(kind) > 0, _pieces(text)).otherwise(F.array().cast("array<string>"))
+
+
 def _windows(text: str) -> F.Column:
     """Array of (entity, context, terms) per base span; a term does not touch any base span."""
     raw = F.coalesce(F.col(text), F.lit(""))
 
-    def around(kind: str, s: F.Column) -> F.Column:
+    def around(kind: F.Column, s: F.Column, held: F.Column) -> F.Column:
         first = F.greatest(s["start"] - WINDOW, F.lit(0))
-        left = F.substring(raw, first + 1, s["start"] - first)
-        right = F.substring(raw, s["end"] + 1, F.lit(WINDOW))
+        left = _cut(held["raw"], first, s["start"] - first)
+        right = _cut(held["raw"], s["end"], F.lit(WINDOW))
         # Words that the window cuts are none.
         head = F.when(first > 0, F.length(F.regexp_extract(left, r"^\p{L}*", 0))).otherwise(F.lit(0))
         whole_left = F.substring(left, head + 1, F.lit(WINDOW))
         whole_right = F.when(F.length(right) == WINDOW, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
         terms = F.concat(_placed(whole_left, TERM, first + head), _placed(whole_right, TERM, s["end"]))
+        touches = lambda t: reduce(or_, [F.contains(_cut(held[k], t["start"], t["end"] - t["start"]), F.lit(_MASK)) for k in KINDS])
         return F.struct(
-            F.xxhash64(F.lit(kind), F.lower(s["value"])).alias("entity"),
-            F.xxhash64(left, right).alias("context"),
-            F.filter(terms, lambda t: ~F.exists("_base", lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"]))).alias("terms"),
+            F.xxhash64(kind, F.lower(s["value"])).alias("entity"), F.xxhash64(left, right).alias("context"), F.filter(terms, lambda t: ~touches(t)).alias("terms")
         )
 
-    return F.concat(*[_each(k, lambda s, kind: around(kind, s)) for k in KINDS])
+    # The span that a window belongs to is masked like all others.
+    held = F.struct(_pieces(raw).alias("raw"), *[_masked(raw, k).alias(k) for k in KINDS])
+    spans = F.concat(*[_each(k, lambda s, kind: F.struct(F.lit(kind).alias("kind"), s.alias("s"))) for k in KINDS])
+
+    def any_kind(x: F.Column, h: F.Column) -> F.Column:
+        return around(x["kind"], x["s"], h)
+
+    return _named(held, lambda h: F.transform(spans, lambda x: any_kind(x, h)))
 
 
 def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -212,38 +271,48 @@ def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.join(terms, same, "left").select("doc_id", "text_key", *KINDS, "terms")
 
 
-def document_disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, share) as of disclosures(), by terms anywhere in the documents that mention the entity.
+def document_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text_key, term, share): what a document's own entities disclose by terms anywhere in it, for rows with mentions.
 
-    Here the context is the whole text, so a term needs SUPPORT different texts.
+    The context is the whole text, so a term needs SUPPORT different texts. Entities that the same rows
+    mention, and terms that the same of these rows hold, behave alike: they are put into classes,
+    and classes meet. A page of thousands of addresses and its copies are one class of entities
+    beside one class of terms and not the product of both.
     """
-    mentions = found.where(F.col("windows").isNotNull()).select("doc_id", "text_key", F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity")).distinct()
+    row = ["doc_id", "text_key"]
+    hashes = [F.xxhash64("doc_id", "text_key"), F.xxhash64("text_key", "doc_id", F.lit("again"))]
+    same_rows = [F.bit_xor(h).alias(c) for c, h in zip(("a", "b"), hashes, strict=True)]
+    mentions = found.where(F.col("windows").isNotNull()).select(*row, F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity")).distinct()
     # An entity of fewer texts than SUPPORT has no such term.
-    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= SUPPORT)
+    entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.countDistinct("text_key").alias("texts"), *same_rows).where(F.col("texts") >= SUPPORT)
+    entities = entities.select("entity", "df_e", F.xxhash64("a", "b", "df_e").alias("class"))
+    of_row = stored(mentions.join(entities, "entity").select(*row, "class", "df_e").distinct(), "entity-classes")
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
-    held = docs.select(F.col("doc_id").alias("_id"), _key(text).alias("_row"), F.array_distinct(words).alias("_words")).dropDuplicates(["_id", "_row"])
+    wide = docs.select("doc_id", _key(text).alias("text_key"), F.array_distinct(words).alias("words")).dropDuplicates(row)
+    chosen = of_row.select(row).distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_row"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
+    held = stored(wide.join(chosen, same, "left_semi").select(*row, F.explode("words").alias("term")), "words")
+    # A term in fewer texts than SUPPORT discloses nothing.
+    terms = held.groupBy("term").agg(F.count("*").alias("rows"), F.countDistinct("text_key").alias("texts"), *same_rows).where(F.col("texts") >= SUPPORT)
+    frequency = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    terms = terms.join(frequency, "term").select("term", "df_t", F.xxhash64("a", "b", "rows", "df_t").alias("term_class"))
+    held = stored(held.join(terms, "term"), "term-classes")
+    classes = held.select(*row, "term_class", "df_t").distinct()
+    # A class of terms stands in all rows that its terms stand in.
+    met = of_row.join(classes.withColumnsRenamed({"doc_id": "_id", "text_key": "_row"}), same)
     together = (
-        mentions.join(entities.select("entity"), "entity", "left_semi")
-        .join(held, same)
-        .select("entity", "text_key", F.explode("_words").alias("term"))
-        .groupBy("entity", "term", "text_key")
+        met.groupBy("class", "df_e", "term_class", "df_t", "text_key")
         .agg(F.count("*").alias("rows"))
-        .groupBy("entity", "term")
+        .groupBy("class", "df_e", "term_class", "df_t")
         .agg(F.sum("rows").alias("co"), F.count("*").alias("support"))
         .where(F.col("support") >= SUPPORT)
     )
-    frequency = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     n = found.count()
     known = F.log2(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("co") / (F.greatest("df_t", "co") * F.col("df_e")))
-    return (
-        together.join(entities, "entity")
-        .join(frequency, "term")
-        .where(F.col("df_e") < n)
-        .select("entity", "term", (pmi / known).alias("share"))
-        .where(F.col("share") >= GENERALISE)
-    )
+    telling = together.where(F.col("df_e") < n).select("class", "term_class", (pmi / known).alias("share")).where(F.col("share") >= GENERALISE)
+    told = of_row.join(telling, "class").groupBy(*row, "term_class").agg(F.max("share").alias("share")).withColumnsRenamed({"doc_id": "_id", "text_key": "_row", "term_class": "_class"})
+    return held.join(told, same & (F.col("term_class") == F.col("_class"))).select(*row, "term", "share")
 
 
 def _without(masked: F.Column, given: F.Column) -> F.Column:
@@ -252,20 +321,46 @@ def _without(masked: F.Column, given: F.Column) -> F.Column:
     The text is taken apart into kinds, words and what lies between. A word is looked for in one of many
     small buckets of terms, so the work grows with the words and not with words times terms.
     """
-    n = F.greatest(F.lit(1), F.floor(F.size(given) / 4).cast("int"))
+    # Two levels of buckets, so that making them stays far from the square of the number of terms.
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(given) / 4)).cast("int"))
     slot = lambda word, n: F.pmod(F.hash(word), n)
-    buckets = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(given, lambda g: slot(g["term"], n) == k))
+    inner = lambda word, n: F.pmod(F.hash(word, F.lit(1)), n)
+    split = lambda of, n, at: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.filter(of, lambda g: at(g["term"], n) == k))
     pieces = F.regexp_extract_all(masked, F.lit(rf"\[(?:{'|'.join(KINDS).upper()})\]|\p{{L}}++|\[|[^\p{{L}}\[]++"), F.lit(0))
 
     def cleaned(b: F.Column) -> F.Column:
         def put(word: F.Column) -> F.Column:
-            held = F.filter(F.element_at(b["buckets"], slot(F.lower(word), b["n"]) + 1), lambda g: g["term"] == F.lower(word))
+            bucket = F.get(F.get(b["buckets"], slot(F.lower(word), b["n"])), inner(F.lower(word), b["n"]))
+            held = F.filter(bucket, lambda g: g["term"] == F.lower(word))
             return F.coalesce(F.get(F.transform(held, lambda g: F.when(g["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[WORD]"))), F.lit(0)), word)
 
         return F.array_join(F.transform(pieces, put), "")
 
-    # An array of one value gives the buckets a name, so that they are made once a row.
-    return F.transform(F.array(F.struct(n.alias("n"), buckets.alias("buckets"))), cleaned)[0]
+    def two_levels(g: F.Column) -> F.Column:
+        groups = split(g["given"], g["n"], slot)
+        return F.struct(g["n"].alias("n"), F.transform(groups, lambda x: split(x, g["n"], inner)).alias("buckets"))
+
+    return _named(_named(F.struct(n.alias("n"), given.alias("given")), two_levels), cleaned)
+
+
+def _replaced(raw: F.Column, cuts: F.Column) -> F.Column:
+    """The text with the sorted ``cuts`` (start, end, put) put in.
+
+    A span inside the one before it is gone already; one that sticks out loses the rest.
+    """
+    kind = "struct<from:int,to:int,put:string>"
+
+    def step(at: F.Column, c: F.Column) -> F.Column:
+        one = F.array(F.struct(at.alias("from"), c["start"].alias("to"), c["put"].alias("put")))
+        more = F.array(F.struct(at.alias("from"), at.alias("to"), F.lit("").alias("put")))
+        return F.struct(F.greatest(at, c["end"]).alias("at"), F.when(c["start"] >= at, one).otherwise(more).alias("out"))
+
+    def made(h: F.Column) -> F.Column:
+        kept = F.transform(h["steps"], lambda c: F.concat(_cut_long(h["raw"], c["from"], c["to"]), c["put"]))
+        last = F.array_max(F.transform(h["cuts"], lambda c: c["end"]))
+        return F.concat(F.array_join(kept, ""), _cut_long(h["raw"], F.coalesce(last, F.lit(0)), h["n"]))
+
+    return _named(F.struct(_pieces(raw).alias("raw"), _folded(cuts, kind, F.lit(0), step).alias("steps"), cuts.alias("cuts"), F.length(raw).alias("n")), made)
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -273,43 +368,28 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Unlike op4_privacy's spans, a term that discloses an entity goes from the whole of every
     document that mentions the entity, and terms far from the mention are weighed too. ``n_chars``,
-    if there, follows the text.
+    if there, follows the text. All other columns stay as they are, whatever they are called; a null text stays null.
     """
-    found = spans_of(docs, text)
-    disclosed = disclosures(found, docs, text).unionByName(document_disclosures(found, docs, text)).groupBy("entity", "term").agg(F.max("share").alias("share"))
-    given = (
-        found.where(F.col("windows").isNotNull())
-        .select("doc_id", "text_key", F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity"))
-        .join(disclosed, "entity")
-        .groupBy("doc_id", "text_key", "term")
-        .agg(F.max("share").alias("share"))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_row"))
-        .agg(F.collect_list(F.struct("term", "share")).alias("_given"))
-    )
+    row = ["doc_id", "text_key"]
+    read = docs.select("doc_id", F.col(text).alias("text"))
+    found = spans_of(read)
+    beside = found.where(F.col("windows").isNotNull()).select(*row, F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity"))
+    beside = beside.join(disclosures(found, read), "entity").select(*row, "term", "share")
+    i, r, given, puts, cuts, masked = (private(x) for x in ("id", "row", "given", "puts", "cuts", "masked"))
+    terms = beside.unionByName(document_terms(found, read)).groupBy(*row, "term").agg(F.max("share").alias("share"))
+    terms = terms.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_row")).agg(F.collect_list(F.struct("term", "share")).alias(given))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
     # Only rows with mentions have terms.
-    rows = found.where(F.size(F.concat(*KINDS)) > 0).join(given, same, "left").drop("_id", "_row")
-    rows = rows.withColumnsRenamed({"doc_id": "_id", "text_key": "_row"}).dropDuplicates(["_id", "_row"])
+    rows = found.where(F.size(F.concat(*KINDS)) > 0).join(terms, same, "left").drop("_id", "_row").dropDuplicates(row)
     cut = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put"))
-    rows = rows.select("_id", "_row", "_given", F.concat(*[_each(k, cut) for k in KINDS]).alias("_puts"))
-    raw = F.col(text)
-    folded = F.aggregate(
-        F.col("_cuts"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        # A span inside the one before it is gone already; one that sticks out loses the rest.
-        lambda acc, c: F.when(
-            c["start"] >= acc["at"],
-            F.struct(c["end"].alias("at"), F.concat(acc["out"], F.substring(raw, acc["at"] + 1, c["start"] - acc["at"]), c["put"]).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], c["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.length(raw))),
-    )
-    joined = docs.withColumn("_key", _key(text)).join(rows, F.col("_key").eqNullSafe(F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("_cuts", F.array_sort("_puts"))
-    masked = F.when(F.col("_cuts").isNotNull(), folded).otherwise(raw)
-    out = joined.withColumn("_masked", masked).withColumn(text, F.when(F.col("_given").isNotNull(), _without(F.col("_masked"), F.col("_given"))).otherwise(F.col("_masked")))
+    rows = rows.select(F.col("doc_id").alias(i), F.col("text_key").alias(r), given, F.concat(*[_each(k, cut) for k in KINDS]).alias(puts))
+    raw, key = F.col(f"`{text}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    joined = docs.join(rows, key.eqNullSafe(F.col(r)) & F.col("doc_id").eqNullSafe(F.col(i)), "left").withColumn(cuts, F.array_sort(puts))
+    out = joined.withColumn(masked, F.when(F.col(cuts).isNotNull(), _replaced(raw, F.col(cuts))).otherwise(raw))
+    out = out.withColumn(text, F.when(F.col(given).isNotNull(), _without(F.col(masked), F.col(given))).otherwise(F.col(masked)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNotNull(), F.length(text).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(columns_of(docs))
 
 
 def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:

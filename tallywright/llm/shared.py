@@ -23,6 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, and the setting for it with Spark's default.
+BATCH, BATCH_SETTING, BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64m", "64MB")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 4 MB (or one row) from now on, unless the session has a setting of its own.
+
+    A batch is held several times over, in the JVM's direct memory and by the worker; with long texts Spark's
+    64 MB are half of what an executor has for its workers.
+    """
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT[0]) in BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH)
+
+
+def private(name: str) -> str:
+    """A column name that no caller's table has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns of ``df``, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

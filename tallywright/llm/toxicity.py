@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.shared import stored
+from tallywright.llm.shared import bounded_batches, stored
 from tallywright.llm.workers import WordStore, held, slices
 
 #: Characters of the word beginnings.
@@ -148,6 +148,7 @@ def _sampled(labels: DataFrame, sample: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, groups: list[list[str]] = IDENTITY_TERMS, lam: float = LAMBDA) -> Model:
     """A model from ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``."""
+    bounded_batches(docs.sparkSession)
     counts = {r["label"]: r["n"] for r in labels.where(F.col("label").isin(0, 1)).groupBy("label").agg(F.countDistinct("doc_id").alias("n")).collect()}
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +224,7 @@ class Scorer:
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
     """``docs`` with the score of whole texts in ``column``, which replaces one of that name."""
+    bounded_batches(docs.sparkSession)
     known_by, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")

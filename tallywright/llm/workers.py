@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of a store, by estimate, and what a word takes beside its characters and its value.
-LIMIT, PER_WORD = 64_000_000, 150
+LIMIT, PER_WORD = 40_000_000, 150
 
 
 class WordStore:

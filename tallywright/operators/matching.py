@@ -137,3 +137,35 @@ def similar_names(pairs: DataFrame, name: str, evidence: str) -> DataFrame:
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("similarity", T.DoubleType())])
     return pairs.mapInPandas(batches, schema)
+
+
+def leftover_assigned(labels: DataFrame, amounts: DataFrame, keys: list[str], at: str, label: str, amount: str, reach: float) -> DataFrame:
+    """(label, amount): every label in its order takes the nearest amount behind it, within ``reach``, that is still free.
+
+    What one label takes is gone for those after it. Stretches that a gap of more than ``reach`` parts cannot touch each
+    other and are swept apart, so a sweep holds a stretch and not all that a key has.
+    """
+    one = lambda df, ids, own: df.select(*keys, at, F.lit(own).alias("_label"), F.col(ids).alias("_id"))
+    rows = one(labels, label, True).unionByName(one(amounts, amount, False))
+    w = Window.partitionBy(*keys).orderBy(at, F.desc("_label"), "_id")
+    fresh = F.coalesce((F.col(at) - F.lag(at).over(w) > reach).cast("int"), F.lit(0))
+    parts = rows.withColumn("_new", fresh).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct(F.col(at).alias("at"), F.col("_id").alias("id"))
+    each = parts.groupBy(*keys, "_part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_label"), item))).alias("l"), F.array_sort(F.collect_list(F.when(~F.col("_label"), item))).alias("a")
+    )
+    kind = each.schema["a"].dataType.elementType.simpleString()
+    out_kind = f"array<struct<label:{each.schema['l'].dataType.elementType['id'].dataType.simpleString()},amount:{each.schema['a'].dataType.elementType['id'].dataType.simpleString()}>>"
+
+    def put(acc: Column, x: Column) -> Column:
+        pick = F.get(F.filter(acc["free"], lambda a: (a["at"] > x["at"]) & (a["at"] - x["at"] <= reach)), F.lit(0))
+        named = F.struct(pick.alias("p"), acc["free"].alias("free"), acc["out"].alias("out"))
+        taken = lambda n: F.when(
+            n["p"].isNotNull(),
+            F.struct(F.filter(n["free"], lambda a: a["id"] != n["p"]["id"]).alias("free"), F.concat(n["out"], F.array(F.struct(x["id"].alias("label"), n["p"]["id"].alias("amount")))).alias("out")),
+        ).otherwise(F.struct(n["free"], n["out"]))
+        return F.transform(F.array(named), taken)[0]
+
+    start = F.struct(F.col("a").cast(f"array<{kind}>").alias("free"), F.array().cast(out_kind).alias("out"))
+    found = each.where((F.size("l") > 0) & (F.size("a") > 0)).select(F.explode(F.aggregate("l", start, put)["out"]).alias("f"))
+    return found.select(F.col("f.label").alias(label), F.col("f.amount").alias(amount))

@@ -19,6 +19,15 @@ def gap_split(df: DataFrame, group: str, at: str, ratio: float = V.JUMP_RATIO, m
     return ranked.groupBy(group).agg(F.count("*").alias("n_gaps"), F.min(F.when(jump, F.col("gap"))).alias("threshold"))
 
 
+def jump(df: DataFrame, group: list[str], order: list[str], at: str, ratio: float = V.JUMP_RATIO, mass: float = V.JUMP_MASS) -> DataFrame:
+    """(group, threshold) as gap_split(), gaps of zero counted like any other: the first positive gap after them is a jump."""
+    w, s = Window.partitionBy(*group).orderBy(*order), Window.partitionBy(*group).orderBy("gap")
+    gaps = df.select(*group, (F.col(at) - F.lag(at).over(w)).cast("double").alias("gap")).where("gap is not null")
+    ranked = gaps.withColumns({"_p": F.lag("gap").over(s), "_k": F.row_number().over(s), "_n": F.count("*").over(Window.partitionBy(*group))})
+    jumps = F.col("_p").isNotNull() & (F.col("gap") >= ratio * F.greatest("_p", F.lit(1e-9))) & (F.col("_n") - F.col("_k") + 1 >= mass * F.col("_n"))
+    return ranked.groupBy(*group).agg(F.min(F.when(jumps, F.col("gap"))).alias("threshold"))
+
+
 def gap_segments(df: DataFrame, group: str, order: list[str], at: str, threshold: Column, depth: int) -> DataFrame:
     """``df`` with ``segment``: a new one after every gap of the threshold or more; where the threshold
     is null, runs of ``depth`` rows."""

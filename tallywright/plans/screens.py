@@ -38,7 +38,7 @@ def placed(boxes: DataFrame) -> DataFrame:
 
 
 def list_rows(boxes: DataFrame) -> DataFrame:
-    """(screen, name, qty, value, pnl, account) per label that has an unsigned amount near it."""
+    """(screen, row, name, qty, value, pnl, account) per label that has an unsigned amount near it, numbered from the top."""
     b = placed(boxes).withColumns({"amount": N.amount(F.col("text")), "qty": N.share_quantity(F.col("text"))})
     signed = F.regexp_replace("text", r"\s", "").rlike(r"^[+\-]")
     account = F.size(S.account_tokens(F.col("text"))) > 0
@@ -66,8 +66,10 @@ def list_rows(boxes: DataFrame) -> DataFrame:
     counted = asof.nearest_join(quantities, right, SCREEN, "cy", "label", float("inf")).where(F.col("distance") <= F.col("reach"))
     first = counted.groupBy(*SCREEN, "label").agg(F.min_by("qty", F.struct("distance", "box_id")).alias("qty"))
     out = rows.where(F.size("_free") > 0).join(first, [*SCREEN, "label"], "left")
+    number = F.row_number().over(Window.partitionBy(*SCREEN).orderBy(F.col("label.cy"), F.col("label.text"))) - 1
     return out.select(
         *SCREEN,
+        number.cast("long").alias("row"),
         F.col("label.text").alias("name"),
         "qty",
         F.col("_free")[0]["amount"].alias("value"),

@@ -93,3 +93,102 @@ def test_sequences_follow_the_mix(spark, tmp_path):
         assert r.offset == filled.get(r.sequence_id, 0)
         filled[r.sequence_id] = r.offset + r.length
     assert sorted(r.doc_id for r in rows) == sorted(source) and max(filled.values()) <= 2048
+
+
+#: Columns of a caller's that clash with what operators might call their own.
+CLASHING = ["_id", "_key", "_row", "_file", "_masked", "_place", "_tie", "_given", "_of", "_offset", "_metadata", "score", "place", "a.b"]
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def edge_rows():
+    """Nulls in any column, empty and very long texts, repeated rows and ids, a page of 20,000 addresses and a copy of it."""
+    page = " ".join(f"write to person{i}@mail{i % 97}.example.com for office {'abcdefgh'[i % 8]}room now" for i in range(20_000))
+    long = " ".join(f"word{i * 7919 % 6007}" for i in range(150_000))
+    rows = [
+        (1, None, None, None), (2, "", "en", "s"), (3, " \n ", "en", ""), (4, "one", None, "s"), (5, page, "en", "s"), (6, page + " tail", "en", "s"),
+        (7, long, "en", "t"), (8, "same text of a few words here", "en", "t"), (8, "same text of a few words here", "en", "t"),
+        (8, "another text under the same id as before", "en", "t"), (None, "mail to lost@mail.example.com please", "en", "t"), (None, None, None, None),
+        (9, "mail to lost@mail.example.com please", "en", None),
+    ]
+    return [(i, t, a, s, None if t is None else len(t)) for i, t, a, s in rows]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_edges(spark, tmp_path, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = edge_rows()
+    schema = DOCUMENTS + "".join(f", `{c}` string" for c in CLASHING)
+    spark.createDataFrame([(*r, *[f"{c} of {k}" for c in CLASHING]) for k, r in enumerate(rows)], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.schema(schema).parquet(f"{tmp_path}/documents.parquet")
+    out = stage(spark, docs, str(tmp_path))
+    if name == "packing":
+        ids = [r.doc_id for r in out.where("piece = 0").select("doc_id").collect()]
+        assert sorted(ids, key=str) == sorted((r[0] for r in rows), key=str)
+        return
+    assert out.columns == docs.columns
+    got = out.collect()
+    # Clashing columns come back as they were, each beside its own row.
+    known = {f"{CLASHING[0]} of {k}": (r[0], k) for k, r in enumerate(rows)}
+    for r in got:
+        doc, k = known[r["_id"]]
+        assert r.doc_id == doc and all(r[c] == f"{c} of {k}" for c in CLASHING)
+    kept = sorted(known[r["_id"]][1] for r in got)
+    if name == "near_duplicates":
+        assert kept == [k for k in range(len(rows)) if rows[k][0] != 6]  # the copy of the page goes
+    else:
+        assert kept == list(range(len(rows)))
+    if name == "privacy":
+        texts = {known[r["_id"]][1]: r for r in got}
+        assert texts[0].text is None and texts[1].text == "" and texts[6].text == rows[6][1]
+        assert "@" not in texts[4].text and texts[4].text.count("[EMAIL]") == 20_000
+        assert texts[4].n_chars == len(texts[4].text) and texts[10].text.count("[EMAIL]") == 1
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_of_an_empty_table(spark, tmp_path, name):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.schema(DOCUMENTS).parquet(f"{tmp_path}/documents.parquet")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path))
+    assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_classes_of_terms_against_all_pairs(spark):
+    """What classes tell about a document's own entities is what counting every entity and term tells."""
+    import math
+    from collections import defaultdict
+
+    rng = np.random.default_rng(8)
+    names = [f"p{i}@mail.example.com" for i in range(12)]
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)]
+    beside = {e: "".join(rng.choice(list("pqrstuvw"), 6)) for e in names}  # mostly mentioned with its name
+
+    def text():
+        mine = rng.choice(names, rng.integers(0, 3))
+        return " ".join([*rng.choice(words, 6), *mine, *[beside[e] for e in mine if rng.random() < 0.8], *rng.choice(words, 3)])
+
+    rows = [(i % 70, text()) for i in range(80)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.key, r.term): r.share for r in privacy.document_terms(privacy.spans_of(docs), docs).withColumn("key", privacy.F.col("text_key")).collect()}
+    keyed = [(i, t, {w for w in t.split() if "@" in w}, {w for x in t.replace("@", " ").replace(".", " ").split() for w in [x.strip("0123456789")] if len(w) >= 3 and x.isalpha()}) for i, t in rows]
+    n, df_t = len(rows), defaultdict(int)
+    for *_, ts in keyed:
+        for w in ts:
+            df_t[w] += 1
+    distinct = {(i, t): (es, ts) for i, t, es, ts in keyed}
+    df_e, co, support = defaultdict(int), defaultdict(int), defaultdict(set)
+    for (_, t), (es, ts) in distinct.items():
+        for e in es:
+            df_e[e] += 1
+            for w in ts:
+                co[e, w] += 1
+                support[e, w].add(t)
+    share = {k: math.log2(n * c / (max(df_t[k[1]], c) * df_e[k[0]])) / math.log2(n / df_e[k[0]]) for k, c in co.items() if len(support[k]) >= privacy.SUPPORT}
+    want = {}
+    for (i, t), (es, ts) in distinct.items():
+        told = {w: max((share[e, w] for e in es if (e, w) in share), default=0) for w in ts}
+        want |= {(i, t, w): s for w, s in told.items() if s >= privacy.GENERALISE}
+    assert len(got) == len(want) > 0
+    assert sorted((i, w, round(s, 9)) for (i, _, w), s in got.items()) == sorted((i, w, round(s, 9)) for (i, _, w), s in want.items())

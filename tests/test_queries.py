@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
-from tallywright.plans.queries import QUERIES, SQL
+from tallywright.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
