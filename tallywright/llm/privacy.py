@@ -208,19 +208,26 @@ def _windows(text: str) -> F.Column:
     return _named(held, lambda h: F.transform(spans, lambda x: any_kind(x, h)))
 
 
-def spans_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, text_key, the arrays of find(), windows), stored; no texts."""
-    base = F.concat(*KINDS)
-    return stored(
-        find(docs.select("doc_id", F.col(text).alias("text")))
-        .withColumn("_base", base)
-        .select("doc_id", _key("text").alias("text_key"), *KINDS, F.when(F.size("_base") > 0, _windows("text")).alias("windows")),
-        "spans",
-    )
+def _words(text: str) -> F.Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))
+
+
+def spans_of(docs: DataFrame, text: str = "text", words: bool = False) -> DataFrame:
+    """(doc_id, text_key, the arrays of find(), windows), stored; no texts. ``words`` adds the terms of texts with mentions."""
+    has = F.size(F.concat(*KINDS)) > 0
+    more = [F.when(has, _words("text")).alias("words")] if words else []
+    rows = find(docs.select("doc_id", F.col(text).alias("text")))
+    return stored(rows.select("doc_id", _key("text").alias("text_key"), *KINDS, F.when(has, _windows("text")).alias("windows"), *more), "spans")
+
+
+def frequency_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df_t): in how many rows a term stands."""
+    return docs.select(F.explode(_words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(entity, term, share): terms that disclose an entity, by counts over all documents."""
+def disclosures(found: DataFrame, frequency: DataFrame) -> DataFrame:
+    """(entity, term, share): terms that disclose an entity, by counts over all documents (see frequency_of)."""
     mentions = found.where(F.col("windows").isNotNull()).select("doc_id", "text_key", F.explode("windows").alias("w"))
     mentions = mentions.select("doc_id", "text_key", "w.entity", "w.context", "w.terms")
     row = F.struct("doc_id", "text_key")
@@ -231,8 +238,6 @@ def disclosures(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFr
         .agg(F.countDistinct(row).alias("co"), F.countDistinct("context").alias("support"))
         .where(F.col("support") >= SUPPORT)
     )
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
-    frequency = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     n = found.count()
     known = F.log2(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("co") / (F.greatest("df_t", "co") * F.col("df_e")))
@@ -265,13 +270,13 @@ def term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
 def marked(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_key, the arrays per kind, terms) of every row."""
     found = spans_of(docs, text)
-    terms = term_spans(found, disclosures(found, docs, text)).withColumnsRenamed({"doc_id": "_id", "text_key": "_row"})
+    terms = term_spans(found, disclosures(found, frequency_of(docs, text))).withColumnsRenamed({"doc_id": "_id", "text_key": "_row"})
     # Null ids meet too; only rows with mentions have terms.
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
     return found.join(terms, same, "left").select("doc_id", "text_key", *KINDS, "terms")
 
 
-def document_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def document_terms(found: DataFrame, frequency: DataFrame) -> DataFrame:
     """(doc_id, text_key, term, share): what a document's own entities disclose by terms anywhere in it, for rows with mentions.
 
     The context is the whole text, so a term needs SUPPORT different texts. Entities that the same rows
@@ -287,14 +292,12 @@ def document_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> Dat
     entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.countDistinct("text_key").alias("texts"), *same_rows).where(F.col("texts") >= SUPPORT)
     entities = entities.select("entity", "df_e", F.xxhash64("a", "b", "df_e").alias("class"))
     of_row = stored(mentions.join(entities, "entity").select(*row, "class", "df_e").distinct(), "entity-classes")
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0))
-    wide = docs.select("doc_id", _key(text).alias("text_key"), F.array_distinct(words).alias("words")).dropDuplicates(row)
+    wide = found.where(F.col("words").isNotNull()).select(*row, "words")
     chosen = of_row.select(row).distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_row"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
-    held = stored(wide.join(chosen, same, "left_semi").select(*row, F.explode("words").alias("term")), "words")
+    held = stored(wide.join(chosen, same, "left_semi").dropDuplicates(row).select(*row, F.explode("words").alias("term")), "words")
     # A term in fewer texts than SUPPORT discloses nothing.
     terms = held.groupBy("term").agg(F.count("*").alias("rows"), F.countDistinct("text_key").alias("texts"), *same_rows).where(F.col("texts") >= SUPPORT)
-    frequency = docs.select(F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     terms = terms.join(frequency, "term").select("term", "df_t", F.xxhash64("a", "b", "rows", "df_t").alias("term_class"))
     held = stored(held.join(terms, "term"), "term-classes")
     classes = held.select(*row, "term_class", "df_t").distinct()
@@ -372,11 +375,11 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     row = ["doc_id", "text_key"]
     read = docs.select("doc_id", F.col(text).alias("text"))
-    found = spans_of(read)
+    found, frequency = spans_of(read, words=True), stored(frequency_of(read), "frequency")
     beside = found.where(F.col("windows").isNotNull()).select(*row, F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity"))
-    beside = beside.join(disclosures(found, read), "entity").select(*row, "term", "share")
+    beside = beside.join(disclosures(found, frequency), "entity").select(*row, "term", "share")
     i, r, given, puts, cuts, masked = (private(x) for x in ("id", "row", "given", "puts", "cuts", "masked"))
-    terms = beside.unionByName(document_terms(found, read)).groupBy(*row, "term").agg(F.max("share").alias("share"))
+    terms = beside.unionByName(document_terms(found, frequency)).groupBy(*row, "term").agg(F.max("share").alias("share"))
     terms = terms.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_row")).agg(F.collect_list(F.struct("term", "share")).alias(given))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
     # Only rows with mentions have terms.

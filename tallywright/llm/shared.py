@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,6 +53,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that stored() has written in a chain of steps, by thread.
+_CHAINS: dict[int, list[str]] = {}
+
+
+def begin_chain() -> None:
+    """From now on this thread remembers what it stores, for forget()."""
+    _CHAINS[threading.get_ident()] = []
+
+
+def end_chain() -> None:
+    """What this thread has stored stays."""
+    _CHAINS.pop(threading.get_ident(), None)
+
+
+def forget(keep: DataFrame) -> None:
+    """In a chain, delete what has been stored since its beginning, but for the tables that ``keep`` reads.
+
+    A step calls this when the step before it has been written: what that one had stored is no longer needed.
+    Outside of a chain nothing is deleted.
+    """
+    spark, files, left = keep.sparkSession, keep.inputFiles(), []
+    for path in _CHAINS.get(threading.get_ident(), []):
+        if any(path.split("://")[-1].lstrip("/") in f for f in files):
+            left.append(path)
+        else:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    if threading.get_ident() in _CHAINS:
+        _CHAINS[threading.get_ident()] = left
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -60,6 +92,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if threading.get_ident() in _CHAINS:
+        _CHAINS[threading.get_ident()].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

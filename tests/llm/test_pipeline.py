@@ -171,7 +171,7 @@ def test_classes_of_terms_against_all_pairs(spark):
     rows = [(i % 70, text()) for i in range(80)]
     rows += rows[:5]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.key, r.term): r.share for r in privacy.document_terms(privacy.spans_of(docs), docs).withColumn("key", privacy.F.col("text_key")).collect()}
+    got = {(r.doc_id, r.key, r.term): r.share for r in privacy.document_terms(privacy.spans_of(docs, words=True), privacy.frequency_of(docs)).withColumn("key", privacy.F.col("text_key")).collect()}
     keyed = [(i, t, {w for w in t.split() if "@" in w}, {w for x in t.replace("@", " ").replace(".", " ").split() for w in [x.strip("0123456789")] if len(w) >= 3 and x.isalpha()}) for i, t in rows]
     n, df_t = len(rows), defaultdict(int)
     for *_, ts in keyed:
