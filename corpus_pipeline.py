@@ -1,7 +1,8 @@
 """A corpus from raw documents to packed sequences, stage by stage.
 
 Each stage reads what the one before it has written as Parquet into the shared folder. All but the
-last return the columns of ``documents``. SQL expresses neither the classifier nor the packing, so
+last return the columns of ``documents``. From the first to the last stage of a chain, each stage first deletes what
+the stages before it had stored on their way, because they have been written by then. SQL expresses neither the classifier nor the packing, so
 the pipeline is tested against brute-force versions of its stages.
 """
 
@@ -14,7 +15,7 @@ from tallywright.llm.jaccard import jaccard_join
 from tallywright.llm.mixing import in_mixed_order
 from tallywright.llm.packing import in_file_order, pack_in_order, tokenizer_path
 from tallywright.llm.privacy import sanitised
-from tallywright.llm.shared import stored
+from tallywright.llm.shared import begin_chain, columns_of, end_chain, forget, private, stored
 from tallywright.llm.toxicity import THRESHOLD, score, toxic_labels, train
 
 #: Words of a shingle and similarity (per cent) of near copies.
@@ -26,8 +27,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has the model's prior and stays. A caller's own ``score`` column is kept as it is.
     """
+    begin_chain()
     model = train(docs, toxic_labels(spark, sf_dir))
-    return score(docs, model, column="_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    column = private("toxicity")
+    return score(docs, model, column=column).where(F.col(column) < THRESHOLD).drop(column)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,19 +39,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that share an id are one document: they go or stay together, repeated ones as one row. Rows without an
     id, and texts without words, are linked with nothing and stay.
     """
+    forget(docs)
     found = jaccard_join(docs, SHINGLE, SHARE)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull())
-    return known.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates().unionByName(docs.where(F.col("doc_id").isNull()))
+    return known.join(gone, "doc_id", "left_anti").select(columns_of(docs)).dropDuplicates().unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and disclosing terms replaced; null and empty texts stay as they are."""
+    forget(docs)
     return sanitised(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix; a null source is a source of its own, repeated rows stay."""
+    forget(docs)
     return in_mixed_order(docs)
 
 
@@ -57,7 +63,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one piece with the closing id alone; an empty table gives no pieces.
     """
-    return pack_in_order(in_file_order(docs, "place"), tokenizer_path(), "place")
+    forget(docs)
+    out = pack_in_order(in_file_order(docs, "place"), tokenizer_path(), "place")
+    end_chain()
+    return out
 
 
 STAGES = [
