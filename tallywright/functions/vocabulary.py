@@ -6,6 +6,7 @@ ACCOUNT_TYPES = (("IRP", "IRP"), ("ISA", "ISA"), ("연금저축", "연금저축"
 DEFAULT_ACCOUNT_TYPE = "일반"
 ACCOUNT_NICKNAMES = ("연금저축", "IRP", "ISA", "퇴직연금", "CMA", "중개형", "종합저축")
 DEPOSIT_ECHOES = ("현금", "수표", "청약증거금", "접기", "접기›", "출금가능금액", "대용금")
+CASH_ACCOUNT_WORDS = ("CMA", "현금", "예수금")
 CASH_WORDS = ("예수금", "예금", "현금", "CMA")
 ASSET_CLASSES = (
     (("나스닥", "S&P", "성장", "테크", "AI", "반도체", "휴머노이드", "소프트웨어"), "성장주"),
@@ -45,7 +46,7 @@ ROW_FIELDS = ("broker", "accountType", "name", "assetClass", "currency", "qty",
 LINE_TOLERANCE, BAND_MERGE = 0.6, 1.7
 JUMP_RATIO, JUMP_MASS = 1.8, 0.25
 PHRASE_OVERLAP, PHRASE_RATIO = -0.2, 1.0
-TOTAL_ROW, DEPOSIT_ANCHOR, OWNER_BAND, CROSS_CHECK, SAME_VALUE = 0.02, 0.01, 0.02, 0.02, 0.005
+TOTAL_ROW, DEPOSIT_ANCHOR, OWNER_BAND, CROSS_CHECK, SAME_VALUE, REFUTED = 0.02, 0.01, 0.02, 0.02, 0.005, 0.10
 SLIP_BROKEN, SLIP_FIXED, SLIP_FACTORS = 0.01, 0.001, (0.1, 0.01, 10.0, 100.0)
 QTY_BLANK, QTY_SURE, QTY_GROSS, SYMBOL_GATE = 1 / 3, 0.10, 0.35, 0.10
 IDENTITY, DISPLAY, FOREIGN_CASH = 0.001, 0.02, 0.02

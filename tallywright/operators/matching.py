@@ -169,3 +169,35 @@ def leftover_assigned(labels: DataFrame, amounts: DataFrame, keys: list[str], at
     start = F.struct(F.col("a").cast(f"array<{kind}>").alias("free"), F.array().cast(out_kind).alias("out"))
     found = each.where((F.size("l") > 0) & (F.size("a") > 0)).select(F.explode(F.aggregate("l", start, put)["out"]).alias("f"))
     return found.select(F.col("f.label").alias(label), F.col("f.amount").alias(amount))
+
+
+def consensus_filled(df: DataFrame, group: list[str], value: str, source: str, sure: Column, brand: Column, weak: str) -> DataFrame:
+    """``df`` with ``value`` filled in groups that agree on one: where it is missing, or only came from ``weak``.
+
+    The one value of a group's sure rows counts; where the group has no sure row, the one value of its brand rows. Groups
+    that know several values, and rows without a group, stay as they are. What is filled has ``weak`` as its source.
+    """
+    distinct = lambda flag: F.collect_set(F.when(flag, F.col(value)))
+    known = df.where(F.col(group[-1]).isNotNull()).groupBy(*group).agg(distinct(sure).alias("_sure"), distinct(brand).alias("_brand"))
+    one = F.when(F.size("_sure") == 1, F.get("_sure", F.lit(0))).when((F.size("_sure") == 0) & (F.size("_brand") == 1), F.get("_brand", F.lit(0)))
+    agreed = known.select(*group, one.alias("_agreed")).where("_agreed is not null")
+    open_to = F.col("_agreed").isNotNull() & (F.col(value).isNull() | F.coalesce(F.col(source) == weak, F.lit(False)))
+    joined = df.join(agreed, group, "left").withColumn("_open", open_to)
+    return joined.withColumns({value: F.when(F.col("_open"), F.col("_agreed")).otherwise(F.col(value)), source: F.when(F.col("_open"), F.lit(weak)).otherwise(F.col(source))}).drop("_agreed", "_open")
+
+
+def refereed(rows: DataFrame, other: DataFrame, totals: DataFrame, group: list[str], name: str, value: str, fields: list[str], domestic: Column) -> DataFrame:
+    """``rows`` whose figures an independent total refutes take them from ``other``, which the same total confirms.
+
+    In a group whose ``other`` rows sum to the total within CROSS_CHECK while the rows' own sum is off by more than
+    REFUTED (or zero), every row whose name occurs once among the others takes all ``fields`` from there, nulls too.
+    Groups with a row that is not ``domestic``, and rows without such a namesake, stay as they are.
+    """
+    mine = rows.groupBy(*group).agg(F.sum(value).alias("_mine"), F.bool_and(F.coalesce(domestic, F.lit(True))).alias("_domestic"))
+    theirs = other.groupBy(*group).agg(F.sum(value).alias("_theirs"))
+    off = lambda c: F.abs(F.coalesce(F.col(c), F.lit(0.0)) - F.col("total")) / F.col("total")
+    refuted = (F.coalesce("_mine", F.lit(0.0)) == 0) | (off("_mine") > V.REFUTED)
+    flagged = totals.where(F.col("total") != 0).join(theirs, group).join(mine, group).where((off("_theirs") <= V.CROSS_CHECK) & refuted & F.col("_domestic")).select(group)
+    unique = other.groupBy(*group, name).agg(F.count("*").alias("_n"), *[F.first(f).alias(f"_{f}") for f in fields]).where("_n = 1").drop("_n").join(flagged, group)
+    joined = rows.join(unique.withColumn("_hit", F.lit(True)), [*group, name], "left")
+    return joined.withColumns({f: F.when(F.col("_hit"), F.col(f"_{f}")).otherwise(F.col(f)) for f in fields}).select(rows.columns)

@@ -31,10 +31,26 @@ def _whole(json: Column) -> Column:
     return F.from_json(json, f"array<{_STRINGS}>")
 
 
+#: Levels of braces that salvage takes as one object.
+DEPTH = 6
+
+
+def balanced(depth: int = DEPTH) -> str:
+    """Pattern of an object whose braces pair up, up to ``depth`` levels; braces inside strings do not count.
+
+    Repeats are possessive, so a text that never pairs up is given up at once.
+    """
+    text = r'"(?:[^"\\]|\\.)*+"'
+    inner = ""
+    for _ in range(depth):
+        inner = r"\{(?:[^{}\"]|" + text + (f"|{inner}" if inner else "") + r")*+\}"
+    return inner
+
+
 def objects(raw: Column) -> Column:
-    """Array of the objects in ``raw`` as maps of strings; one bad object does not lose the others."""
+    """Array of the objects in ``raw`` as maps of strings, nested values as their JSON; one bad object does not lose the others."""
     clean = repaired(fragment(raw))
-    pieces = F.regexp_extract_all(clean, F.lit(r"\{[^{}]*\}"), F.lit(0))
+    pieces = F.regexp_extract_all(clean, F.lit(balanced()), F.lit(0))
     salvaged = F.filter(F.transform(pieces, lambda p: F.from_json(p, _STRINGS)), lambda m: m.isNotNull() & (F.size(m) > 0))
     good = lambda rows: F.when(F.size(rows) > 0, F.when(F.forall(rows, lambda m: m.isNotNull()), rows))
     return F.coalesce(good(_whole(fragment(raw))), good(_whole(clean)), salvaged, F.array().cast(f"array<{_STRINGS}>"))

@@ -20,7 +20,7 @@ SECOND = [{"name": "Gamma", "value": 500}]
 def run(spark, *raws):
     out = reconcile.reconcile(batch(spark, *raws))
     holdings = {r.name: r.value for r in out.holdings.collect()}
-    return holdings, {(r.code, r.file) for r in out.warnings.collect() if r.code != "UNKNOWN_BROKER"}, out
+    return holdings, {(r.code, r.file) for r in out.warnings.collect() if r.code not in ("UNKNOWN_BROKER", "NONCANONICAL_BROKER")}, out
 
 
 def test_clean_batch_is_silent(spark):
@@ -48,6 +48,46 @@ def test_captures_of_one_holding_merge(spark):
     assert (alpha.qty, alpha.cost, alpha.captures) == (2.0, 80.0, 2)
 
 
+def test_own_total_is_checked(spark):
+    """A screen's own total is held against its rows, and spares the warning that no other total is near."""
+    right = [{"name": "__screen_total__", "value": 300}, *FIRST]
+    wrong = [{"name": "__screen_total__", "value": 400}, *FIRST]
+    assert run(spark, right)[:2] == ({"Alpha": 100.0, "Beta": 200.0}, set())
+    assert run(spark, wrong)[1] == {("SCREEN_TOTAL_MISMATCH", "0.png")}
+
+
+def test_weak_key_keeps_both_values(spark):
+    """The same broker, type and name with another value may be another account."""
+    _, warnings, out = run(spark, FIRST, [{"name": "Alpha", "value": 150}])
+    assert sorted(r.value for r in out.holdings.where("name = 'Alpha'").collect()) == [100.0, 150.0]
+    assert ("DUPLICATE_SUSPECT", "Alpha") in warnings
+
+
+def test_strong_key_keeps_the_confirmed_value(spark):
+    """One account number: one row, with the value of the screen whose own total fits, and the other's quantity."""
+    named = lambda value, **more: {"broker": "1234-5678-01 Sky증권", "name": "Alpha", "value": value, **more}
+    _, warnings, out = run(spark, [named(100, qty=2)], [{"name": "__screen_total__", "value": 150}, named(150)])
+    row = out.holdings.first()
+    assert out.holdings.count() == 1 and (row.value, row.qty, row.conflict, row.captures) == (150.0, 2.0, True, 2)
+    assert ("VALUE_CONFLICT", "Alpha") in warnings
+
+
+def test_cash_account_becomes_a_holding(spark):
+    accounts = [{"name": "1111-2222-33 ISA [Sky CMA]", "value": 700}, {"name": "4444-5555-66 IRP [Plain]", "value": 300}]
+    holdings, warnings, _ = run(spark, accounts, [{"name": "Alpha", "value": 300, "accountType": "IRP"}])
+    assert holdings == {"Alpha": 300.0, "현금(Sky CMA)": 700.0} and not any(c == "UNMATCHED_TOTAL" for c, _ in warnings)
+
+
+def test_app_spreads_the_one_broker_it_is_known_by(spark):
+    _, _, out = run(spark, [{"name": "Alpha", "value": 100, "broker": "Sky증권"}], [{"name": "Beta", "value": 200}])
+    assert {r.name: (r.broker, r.broker_src) for r in out.holdings.collect()} == {"Alpha": ("Sky증권", "screen"), "Beta": ("Sky증권", "filename")}
+
+
+def test_deposit_echoes_fold_onto_the_total(spark):
+    screen = [{"name": "예수금", "value": 488}, {"name": "추정예수금(D+2)", "value": 442}, {"name": "현금", "value": 402}]
+    assert run(spark, [{"name": "원화예수금", "value": 442}, {"name": "국내주식", "value": 300}], screen, FIRST)[0] == {"추정예수금(D+2)": 442.0, "Alpha": 100.0, "Beta": 200.0}
+
+
 def box_rows():
     rows, k = [], 0
     for i, (name, qty, value, pnl) in enumerate([("Alpha Fund", "3주", "1,200원", "+200(20.0%)"), ("Beta Fund", "1.5주", "900", "-100(10.0%)"), ("Gamma", None, "500", None)]):
