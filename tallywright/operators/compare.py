@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,12 @@ def paired(golden: DataFrame, got: DataFrame, batch: str, rounds: list[tuple[lis
     kind = golden.schema[batch].dataType.simpleString()
     out = golden.groupBy(batch).cogroup(got.groupBy(batch)).applyInPandas(match, f"batch {kind}, golden_pos long, got_pos long")
     return out.withColumnRenamed("batch", batch)
+
+
+def invariants(df: DataFrame, rules: dict[str, Column], key: str) -> DataFrame:
+    """(rule, checked, broken, first): every rule over all rows in one pass, with the smallest key that breaks it.
+
+    A rule that is null for a row does not speak of it.
+    """
+    told = [F.struct(F.lit(n).alias("rule"), F.count(c).alias("checked"), F.count_if(~c).alias("broken"), F.min(F.when(~c, F.col(key))).alias("first")).alias(n) for n, c in rules.items()]
+    return df.agg(*told).select(F.inline(F.array(*rules)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywright.functions import numbers as N
-from tallywright.operators import matching, merge
-from tallywright.plans.queries import query
+from tallywright.operators import compare, matching, merge
+from tallywright.plans.queries import _run, _stream, query, scratch_folder
 from tallywright.plans.reconcile import uncovered_cash as cash_of
 from tallywright.sources import records
 from tallywright.sources.tables import table
+from tallywright.streaming import jobs
 
 
 @query("""
@@ -120,3 +121,54 @@ def nested_salvage(spark, sf):
     found = table(spark, sf, "events").select("event_id", F.when(value != "", rows).otherwise(F.array().cast("array<map<string,string>>")).alias("r"))
     own = F.get(F.filter("r", lambda o: F.startswith(F.try_element_at(o, F.lit("name")), F.lit("part "))), F.lit(0))
     return found.select("event_id", F.size("r").cast("long").alias("n"), N.parse_number(own["qty"]).alias("qty"), own["name"].alias("name"))
+
+
+@query("""
+SELECT 'charged' AS rule, count(*) AS checked, count(*) FILTER (NOT (l_extendedprice > 0)) AS broken, min(l_orderkey) FILTER (NOT (l_extendedprice > 0)) AS first FROM lineitem
+UNION ALL SELECT 'discount below tax', count(*), count(*) FILTER (NOT (l_discount <= l_tax)), min(l_orderkey) FILTER (NOT (l_discount <= l_tax)) FROM lineitem
+UNION ALL SELECT 'whole quantity', count(*), count(*) FILTER (NOT (l_quantity = floor(l_quantity))), min(l_orderkey) FILTER (NOT (l_quantity = floor(l_quantity))) FROM lineitem
+UNION ALL SELECT 'returned lines are dear', count(*) FILTER (l_returnflag = 'R'), count(*) FILTER (l_returnflag = 'R' AND NOT l_extendedprice > 1000),
+  min(l_orderkey) FILTER (l_returnflag = 'R' AND NOT l_extendedprice > 1000) FROM lineitem
+""")
+def invariants(spark, sf):
+    """What must hold of every line, and how often it does not."""
+    rules = {
+        "charged": F.col("l_extendedprice") > 0,
+        "discount below tax": F.col("l_discount") <= F.col("l_tax"),
+        "whole quantity": F.col("l_quantity") == F.floor("l_quantity"),
+        "returned lines are dear": F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") > 1000),
+    }
+    return compare.invariants(table(spark, sf, "lineitem"), rules, "l_orderkey")
+
+
+@query("""
+SELECT o_orderkey, round(o_totalprice, 2) AS before, round(CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 10 ELSE o_totalprice END, 2) AS after FROM orders
+UNION ALL SELECT -o_orderkey - 1, NULL, round(o_totalprice, 2) FROM orders WHERE o_orderkey % 11 = 0
+""")
+def stream_correction(spark, sf):
+    """Orders as of two versions: as they came, and after a batch of corrections, stale repeats and new orders."""
+    folder = scratch_folder(spark, "corrections")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    feed = lambda df: df.write.mode("append").parquet(f"{folder}/in")
+    run = lambda: jobs.corrected(spark.readStream.schema("o_orderkey long, price double, at long").parquet(f"{folder}/in"), ["o_orderkey"], "at", f"{folder}/table")
+    feed(orders.select("o_orderkey", "price", F.lit(10).cast("long").alias("at")))
+    run()
+    late = orders.where("o_orderkey % 7 = 0").select("o_orderkey", (F.col("price") + 10).alias("price"), F.lit(20).cast("long").alias("at"))
+    stale = orders.where("o_orderkey % 5 = 0").select("o_orderkey", (F.col("price") - 99).alias("price"), F.lit(5).cast("long").alias("at"))
+    new = orders.where("o_orderkey % 11 = 0").select((-F.col("o_orderkey") - 1).alias("o_orderkey"), "price", F.lit(20).cast("long").alias("at"))
+    feed(late.unionByName(stale).unionByName(new))
+    run()
+    before, after = (jobs.version(spark, f"{folder}/table", n).select("o_orderkey", F.round("price", 2).alias(name)) for n, name in ((0, "before"), (1, "after")))
+    return after.join(before, "o_orderkey", "left").select("o_orderkey", "before", "after")
+
+
+@query("""
+WITH g AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) > 1800 * 1000000::BIGINT AS late FROM events),
+s AS (SELECT user_id, t, count(*) FILTER (late) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g),
+l AS (SELECT user_id, max(s) AS expired FROM s GROUP BY user_id)
+SELECT s.user_id, min(t) AS started, max(t) AS last, count(*) AS n, expired FROM s JOIN l ON l.user_id = s.user_id AND s.s = expired GROUP BY s.user_id, expired
+""")
+def stream_ttl(spark, sf):
+    """Every user's running job, whose state is gone half an hour after its last event, over a stream."""
+    rows = _run(spark, jobs.expiring(_stream(spark, sf, "events"), "user_id", "ts", 1800), "ttl", "update")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("started", "last", "n", "expired"), F.struct("expired", "n", "last")).alias("r")).select("user_id", "r.*")

@@ -858,16 +858,19 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
 
 
-def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the session names for checkpoints; a local session without one gets a temporary folder."""
+    import tempfile
     import uuid
 
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='tallywright-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
 
-        folder = tempfile.mkdtemp(prefix="tallywright-")
-    key = uuid.uuid4().hex
-    return jobs.run_to_table(stream, mode, f"{folder.rstrip('/')}/{name}-{key}")
+def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+    return jobs.run_to_table(stream, mode, scratch_folder(spark, name))
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS done FROM events GROUP BY user_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOX = "struct<text:string,x:int,y:int,w:int,h:int,conf:double>"
@@ -110,3 +110,16 @@ def publish(df: DataFrame, path: str) -> bool:
     if had:
         files.delete(at(old), True)
     return True
+
+
+def result_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch_id, file, screen_no, raw, image): the JSON files below ``folder``, one result each, in the order of their names.
+
+    A file's folder is its batch. ``file`` is the whole path, so evidence that is kept by name cannot be taken for that
+    of a file of the same name elsewhere. Files that are no JSON have a null ``raw``.
+    """
+    read = spark.read.schema("image string, raw string").json(folder, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    path = F.col("_metadata.file_path")
+    rows = read.select(F.regexp_replace(path, "/[^/]*$", "").alias("batch_id"), path.alias("file"), "image", "raw")
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("file")) - 1
+    return rows.withColumn("screen_no", place).select("batch_id", "file", "screen_no", "raw", "image")

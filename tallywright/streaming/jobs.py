@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def progress(events: DataFrame, key: str, done: Column) -> DataFrame:
@@ -44,3 +48,59 @@ def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     query.awaitTermination()
     spark = stream.sparkSession
     return spark.read.schema(stream.schema).parquet(*(seen[-1:] if mode == "complete" else seen)) if seen else spark.createDataFrame([], stream.schema)
+
+
+def version_path(folder: str, number: int) -> str:
+    return f"{folder}/version-{number:09d}"
+
+
+def corrected(stream: DataFrame, keys: list[str], order: str, folder: str) -> None:
+    """Run a stream over what there is now, each batch making a new version of a table below ``folder``.
+
+    A version is the one before with the rows of the batch in it: of a key the row with the largest ``order``, so late
+    corrections count and stale ones do not. Earlier versions stay readable. A batch that is tried again overwrites its own version, made
+    from the one before, so a replay changes nothing.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = batch if number == 0 else batch.unionByName(version(batch.sparkSession, folder, number - 1))
+        others = [c for c in rows.columns if c not in keys]
+        newest = F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("_r")
+        rows.groupBy(*keys).agg(newest).select(*keys, "_r.*").write.mode("overwrite").parquet(version_path(folder, number))
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def version(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """The table as of a version."""
+    return spark.read.parquet(version_path(folder, number))
+
+
+def expiring(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
+    """(key, started, last, n, expired) after every batch: a key's state lives ``seconds`` after its last event.
+
+    An event that comes later finds the state gone and starts anew; ``expired`` counts how often. State is one row per
+    key, kept by Spark between batches; where no event comes for a key, its timer drops the state once the watermark
+    has passed. Events of a batch are taken in the order of ``ts``, a slice of a key at a time.
+    """
+    kind = dict(events.dtypes)[key]
+
+    def update(now: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        started, last, n, expired = state.get if state.exists else (None, None, 0, 0)
+        moments = sorted(t for part in parts for t in part["_at"].tolist())
+        for t in moments:
+            if last is not None and t - last > seconds * 1_000_000:
+                started, n, expired = None, 0, expired + 1
+            started, last, n = t if started is None else started, t if last is None else max(last, t), n + 1
+        state.update((started, last, n, expired))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [now[0]], "started": [started], "last": [last], "n": [n], "expired": [expired]})
+
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.select(key, F.col(ts).cast("timestamp").alias("_ts"), moment.alias("_at")).withWatermark("_ts", f"{seconds} seconds")
+    schema = f"{key} {kind}, started long, last long, n long, expired long"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "started long, last long, n long, expired long", "update", GroupStateTimeout.EventTimeTimeout)
