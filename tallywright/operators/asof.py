@@ -6,6 +6,9 @@ A key whose rows are too many for a task needs a finer key (for series: key and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +35,16 @@ def daily_closes(bars: DataFrame, keys: list[str], ts: str, value: str) -> DataF
 
 
 def asof_session(left: DataFrame, bars: DataFrame, keys: list[str], ts: str, value: str, close_hour: Column | float) -> DataFrame:
-    """The close of the last finished session at ``ts``."""
+    """The close of the last finished session at ``ts``.
+
+    The as-of step goes over the calendar, one row for each key and day that occurs; rows meet it by an equi-join, so a
+    key with a large share of all rows is no single task.
+    """
     dated = left.withColumn("day", session_date(F.col(ts), close_hour))
-    return asof_join(dated, daily_closes(bars, keys, ts, value), keys, "day", [value])
+    calendar = asof_join(dated.select(*keys, "day").distinct(), daily_closes(bars, keys, ts, value), keys, "day", [value])
+    calendar = calendar.select(F.col(value), *[F.col(c).alias(f"_{c}") for c in (*keys, "day")])
+    same = [dated[c].eqNullSafe(calendar[f"_{c}"]) for c in (*keys, "day")]
+    return dated.join(calendar, reduce(and_, same), "left").drop(*[f"_{c}" for c in (*keys, "day")])
 
 
 def asof_ladder(left: DataFrame, bars: DataFrame, keys: list[str], ts: str, value: str, open_hour: float, close_hour: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,27 +49,38 @@ def balanced(depth: int = DEPTH) -> str:
     return inner
 
 
-def objects(raw: Column) -> Column:
-    """Array of the objects in ``raw`` as maps of strings, nested values as their JSON; one bad object does not lose the others."""
-    clean = repaired(fragment(raw))
+def _named(value: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of ``value``, which is worked out once a row and not wherever it is used."""
+    return F.transform(F.array(value), made)[0]
+
+
+def _objects(found: Column, clean: Column) -> Column:
     pieces = F.regexp_extract_all(clean, F.lit(balanced()), F.lit(0))
     salvaged = F.filter(F.transform(pieces, lambda p: F.from_json(p, _STRINGS)), lambda m: m.isNotNull() & (F.size(m) > 0))
-    good = lambda rows: F.when(F.size(rows) > 0, F.when(F.forall(rows, lambda m: m.isNotNull()), rows))
-    return F.coalesce(good(_whole(fragment(raw))), good(_whole(clean)), salvaged, F.array().cast(f"array<{_STRINGS}>"))
+    good = lambda rows: _named(rows, lambda r: F.when(F.size(r) > 0, F.when(F.forall(r, lambda m: m.isNotNull()), r)))
+    return F.coalesce(good(_whole(found)), good(_whole(clean)), salvaged, F.array().cast(f"array<{_STRINGS}>"))
 
 
-def positional(raw: Column, fields: tuple[str, ...] = ROW_FIELDS) -> Column:
-    """Array of maps for innermost arrays of the right length; others go."""
-    clean = repaired(fragment(raw))
+def _positional(clean: Column, fields: tuple[str, ...]) -> Column:
     pieces = F.regexp_extract_all(clean, F.lit(r"\[[^\[\]]*\]"), F.lit(0))
     rows = F.filter(F.transform(pieces, lambda p: F.from_json(p, "array<string>")), lambda r: F.size(r) == len(fields))
     made = F.transform(rows, lambda r: F.map_from_arrays(F.array(*map(F.lit, fields)), r))
     return F.coalesce(made, F.array().cast(f"array<{_STRINGS}>"))
 
 
+def objects(raw: Column) -> Column:
+    """Array of the objects in ``raw`` as maps of strings, nested values as their JSON; one bad object does not lose the others."""
+    return _named(fragment(raw), lambda f: _named(repaired(f), lambda c: _objects(f, c)))
+
+
+def positional(raw: Column, fields: tuple[str, ...] = ROW_FIELDS) -> Column:
+    """Array of maps for innermost arrays of the right length; others go."""
+    return _named(repaired(fragment(raw)), lambda c: _positional(c, fields))
+
+
 def rows(raw: Column) -> Column:
     """All records of ``raw``: objects first, then positional rows, numbers parsed."""
-    both = F.concat(objects(raw), positional(raw))
+    both = _named(fragment(raw), lambda f: _named(repaired(f), lambda c: F.concat(_objects(f, c), _positional(c, ROW_FIELDS))))
 
     def typed(m: Column) -> Column:
         value = lambda f: F.try_element_at(m, F.lit(f))
