@@ -15,7 +15,7 @@ from dataclasses import dataclass
 #: The GNU licences: short name, full name, versions from the newest, and what else names one without a version.
 GNU = [
     ("gpl", "general public licen[sc]e", ["3.0", "2.0", "1.0"], ["0.8 | gnu general public licen[sc]e(?: gpl)?", "0.7 | gpl compatible"]),
-    ("lgpl", "(?:lesser|library) general public licen[sc]e", ["3.0", "2.1", "2.0"], ["0.8 | (?:gnu )?(?:lesser|library) general public licen[sc]e"]),
+    ("lgpl", "lesser general public licen[sc]e", ["3.0", "2.1", "2.0"], ["0.8 | (?:gnu )?lesser general public licen[sc]e"]),
     ("agpl", "affero general public licen[sc]e", ["3.0", "1.0"], ["0.8 | (?:gnu )?affero general public licen[sc]e"]),
     ("gfdl", "free documentation licen[sc]e", ["1.3", "1.2", "1.1"], ["0.8 | (?:gnu )?free documentation licen[sc]e", "0.8 | gnu fdl(?: licen[sc]e)?"]),
 ]
@@ -46,6 +46,13 @@ def gnu_table() -> str:
 
 
 TABLE = r"""
+# lgpl
+lgpl-2.0-or-later | 1.0 | gnu library general public licen[sc]e(?: as published by the free software foundation)?(?: either)? version 2(?: 0)?(?: of the licen[sc]e)? or at your option any later version
+lgpl-2.0-or-later | 0.95 | (?:gnu )?library general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?2(?: 0)? or(?: at your option)?(?: any)? later(?: version)?
+lgpl-2.0-or-later | 0.95 | (?:gnu )?library general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?2(?: 0)?⁺
+lgpl-2.0-only | 0.95 | (?:gnu )?library general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?2(?: 0)? only
+lgpl-2.0 | 0.95 | (?:gnu )?library general public licen[sc]e(?: lgpl)?(?: version| v)? (?:v)?2(?: 0)?
+lgpl | 0.8 | (?:gnu )?library general public licen[sc]e
 # gpl grants
 gpl | 0.9 | under(?: the)?(?: terms of)?(?: the)? (?:gnu )?gpl(?: licen[sc]e)?
 # apache
@@ -346,6 +353,14 @@ def _stretch(regex: str) -> tuple[int, str]:
     return max(told, key=lambda t: (t[0], len(t[1])))
 
 
+def first_letters(regex: str) -> set[str]:
+    """The characters that a match can begin with."""
+    group = re.match(r"\(\?:([^()]*)\)(\??)", regex)
+    if not group:
+        return {regex[0]}
+    return {branch[0] for branch in group[1].split("|")} | (first_letters(regex[group.end() :]) if group[2] else set())
+
+
 def keywords_of(regex: str) -> tuple[str, ...]:
     """Stretches one of which every match of ``regex`` holds.
 

@@ -14,13 +14,14 @@ named like the results are replaced by them; all places of a very long text coun
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.license_rules import RULES, Rule, families, keywords
+from tallywright.llm.license_rules import RULES, Rule, families, first_letters, keywords
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words: all ASCII but letters and digits.
@@ -75,23 +76,32 @@ def _detections(joined: F.Column, rules: list[Rule]) -> F.Column:
 
     ``back`` is the negative end, so that the longest detection at a place sorts first.
     """
-    pattern = f"(?<= )(?:{'|'.join(r.regex for r in rules)})(?= )"
-    words = F.split(F.regexp_replace(joined, pattern, f"{_OPEN}$0{_SHUT}"), " ", -1)
-    at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull())
-    starts, ends = at(lambda w: F.startswith(w, F.lit(_OPEN))), at(lambda w: F.endswith(w, F.lit(_SHUT)))
+    first = "".join(sorted(set().union(*(first_letters(r.regex) for r in rules))))
+    pattern = f"(?<= )(?=[{first}])(?:{'|'.join(r.regex for r in rules)})(?= )"
     table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.sure).alias("sure")) for r in rules])
     # What matched is short; the first rule that fits all of it is the one that did. Each pattern is a literal, compiled once.
     which = lambda value: F.element_at(table, F.coalesce(*[F.when(F.rlike(value, F.lit(f"^(?:{r.regex})$")), F.lit(k + 1)) for k, r in enumerate(rules)]))
-    values = F.regexp_extract_all(joined, F.lit(pattern), F.lit(0))
-    spans = F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("back")))
-    named = F.zip_with(spans, values, lambda x, v: F.struct(x["start"], x["back"], which(v).alias("rule")))
+    at = lambda words, mark: F.filter(F.transform(words, lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull())
+
+    def placed(marked: F.Column) -> F.Column:
+        values = F.regexp_extract_all(marked, F.lit(f"{_OPEN}([^{_SHUT}]*){_SHUT}"), F.lit(1))
+        words = F.split(marked, " ", -1)
+        spans = _named(words, lambda w: F.zip_with(at(w, lambda x: F.startswith(x, F.lit(_OPEN))), at(w, lambda x: F.endswith(x, F.lit(_SHUT))), lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("back"))))
+        return F.zip_with(spans, values, lambda x, v: F.struct(x["start"], x["back"], which(v).alias("rule")))
+
     found = F.transform(
-        named,
+        # The text is searched once and the marks are read from what comes out.
+        _named(F.regexp_replace(joined, pattern, f"{_OPEN}$0{_SHUT}"), placed),
         lambda x: F.struct(x["start"], x["back"], x["rule"]["priority"].alias("priority"), x["rule"]["label"].alias("label"), x["rule"]["sure"].alias("sure")),
     )
     return F.when(_gate(joined, rules), found).otherwise(F.array().cast(_EMPTY))
 
 
+def _named(value: F.Column, made: Callable[[F.Column], F.Column]) -> F.Column:
+    """``made`` of ``value``, which is worked out once a row."""
+    return F.transform(F.array(value), made)[0]
+
+
 def _kept(found: F.Column) -> F.Column:
     """Of sorted detections those that are not inside one before them.
 
