@@ -49,8 +49,13 @@ def mean_clusters(df: DataFrame, group: str, at: str, tolerance: Column) -> Data
     def put(acc: Column, v: Column) -> Column:
         near = F.transform(acc, lambda c: F.abs(c["sum"] / c["n"] - v) <= F.col("_t"))
         at_first = F.array_position(near, F.lit(True)) - 1
-        joined = F.transform(acc, lambda c, i: F.when(i == at_first, F.struct((c["sum"] + v).alias("sum"), (c["n"] + 1).alias("n"))).otherwise(c))
-        return F.when(at_first >= 0, joined).otherwise(F.concat(acc, F.array(F.struct(v.alias("sum"), F.lit(1).alias("n")))))
+
+        def placed(f: Column) -> Column:
+            joined = F.transform(acc, lambda c, i: F.when(i == f, F.struct((c["sum"] + v).alias("sum"), (c["n"] + 1).alias("n"))).otherwise(c))
+            return F.when(f >= 0, joined).otherwise(F.concat(acc, F.array(F.struct(v.alias("sum"), F.lit(1).alias("n")))))
+
+        # Looked for once a value, not once a cluster.
+        return F.transform(F.array(at_first), placed)[0]
 
     folded = F.aggregate("_v", F.array().cast(kind), put)
     return rows.select(group, F.posexplode(folded).alias("cluster", "_c")).select(group, "cluster", (F.col("_c.sum") / F.col("_c.n")).alias("center"), F.col("_c.n").alias("n"))
@@ -72,7 +77,9 @@ def mean_lines(df: DataFrame, group: list[str], order: list[str], at: str, key:
         first = F.array_position(near, F.lit(True)) - 1
         grown = lambda c: F.struct((c["sum"] + m["_at"]).alias("sum"), (c["n"] + 1).alias("n"), F.concat(c["keys"], F.array(m["_key"])).alias("keys"))
         alone = F.struct(m["_at"].alias("sum"), F.lit(1).alias("n"), F.array(m["_key"]).alias("keys"))
-        return F.when(first >= 0, F.transform(acc, lambda c, i: F.when(i == first, grown(c)).otherwise(c))).otherwise(F.concat(acc, F.array(alone)))
+        placed = lambda f: F.when(f >= 0, F.transform(acc, lambda c, i: F.when(i == f, grown(c)).otherwise(c))).otherwise(F.concat(acc, F.array(alone)))
+        # Looked for once a box, not once a line.
+        return F.transform(F.array(first), placed)[0]
 
     lines = rows.select(*group, F.posexplode(F.aggregate("_m", F.array().cast(kind), put)).alias(name, "_c")).select(*group, name, F.explode("_c.keys").alias(key))
     return df.join(lines.withColumn(key, F.col(key).cast(df.schema[key].dataType)), [*group, key])
