@@ -95,17 +95,16 @@ class Guesser:
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.languages)
         self.chances: dict[str, np.ndarray] = {}
-        self.at: dict[str, int] = {}
-        self.gram_logs = np.zeros((GRAMS + 8 * LONGEST * self.STEP, self.n))
+        self.at: dict[int, int] = {}
+        #: Words that are learned together, so that the n-grams of a step stay small.
+        self.step = max(32, 2_000_000 // (LONGEST * max(1, self.n)))
+        self.gram_logs = np.zeros((GRAMS + 1 + 3 * LONGEST * self.step, self.n))
         self.room = max(1000, LIMIT // (170 + 8 * self.n))
         self.known: dict[str, int] = {}
         self.logs = np.zeros((self.room, self.n))
         self.lettered = np.zeros(self.room, dtype=bool)
         self.solved = 0
 
-    #: Words that are learned together.
-    STEP = 256
-
     def chance(self, gram: str) -> np.ndarray:
         """The chance of the n-gram's last character after the others, by language."""
         if (found := self.chances.get(gram)) is None:
@@ -119,41 +118,68 @@ class Guesser:
         return found
 
     def learn(self, words: list[str]) -> None:
-        """Log likelihoods of words not met before."""
-        for part in _parts(words, self.STEP):
+        """Log likelihoods of words not met before, many at a time: all their n-grams (see ``grams``) are found in one array."""
+        for part in _parts(words, self.step):
             if max(len(self.at), len(self.chances) // 4) > GRAMS:
                 self.chances.clear()
                 self.at.clear()
-            found = [grams(w) for w in part]
-            flat = [g for x in found for g in x]
-            if new := list(set(flat).difference(self.at)):
-                begin = len(self.at)
-                self.gram_logs[begin : begin + len(new)] = np.log(np.stack([self.chance(g) for g in new]))
-                self.at.update(zip(new, range(begin, begin + len(new)), strict=True))
-            begin, sizes = len(self.known), np.array([len(x) for x in found])
+            begin = len(self.known)
             self.known.update(zip(part, range(begin, begin + len(part)), strict=True))
-            has, rows = sizes > 0, self.logs[begin : begin + len(part)]
-            rows[~has] = 0.0
-            if len(flat):
-                where = np.fromiter(map(self.at.__getitem__, flat), dtype=np.int64, count=len(flat))
-                rows[has] = np.add.reduceat(self.gram_logs[where], (np.cumsum(sizes) - sizes)[has])
-            self.lettered[begin : begin + len(part)] = has
+            self.logs[begin : begin + len(part)] = 0.0
+            c = np.frombuffer(f" {' '.join(part)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+            owner = np.repeat(np.arange(len(part)), np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
+            signs, which = np.unique(c, return_inverse=True)
+            letter = np.array([chr(x).isalpha() for x in signs.tolist()])[which]
+            c = np.where(letter, c, 32).astype(np.uint64)
+            # Letters and the ends of their runs, and where each one's run begins.
+            ends = np.flatnonzero(letter[1:] | letter[:-1]) + 1
+            if not len(ends):
+                self.lettered[begin : begin + len(part)] = False
+                continue
+            before = np.maximum.accumulate(np.where(letter, 0, np.arange(len(c))))[ends - 1]
+            sizes = np.minimum(ORDER, ends - before + 1)
+            key = np.zeros(len(ends), dtype=np.uint64)
+            for k in range(ORDER):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + np.where(k < sizes, c[np.maximum(ends - k, 0)] + np.uint64(1), np.uint64(0))
+            found, first, place = np.unique(key, return_index=True, return_inverse=True)
+            new = [k for k, x in enumerate(found.tolist()) if x not in self.at]
+            if new:
+                told = ["".join(map(chr, c[ends[i] - sizes[i] + 1 : ends[i] + 1].tolist())) for i in first[new].tolist()]
+                at = len(self.at)
+                self.gram_logs[at : at + len(new)] = np.log(np.stack([self.chance(g) for g in told]))
+                self.at.update(zip(found[new].tolist(), range(at, at + len(new)), strict=True))
+            rows = np.fromiter(map(self.at.__getitem__, found.tolist()), dtype=np.int64, count=len(found))[place]
+            # A run's end belongs to its word: the space behind a word counts as the word's.
+            of = owner[ends - 1]
+            starts = np.flatnonzero(np.diff(of, prepend=-1))
+            self.logs[begin + of[starts]] = np.add.reduceat(self.gram_logs[rows], starts)
+            self.lettered[begin : begin + len(part)] = False
+            self.lettered[begin + of[starts]] = True
+
+    def know(self, words: set[str]) -> None:
+        """Have all of ``words`` in the store, at most half of its room; a full store starts anew."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > self.room:
+            self.known.clear()
+            new = words
+        self.learn(list(new))
 
     def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, log likelihoods, count) of the distinct lettered words of all texts."""
         at, logs, counts = [], [], []
-        for i, text in enumerate(texts):
-            found = words_of(text)
+        all_words = [words_of(text) for text in texts]
+        distinct = set().union(*all_words)
+        # Nearly always the words of all texts fit; else those of a text, or a part of them, are looked up at a time.
+        if len(distinct) <= self.room // 2:
+            self.know(distinct)
+        for i, found in enumerate(all_words):
             for part in _parts(list(found), self.room // 2):
-                new = [w for w in part if w not in self.known]
-                if len(self.known) + len(new) > self.room:
-                    self.known.clear()
-                    new = part
-                self.learn(new)
+                if len(distinct) > self.room // 2:
+                    self.know(set(part))
                 where = np.fromiter(map(self.known.__getitem__, part), dtype=np.int64, count=len(part))
                 use = self.lettered[where]
                 logs.append(self.logs[where[use]])
-                counts.append(np.fromiter((found[w] for w in part), dtype=np.float64, count=len(part))[use])
+                counts.append(np.fromiter(map(found.__getitem__, part), dtype=np.float64, count=len(part))[use])
                 at.append(np.full(int(use.sum()), i))
         if not at:
             return np.zeros(0, dtype=np.int64), np.zeros((0, self.n)), np.zeros(0)

@@ -147,6 +147,28 @@ def test_languages_nothing_learned_and_clashing_names(spark):
     assert (one.lang_pred, one.score, one["a.b"]) == ("kept", 1.0, 1)
 
 
+def test_words_learned_together_are_as_one_by_one():
+    """The likelihood of every word is the product over its n-grams, however words are cut, mixed or repeated."""
+    rng = random.Random(3)
+    counts: dict = {}
+    for k, lang in enumerate(VOCABULARY):
+        for w in VOCABULARY[lang]:
+            for g in languages.grams(w):
+                for i in range(len(g)):
+                    counts.setdefault(g[i:], np.zeros(3))[k] += 1
+    guesser = languages.Guesser(languages.Model(list(VOCABULARY), counts))
+    guesser.step = 7
+    words = ["the", "t", "l'été", "12", "...", "a1b2c", "--x--", "\U0001d4d0b", "что-то", "e\u0301a", "x" * 40, "%%%$", "ab.cd..ef"]
+    words += ["".join(rng.choice("abeiч1-é") for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    words = list(dict.fromkeys(words))
+    guesser.learn(words)
+    for w in words:
+        found = languages.grams(w)
+        at = guesser.known[w]
+        assert guesser.lettered[at] == bool(found)
+        assert np.allclose(guesser.logs[at], sum((np.log(guesser.chance(g)) for g in found), np.zeros(3)))
+
+
 def test_mixtures_against_exhaustive_search():
     """Whatever is skipped by the slope's bound, or dropped, no single language and no pair is much better."""
     rng = np.random.default_rng(4)
