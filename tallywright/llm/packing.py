@@ -34,6 +34,8 @@ CAPACITY = 2048
 PARTS, LEAST = 16, 8192
 #: New words encoded as one text, and bytes of texts that are tokenized together.
 TOGETHER, BATCH_BYTES = 4_000, 2_000_000
+#: Bytes of words whose ids a worker remembers; to encode one again costs more than elsewhere.
+STORE = 96_000_000
 _CLOSE = np.zeros(1, dtype="<u4").tobytes()
 #: Marks that may close a word; the tokenizer makes one piece of a run of them, apart from letters.
 _MARKS = ".,;:!?%$#&*"
@@ -55,7 +57,7 @@ class WordIds:
         #: Whether a token closes a run of letters.
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known = WordStore()
+        self.known = WordStore(STORE)
         self.tails: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
