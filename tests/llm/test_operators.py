@@ -176,6 +176,15 @@ def test_url_edges(spark, edge):
     assert urls.filter_urls(pages, urls.rules_table(spark, urls.RULES)).count() == 7
 
 
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    """Every rule gives its own verdict, net/de/ allow with example.net/de/8 blocked inside it."""
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    told = [(*r.split(" "),) for r in contract.split(", ")]
+    spark.createDataFrame([(i, f"http://{rule}") for i, (_, rule) in enumerate(told)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.verdict, r.rule) for r in QUERIES["op3_urls"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(told))
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
