@@ -24,14 +24,19 @@ def money(s: Column) -> Column:
 def amount(s: Column) -> Column:
     """The amount of a cell such as '+1,200(3.4%)': before or after the percentage, whose sign it
     takes if it has none itself."""
-    parts = F.filter(F.split(F.regexp_replace(s, r"[원\s]", ""), r"[|(]"), lambda p: p != "")
+    bare, shape = F.regexp_replace(s, r"[원\s]", ""), r"^[+\-]?[\d,]+(\.\d+)?$"
+    number = lambda c: F.regexp_replace(c, "[,+]", "").try_cast("double")
+    parts = F.filter(F.split(bare, r"[|(]"), lambda p: p != "")
     clean = F.transform(parts, lambda p: F.regexp_replace(p, r"\)", ""))
-    plain = F.filter(clean, lambda p: p.rlike(r"^[+\-]?[\d,]+(\.\d+)?$"))
+    plain = F.filter(clean, lambda p: p.rlike(shape))
     first = F.try_element_at(plain, F.lit(1))
     rate_first = F.coalesce(F.contains(F.try_element_at(clean, F.lit(1)), F.lit("%")), F.lit(False))
     minus = rate_first & F.startswith(F.try_element_at(clean, F.lit(1)), F.lit("-")) & ~F.coalesce(first.rlike(r"^[+\-]"), F.lit(False))
-    value = F.regexp_replace(first, "[,+]", "").try_cast("double")
-    return F.when(minus, -value).otherwise(value)
+    value = number(first)
+    # Most cells are words or one plain number; only what has parts, and one of them without letters, is taken apart.
+    single = ~s.rlike(r"[|()]")
+    may = s.rlike(r"(?:^|[|(])[원\s)+\-,.\u0085\u2028\u2029]*\d[원\s)+\-\d,.\u0085\u2028\u2029]*(?:$|[|(])")
+    return F.when(single, F.when(bare.rlike(shape), number(bare))).when(may, F.when(minus, -value).otherwise(value))
 
 
 def cell_number(s: Column) -> Column:

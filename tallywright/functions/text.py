@@ -110,8 +110,9 @@ def header_kind(s: Column) -> Column:
 
 def is_header(s: Column) -> Column:
     """Exact header word, after remarks and spaces are dropped."""
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(s, F.lit("")), r"\(.*?\)", ""), r"\s", "")
-    return bare.isin(*[w for words in V.HEADERS.values() for w in words])
+    text, words = F.coalesce(s, F.lit("")), [w for words in V.HEADERS.values() for w in words]
+    bare = F.regexp_replace(F.regexp_replace(text, r"\(.*?\)", ""), r"\s", "")
+    return F.when(text.rlike(r"[(\s]"), bare.isin(*words)).otherwise(text.isin(*words))
 
 
 def is_field_label(s: Column) -> Column:

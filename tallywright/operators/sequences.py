@@ -19,13 +19,19 @@ def gap_split(df: DataFrame, group: str, at: str, ratio: float = V.JUMP_RATIO, m
     return ranked.groupBy(group).agg(F.count("*").alias("n_gaps"), F.min(F.when(jump, F.col("gap"))).alias("threshold"))
 
 
+def with_jump(df: DataFrame, group: list[str], order: list[str], at: str, ratio: float = V.JUMP_RATIO, mass: float = V.JUMP_MASS) -> DataFrame:
+    """``df`` with ``gap``, the distance to the row before, and ``threshold`` of its group as jump(), by windows over one shuffle."""
+    g, w = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(*order)
+    s = Window.partitionBy(*group).orderBy(F.col("gap").asc_nulls_last())
+    gaps = df.withColumn("gap", (F.col(at) - F.lag(at).over(w)).cast("double"))
+    ranked = gaps.withColumns({"_p": F.lag("gap").over(s), "_k": F.row_number().over(s), "_n": F.count("gap").over(g)})
+    jumps = F.col("_p").isNotNull() & (F.col("gap") >= ratio * F.greatest("_p", F.lit(1e-9))) & (F.col("_n") - F.col("_k") + 1 >= mass * F.col("_n"))
+    return ranked.withColumn("threshold", F.min(F.when(jumps, F.col("gap"))).over(g)).drop("_p", "_k", "_n")
+
+
 def jump(df: DataFrame, group: list[str], order: list[str], at: str, ratio: float = V.JUMP_RATIO, mass: float = V.JUMP_MASS) -> DataFrame:
     """(group, threshold) as gap_split(), gaps of zero counted like any other: the first positive gap after them is a jump."""
-    w, s = Window.partitionBy(*group).orderBy(*order), Window.partitionBy(*group).orderBy("gap")
-    gaps = df.select(*group, (F.col(at) - F.lag(at).over(w)).cast("double").alias("gap")).where("gap is not null")
-    ranked = gaps.withColumns({"_p": F.lag("gap").over(s), "_k": F.row_number().over(s), "_n": F.count("*").over(Window.partitionBy(*group))})
-    jumps = F.col("_p").isNotNull() & (F.col("gap") >= ratio * F.greatest("_p", F.lit(1e-9))) & (F.col("_n") - F.col("_k") + 1 >= mass * F.col("_n"))
-    return ranked.groupBy(*group).agg(F.min(F.when(jumps, F.col("gap"))).alias("threshold"))
+    return with_jump(df, group, order, at, ratio, mass).where("gap is not null").groupBy(*group).agg(F.max("threshold").alias("threshold"))
 
 
 def gap_segments(df: DataFrame, group: str, order: list[str], at: str, threshold: Column, depth: int) -> DataFrame:
@@ -61,28 +67,40 @@ def mean_clusters(df: DataFrame, group: str, at: str, tolerance: Column) -> Data
     return rows.select(group, F.posexplode(folded).alias("cluster", "_c")).select(group, "cluster", (F.col("_c.sum") / F.col("_c.n")).alias("center"), F.col("_c.n").alias("n"))
 
 
-def mean_lines(df: DataFrame, group: list[str], order: list[str], at: str, key: str, tolerance: str, name: str = "line") -> DataFrame:
-    """``df`` with the number of the line that each row is in: rows, in ``order``, join the first line
-    whose running mean of ``at`` is within ``tolerance``.
+def line_starts(rows: Column, at: str, tolerance: Column) -> Column:
+    """Where lines begin, from 1 on, in an array of rows sorted by ``at``: rows join the first line whose running mean is within ``tolerance``.
 
-    A line's mean and not its last member decides, so lines cannot drift from box to box. The fold
-    goes over one group, a screen with its boxes.
+    A line's mean and not its last member decides, so lines cannot drift from box to box. As values rise, a line that one
+    row has missed is out of reach for all behind it, so each row is held against the last line only and lines are
+    stretches of the array. The array is a screen's.
     """
-    kind = "array<struct<sum:double,n:int,keys:array<bigint>>>"
-    members = F.array_sort(F.collect_list(F.struct(*order, F.col(at).cast("double").alias("_at"), F.col(key).cast("long").alias("_key"))))
-    rows = df.groupBy(*group).agg(members.alias("_m"), F.max(tolerance).cast("double").alias("_t"))
+    start = F.struct(F.lit(None).cast("double").alias("sum"), F.lit(1).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def put(acc: Column, m: Column) -> Column:
-        near = F.transform(acc, lambda c: F.abs(c["sum"] / c["n"] - m["_at"]) <= F.col("_t"))
-        first = F.array_position(near, F.lit(True)) - 1
-        grown = lambda c: F.struct((c["sum"] + m["_at"]).alias("sum"), (c["n"] + 1).alias("n"), F.concat(c["keys"], F.array(m["_key"])).alias("keys"))
-        alone = F.struct(m["_at"].alias("sum"), F.lit(1).alias("n"), F.array(m["_key"]).alias("keys"))
-        placed = lambda f: F.when(f >= 0, F.transform(acc, lambda c, i: F.when(i == f, grown(c)).otherwise(c))).otherwise(F.concat(acc, F.array(alone)))
-        # Looked for once a box, not once a line.
-        return F.transform(F.array(first), placed)[0]
-
-    lines = rows.select(*group, F.posexplode(F.aggregate("_m", F.array().cast(kind), put)).alias(name, "_c")).select(*group, name, F.explode("_c.keys").alias(key))
-    return df.join(lines.withColumn(key, F.col(key).cast(df.schema[key].dataType)), [*group, key])
+        v, i = m[at].cast("double"), acc["i"] + 1
+        near = F.abs(acc["sum"] / acc["n"] - v) <= tolerance
+        grown = F.struct((acc["sum"] + v).alias("sum"), (acc["n"] + 1).alias("n"), i.alias("i"), acc["starts"].alias("starts"))
+        return F.when(near, grown).otherwise(F.struct(v.alias("sum"), F.lit(1).alias("n"), i.alias("i"), F.concat(acc["starts"], F.array(i)).alias("starts")))
+
+    return F.aggregate(rows, start, put)["starts"]
+
+
+def stretches(rows: str, starts: str) -> Column:
+    """The array ``rows`` as arrays that begin at ``starts``, counted from 1."""
+    ends = lambda k: F.coalesce(F.get(starts, k + 1), F.size(rows) + 1)
+    return F.transform(starts, lambda s, k: F.slice(rows, s, ends(k) - s))
+
+
+def mean_lines(df: DataFrame, group: list[str], order: list[str], at: str, key: str, tolerance: str, name: str = "line") -> DataFrame:
+    """``df`` with the number of the line that each row is in, as line_starts(); ``order`` begins with ``at``, ``key`` tells ties apart."""
+    if order[0] != at:
+        raise ValueError("rows must be in the order of the axis that makes lines")
+    first = list(dict.fromkeys([*order, key]))
+    row = F.struct(*first, *[c for c in df.columns if c not in (*group, *first)])
+    rows = df.groupBy(*group).agg(F.sort_array(F.collect_list(row)).alias("_rows"), F.max(tolerance).cast("double").alias("_t"))
+    rows = rows.withColumn("_starts", line_starts(F.col("_rows"), at, F.col("_t")))
+    lines = rows.select(*group, F.posexplode(stretches("_rows", "_starts")).alias(name, "_l")).select(*group, name, F.explode("_l").alias("_c"))
+    return lines.select(*[c if c in group else F.col("_c")[c].alias(c) for c in df.columns], name)
 
 
 def merged_runs(df: DataFrame, group: str, start: str, end: str, size: Column, ratio: float = V.PHRASE_RATIO) -> DataFrame:

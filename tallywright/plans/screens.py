@@ -18,28 +18,38 @@ SCREEN = ["batch_id", "file"]
 LABEL_ZONE, AMOUNT_ZONE, CHROME, REACH = 0.50, 0.45, 2.5, 1.6
 
 
-def metrics(boxes: DataFrame) -> DataFrame:
-    """(screen, h0, x0, span, top): upper median height, left edge, width and top of what is there."""
-    facts = boxes.groupBy(*SCREEN).agg(
-        N.upper_median(F.collect_list("h")).alias("h0"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("_x1"), F.min("y").alias("top")
-    )
-    return facts.select(*SCREEN, F.greatest("h0", F.lit(1)).alias("h0"), "x0", F.greatest(F.col("_x1") - F.col("x0"), F.lit(1)).alias("span"), "top")
-
-
 def placed(boxes: DataFrame) -> DataFrame:
-    """Boxes with their center, metrics and line; without the status bar and lines of market indices."""
-    b = boxes.join(metrics(boxes), SCREEN).withColumn("cy", F.col("y") + F.col("h") / 2)
-    chrome = (F.col("y") < F.col("top") + CHROME * F.col("h0")) & (F.col("text").rlike(r"^\d{1,2}:\d{2}") | F.contains("text", F.lit("%")) | (F.length("text") <= 6))
-    b = b.where(~chrome)
-    b = sequences.mean_lines(b.withColumn("_near", V.LINE_TOLERANCE * F.col("h0")), SCREEN, ["cy", "x"], "cy", "box_id", "_near").drop("_near")
-    line = Window.partitionBy(*SCREEN, "line")
-    index = F.max(S.is_index_line(F.col("text")).cast("int")).over(line) == 1
-    return b.withColumn("_i", index).where("not _i").drop("_i")
+    """Boxes with their center, the screen's metrics and their line; without the status bar and lines of market indices.
+
+    Metrics are h0, the upper median height, and x0, span and top, the left edge, width and top of what is there. A screen's
+    boxes meet in one array by one shuffle; nothing is joined, as sizes of exploded rows are estimated far too low.
+    """
+    text = F.col("text")
+    bar = text.rlike(r"^\d{1,2}:\d{2}") | F.contains(text, F.lit("%")) | (F.length(text) <= 6)
+    own = [F.col(c) for c in boxes.columns if c not in (*SCREEN, "x", "box_id")]
+    box = F.struct((F.col("y") + F.col("h") / 2).alias("cy"), "x", "box_id", *own, bar.alias("_bar"), S.is_index_line(text).alias("_index"))
+    facts = boxes.where(F.col("batch_id").isNotNull() & F.col("file").isNotNull()).groupBy(*SCREEN).agg(
+        N.upper_median(F.collect_list("h")).alias("h0"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("_x1"), F.min("y").alias("top"), F.collect_list(box).alias("_all")
+    )
+    metrics = [F.greatest("h0", F.lit(1)).alias("h0"), "x0", F.greatest(F.col("_x1") - F.col("x0"), F.lit(1)).alias("span"), "top"]
+    screens = facts.select(*SCREEN, *metrics, "_all")
+    chrome = lambda c: (c["y"] < F.col("top") + CHROME * F.col("h0")) & c["_bar"]
+    screens = screens.withColumn("_boxes", F.sort_array(F.filter("_all", lambda c: ~chrome(c)))).drop("_all")
+    screens = screens.withColumn("_starts", sequences.line_starts(F.col("_boxes"), "cy", V.LINE_TOLERANCE * F.col("h0")))
+    facts = [*SCREEN, "h0", "x0", "span", "top"]
+    lines = screens.select(*facts, F.posexplode(sequences.stretches("_boxes", "_starts")).alias("line", "_l")).where(~F.exists("_l", lambda c: c["_index"]))
+    names = [c for c in boxes.columns if c not in SCREEN]
+    return lines.select(*facts, "line", F.explode("_l").alias("_c")).select(*SCREEN, *[F.col("_c")[c].alias(c) for c in names], *facts[2:], F.col("_c")["cy"].alias("cy"), "line")
 
 
 def list_rows(boxes: DataFrame) -> DataFrame:
     """(screen, row, name, qty, value, pnl, account) per label that has an unsigned amount near it, numbered from the top."""
-    b = placed(boxes).withColumns({"amount": N.amount(F.col("text")), "qty": N.share_quantity(F.col("text"))})
+    return placed_list_rows(placed(boxes))
+
+
+def placed_list_rows(b: DataFrame) -> DataFrame:
+    """list_rows() of boxes that are placed already."""
+    b = b.withColumns({"amount": N.amount(F.col("text")), "qty": N.share_quantity(F.col("text"))})
     signed = F.regexp_replace("text", r"\s", "").rlike(r"^[+\-]")
     account = F.size(S.account_tokens(F.col("text"))) > 0
     plain = F.col("amount").isNull() & F.col("qty").isNull() & (F.length(F.trim("text")) >= 2)

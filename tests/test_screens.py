@@ -113,5 +113,24 @@ def test_leftovers_are_taken_once(spark):
     assert sorted((r.label, r.amount) for r in got) == [(1, 12), (2, 10)]
 
 
+def _broadcasts(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") + df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_boxes_are_placed_by_one_shuffle(spark):
+    """Nothing is joined, whatever sizes Spark estimates, and equal boxes under one id stay two."""
+    boxes = placed(spark, *TOP, *HEADER, *row(0)).unionByName(placed(spark, ("Alpha", 40, 900)).withColumn("box_id", F.lit(99).cast("long")))
+    b = screens.placed(boxes.unionByName(boxes.where("box_id = 99")))
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+    assert [r.n for r in b.where("box_id = 99").groupBy("line").agg(F.count("*").alias("n")).collect()] == [2]
+
+
+def test_headers_and_tables_are_not_broadcast(spark):
+    b = screens.placed(placed(spark, *TOP, *HEADER, *row(0), *row(1, "Beta")))
+    columns = headered.frames(b)
+    assert _broadcasts(columns) == _broadcasts(headered.table_boxes(b, columns)) == _broadcasts(headered.header_rows(b, columns)) == 0
+
+
 def test_no_boxes(spark):
     assert bind.bind(spark.createDataFrame([], BOXES)).count() == 0
