@@ -15,7 +15,7 @@ from tallywright.functions import text as S
 from tallywright.functions import vocabulary as V
 from tallywright.operators import totals
 from tallywright.plans import headered, screens
-from tallywright.sources.scratch import cut
+from tallywright.sources.scratch import stored
 
 SCREEN = ["batch_id", "file"]
 # The name of a row that gives its screen's own total, how sure a bound row is, the lines that a label is
@@ -37,11 +37,12 @@ def is_card_label(text: Column) -> Column:
 
 def top_lines(b: DataFrame, columns: DataFrame) -> DataFrame:
     """(screen, rank, cells): the first TOP_LINES lines, those above the header where there is one, with their boxes from the left."""
+    # Ranked by windows over one shuffle; cells are only read and collected where the line is one of the first.
+    own = b.select(*SCREEN, "line", "x", "box_id", "text", "cy").hint("merge").join(columns.select(*SCREEN, "header_y"), SCREEN, "left")
+    own = own.withColumn("low", F.max("cy").over(Window.partitionBy(*SCREEN, "line"))).where(F.col("header_y").isNull() | (F.col("low") < F.col("header_y")))
+    near = own.withColumn("rank", F.dense_rank().over(Window.partitionBy(*SCREEN).orderBy("line")) - 1).where(F.col("rank") < V.TOP_LINES)
     cell = F.struct("x", "box_id", F.col("text"), N.cell_number(F.col("text")).alias("amount"), is_card_label(F.col("text")).alias("label"))
-    lines = b.groupBy(*SCREEN, "line").agg(F.max("cy").alias("low"), F.array_sort(F.collect_list(cell)).alias("cells"))
-    lines = lines.join(columns.select(*SCREEN, "header_y"), SCREEN, "left").where(F.col("header_y").isNull() | (F.col("low") < F.col("header_y")))
-    rank = F.row_number().over(Window.partitionBy(*SCREEN).orderBy("line")) - 1
-    return lines.select(*SCREEN, rank.alias("rank"), "cells").where(F.col("rank") < V.TOP_LINES)
+    return near.groupBy(*SCREEN, "rank").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
 
 
 def card_totals(top: DataFrame) -> DataFrame:
@@ -57,13 +58,13 @@ def card_totals(top: DataFrame) -> DataFrame:
 
 def labels(b: DataFrame) -> DataFrame:
     """(screen, label): the first of the top lines that holds an account number or a square bracket, its boxes joined."""
-    ranked = b.groupBy(*SCREEN, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "box_id", "text"))), lambda c: c["text"]), " ").alias("t"))
+    ranked = b.groupBy(*SCREEN, "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "box_id", "text"))), lambda c: c["text"]), " ").alias("t"))
     rank = F.row_number().over(Window.partitionBy(*SCREEN).orderBy("line"))
     near = ranked.withColumn("rank", rank).where((F.col("rank") <= LABEL_LINES) & F.col("t").rlike(LABEL))
     return near.groupBy(*SCREEN).agg(F.min_by("t", "rank").alias("label"))
 
 
-def _found_rows(boxes: DataFrame, b: DataFrame, columns: DataFrame) -> DataFrame:
+def _found_rows(b: DataFrame, columns: DataFrame) -> DataFrame:
     """(screen, row, name, qty, value, cost, pnl, price, account) of both kinds of screens."""
     table = headered.header_rows(b, columns)
     sums = N.screen_arithmetic(F.col("qty"), F.col("cost_unit"), F.col("price"), F.col("value"))
@@ -71,7 +72,7 @@ def _found_rows(boxes: DataFrame, b: DataFrame, columns: DataFrame) -> DataFrame
         *SCREEN, "row", "name", "qty", F.round("_s.value", 2).alias("value"), F.coalesce("cost", F.round("_s.cost", 2)).alias("cost"), "pnl", "price",
         F.lit(None).cast("string").alias("account"),
     )
-    lists = screens.list_rows(boxes.join(columns.select(SCREEN), SCREEN, "left_anti"))
+    lists = screens.placed_list_rows(stored(b.join(columns.select(SCREEN).hint("merge"), SCREEN, "left_anti"), "list-boxes"))
     nothing = F.lit(None).cast("double")
     lists = lists.select(*SCREEN, "row", "name", "qty", "value", nothing.alias("cost"), "pnl", nothing.alias("price"), "account")
     return table.unionByName(lists)
@@ -84,26 +85,26 @@ def bind(boxes: DataFrame) -> DataFrame:
     figure of the screen is no holding; one named like a value gives the screen's total, as ``SCREEN_TOTAL``.
     Where a row has the account line above it, that is its broker and account type; else the screen's label.
     """
-    b = cut(screens.placed(boxes))
-    columns = cut(headered.frames(b))
-    rows = _found_rows(boxes, b, columns)
+    b = stored(screens.placed(boxes), "placed")
+    columns = stored(headered.frames(b), "frames")
+    rows = _found_rows(b, columns)
     rows = totals.coherent(rows, SCREEN, F.size(S.account_tokens(F.col("name"))) > 0, S.is_category(F.col("name")))
     rows = rows.withColumn("name", F.trim("name")).where(F.length("name") >= 2)
-    rows = cut(rows.withColumn("_figure", S.is_field_label(F.col("name"))))
+    rows = stored(rows.withColumn("_figure", S.is_field_label(F.col("name"))), "bound-rows")
     named = rows.where(F.col("_figure") & F.trim(F.regexp_replace("name", r"\(.*?\)", "")).isin(*V.HEADERS["value"]) & F.col("value").isNotNull())
     own = named.groupBy(*SCREEN).agg(F.min_by("value", "row").alias("own"))
     kept = rows.where(~F.col("_figure")).drop("_figure")
-    top = cut(top_lines(b, columns))
+    top = stored(top_lines(b, columns), "top-lines")
     amounts = top.select(F.struct(*SCREEN).alias("s"), F.col("rank").alias("line"), F.posexplode("cells").alias("i", "c")).select("s", "line", "i", "c.amount")
     sums = totals.sum_matched(kept.select(F.struct(*SCREEN).alias("s"), "value"), amounts, "s", "value", ["line", "i"], "line", "amount").select("s.*", F.col("total").alias("summed"))
-    total = own.join(card_totals(top), SCREEN, "full").join(sums, SCREEN, "full").select(*SCREEN, F.coalesce("own", "total", "summed").alias("value"))
-    texts = b.groupBy(*SCREEN).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x", "box_id", "text"))), lambda c: c["text"]), " ").alias("all"))
-    head = top.groupBy(*SCREEN).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cells"))), lambda c: F.transform(c["cells"], lambda x: x["text"]))), " ").alias("head"))
-    said = texts.join(labels(b), SCREEN, "left").join(head, SCREEN, "left")
+    total = own.hint("merge").join(card_totals(top), SCREEN, "full").join(sums.hint("merge"), SCREEN, "full").select(*SCREEN, F.coalesce("own", "total", "summed").alias("value"))
+    texts = b.groupBy(*SCREEN).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "box_id", "text"))), lambda c: c["text"]), " ").alias("all"))
+    head = top.groupBy(*SCREEN).agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cells"))), lambda c: F.transform(c["cells"], lambda x: x["text"]))), " ").alias("head"))
+    said = texts.hint("merge").join(labels(b), SCREEN, "left").join(head.hint("merge"), SCREEN, "left")
     broker = S.blank_to_null(F.trim(F.concat_ws(" ", S.canonical_broker(F.col("all")), "label")))
     kind = F.coalesce(S.known_account_type(F.col("label")), S.known_account_type(F.col("head")))
     told = said.select(*SCREEN, broker.alias("_broker"), kind.alias("_type"))
-    full = kept.join(told, SCREEN, "left").select(
+    full = kept.hint("merge").join(told, SCREEN, "left").select(
         *SCREEN, F.col("row").alias("row_no"), F.coalesce("account", "_broker").alias("broker"), F.coalesce(S.known_account_type(F.col("account")), "_type").alias("accountType"),
         "name", S.asset_class(F.col("name")).alias("assetClass"), F.lit(None).cast("string").alias("currency"), "qty", "price", "value", "cost", "pnl", F.lit(SURE).alias("confidence"),
     )

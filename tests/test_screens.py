@@ -132,5 +132,11 @@ def test_headers_and_tables_are_not_broadcast(spark):
     assert _broadcasts(columns) == _broadcasts(headered.table_boxes(b, columns)) == _broadcasts(headered.header_rows(b, columns)) == 0
 
 
+def test_cards_are_not_broadcast(spark):
+    b = screens.placed(placed(spark, *TOP, ("총자산", 40, 200), ("3,000", -1040, 200)))
+    totals = bind.card_totals(bind.top_lines(b, headered.frames(b)))
+    assert _broadcasts(totals) == 0 and [r.total for r in totals.collect()] == [3000.0]
+
+
 def test_no_boxes(spark):
     assert bind.bind(spark.createDataFrame([], BOXES)).count() == 0
