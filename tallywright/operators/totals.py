@@ -100,6 +100,6 @@ def sum_matched(rows: DataFrame, amounts: DataFrame, group: str, value: str, ord
     Groups of fewer than two rows have none: one row would only confirm itself. Rows without a value do not count.
     """
     sums = rows.where(truthy(F.col(value))).groupBy(group).agg(F.sum(value).alias("_sum"), F.count("*").alias("_n")).where("_n >= 2 and _sum > 0")
-    top = amounts.where((F.col(line) < V.TOP_LINES) & truthy(F.col(amount))).join(sums, group)
+    top = amounts.where((F.col(line) < V.TOP_LINES) & truthy(F.col(amount))).hint("merge").join(sums, group)
     hits = top.where(F.abs(F.col(amount) - F.col("_sum")) <= V.SUM_MATCH * F.col("_sum"))
     return hits.groupBy(group).agg(F.min_by(amount, F.struct(*order)).alias("total"))

@@ -138,5 +138,9 @@ def test_cards_are_not_broadcast(spark):
     assert _broadcasts(totals) == 0 and [r.total for r in totals.collect()] == [3000.0]
 
 
+def test_bound_rows_are_not_broadcast(spark):
+    assert _broadcasts(bind.bind(placed(spark, *TOP, *HEADER, *row(0), *row(1, "Beta")))) == 0
+
+
 def test_no_boxes(spark):
     assert bind.bind(spark.createDataFrame([], BOXES)).count() == 0
