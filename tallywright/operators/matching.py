@@ -103,10 +103,17 @@ def arbitrate(rows: DataFrame, symbols: DataFrame, row_id: str, token: str, evid
 
 
 def transfer_first(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """``df`` with the key's first non-null ``value`` in the given order."""
+    """``df`` with the key's first non-null ``value`` in the given order.
+
+    Rows without a key meet nothing; a second key, zero for all others, keeps a shuffle from dealing them to one task.
+    """
     first = df.select(F.col(key).alias("_k"), value.alias("_v"), F.struct(*order).alias("_o")).where("_v is not null")
     firsts = first.groupBy("_k").agg(F.min_by("_v", "_o").alias(name))
-    return df.join(firsts, df[key] == firsts["_k"], "left").drop("_k")
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(4096))).otherwise(F.lit(0)).cast("int")
+    left = df.withColumn("_spread", spread)
+    # Zero, but no literal, which Spark would take out of the keys again.
+    firsts = firsts.withColumn("_zero", F.pmod(F.hash("_k"), F.lit(1)))
+    return left.join(firsts, (left[key] == firsts["_k"]) & (left["_spread"] == firsts["_zero"]), "left").drop("_k", "_spread", "_zero")
 
 
 def anti_append(base: DataFrame, fresh: DataFrame, key: str, order: str) -> DataFrame:

@@ -109,3 +109,20 @@ def test_list_rows_and_geometry(spark):
     for factor in (0.5,):  # a screen of another density gives the same rows
         scaled = boxes.select("batch_id", "file", "box_id", "text", *[(F.col(c) * factor).cast("int").alias(c) for c in "xywh"])
         assert {(r.name, r.qty, r.value, r.pnl) for r in screens.list_rows(scaled).collect()} == want
+
+
+def test_rows_without_a_symbol_are_no_single_task(spark):
+    from tallywright.operators import matching
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.lit("s")).alias("symbol"), F.col("id").cast("double").alias("v"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = matching.transfer_first(rows, "symbol", ["id"], F.when(F.col("symbol").isNotNull(), F.col("v")), "unit")
+        parts = out.where("symbol is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("count"), F.max("unit")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in parts) == 3600 and max(r["count"] for r in parts) < 1200
+    assert {(r.symbol, r.unit) for r in out.collect()} == {("s", 0.0), (None, None)}
