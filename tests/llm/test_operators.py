@@ -151,6 +151,85 @@ def test_neighbours_against_brute_force(spark, edge):
     assert hit >= 0.95 * 20 * len(got)
 
 
+def vectors_of(spark, x):
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+
+
+def recall_of(rows, x, step):
+    got = defaultdict(set)
+    for r in rows:
+        got[r.query_id].add(r.vec_id)
+    scores = x.astype(np.float64)[::step] @ x.astype(np.float64).T
+    scores[np.arange(len(scores)), np.arange(0, len(x), step)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert set(got) == set(range(0, len(x), step)) and all(len(v) == 20 for v in got.values())
+    return sum(len(got[i * step] & set(w.tolist())) for i, w in enumerate(want)) / want.size
+
+
+def plan_of(spark, x):
+    """The plan of vectors that all differ, and how often their index holds a query and a pair of a query and a row."""
+    classes = spark.createDataFrame(
+        pa.table({"cid": pa.array(range(len(x))), "vec": pa.array(x.tolist(), pa.list_(pa.float32())), "asks": pa.array([i % 20 == 0 for i in range(len(x))])})
+    )
+    projections, shifts = neighbours._directions(x.shape[1])
+    mean, spread, top, n, asks = neighbours._moments(classes, projections)
+    curves, plan = neighbours.fit(classes, neighbours.Curves(projections, shifts, mean, spread, top), 20, n, asks, 4 * x.shape[1])
+    slots = {(r.slot, r.asks): r["count"] for r in neighbours.index(classes, curves, plan, "float").groupBy("slot", "asks").count().collect()}
+    looks = sum(c for (_, asked), c in slots.items() if asked)
+    pairs = sum(c * slots.get((slot, False), 0) for (slot, asked), c in slots.items() if asked)
+    return plan, looks / asks, pairs / (asks * n)
+
+
+def test_neighbours_isotropic_work(spark):
+    """Where no ordering helps, no pair is compared twice, and a query goes to as many blocks in a larger table."""
+    x = np.random.default_rng(4).standard_normal((80_000, 64)).astype(np.float32)
+    for rows in (40_000, 80_000):
+        plan, looks, pairs = plan_of(spark, x[:rows])
+        assert plan.curves == 1 and looks <= 24 and pairs <= 1.001
+
+
+def test_neighbours_of_clusters(spark, monkeypatch):
+    """Clustered vectors are compared with few others on several curves, and nearly all neighbours are found."""
+    monkeypatch.setattr(neighbours, "ROW_COST", 0)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1000, 16))[rng.integers(0, 1000, 30_000)] + 0.05 * rng.standard_normal((30_000, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    plan, _, pairs = plan_of(spark, x)
+    assert plan.curves > 1 and pairs < 0.5
+    assert recall_of(neighbours.nearest(vectors_of(spark, x), 20, F.col("vec_id") % 20 == 0).collect(), x, 20) >= 0.97
+
+
+def test_neighbours_recall(spark):
+    """Blocks of isotropic vectors, none of which sees all rows."""
+    x = np.random.default_rng(8).standard_normal((12_000, 64)).astype(np.float32)
+    assert recall_of(neighbours.nearest(vectors_of(spark, x), 20, F.col("vec_id") % 100 == 0).collect(), x, 100) >= 0.98
+
+
+def test_neighbours_without_queries(spark, edge):
+    vectors = spark.read.parquet(f"{edge}/embeddings.parquet")
+    assert neighbours.nearest(vectors, 20, F.col("vec_id") == -1).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["plain", "close", "long", "double"])
+def test_neighbours_of_a_block(kind):
+    """Single precision leaves no row out, with rows closer than its rounding, one row longer than all and huge numbers."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((9_000, 24)).astype(np.float32)
+    if kind == "close":
+        x = (x[:1] + 1e-6 * x).astype(np.float32)
+    elif kind == "long":
+        x[17] *= np.float32(1e12)
+    elif kind == "double":
+        x = x.astype(np.float64) * 1e60
+    ids, q = rng.permutation(len(x)), x[:700].astype(np.float64)
+    found = neighbours.Block(ids, x).nearest(np.arange(len(q)), q, 21)
+    query, back, other = (np.concatenate(c) for c in zip(*found, strict=True))
+    for i in range(0, len(q), 35):
+        scores = neighbours.exact_scores(q[i], x.astype(np.float64))
+        best = np.lexsort((ids, -scores))[:21]
+        assert other[query == i].tolist() == ids[best].tolist() and (-back[query == i] == scores[best]).all()
+
+
 def test_hilbert_is_a_curve():
     """Neighbours along the curve are neighbouring cells, and no two cells share a key."""
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
