@@ -28,9 +28,11 @@ table or one without queries gives no rows; extra columns do not matter.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +50,9 @@ FIT_ROWS, FIT_PER_BLOCK = 32768, 16
 #: Queries whose true neighbours set the window, and the share of them that it must cover.
 SAMPLE, TARGET = 256, 0.99
 #: What it takes to index one row on one curve, in products of a pair.
-ROW_COST = 2500
+ROW_COST = 4000
 #: Queries and candidates of one product of matrices, candidates that give the first bound, and pairs held at once.
-QUERIES, TILE, HEAD, PAIRS = 512, 4096, 2048, 2_000_000
+QUERIES, TILE, HEAD, PAIRS = 256, 2048, 8192, 2_000_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -92,15 +94,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _usable(vectors: DataFrame, cell: str) -> DataFrame:
     """(vec_id, vec, key) of the vectors that take part; equal vectors have equal keys."""
-    fine = vectors.select("vec_id", F.col("embedding").cast(f"array<{cell}>").alias("vec")).where(
+    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{cell}>").alias("vec")).where(
         F.col("vec_id").isNotNull()
         & F.col("vec").isNotNull()
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vec", lambda x: x != 0)
     )
-    # Negative zero equals zero as a component; the key is taken after adding it away.
-    key = F.unhex(F.sha2(F.array_join(F.transform("vec", lambda x: x + 0.0), ","), 256))
-    fine = stored(fine.withColumn("key", key), "usable")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vec = batch.columns
+            # Negative zero equals zero as a component; the key is taken after adding it away.
+            cells = vec.flatten().to_numpy(zero_copy_only=False) + 0.0
+            ends = np.append(0, np.cumsum(vec.value_lengths().to_numpy(zero_copy_only=False))) * cells.itemsize
+            data = cells.tobytes()
+            keys = pa.array([hashlib.sha256(data[b:e]).digest() for b, e in pairwise(ends.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, vec, keys], names=["vec_id", "vec", "key"])
+
+    fine = stored(fine.mapInArrow(keyed, f"vec_id long, vec array<{cell}>, key binary"), "usable")
     usual = fine.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return fine.where(F.size("vec") == (usual["d"] if usual else 0))
 
