@@ -12,10 +12,11 @@ def _to_smallest(pairs: DataFrame, keep_root: bool) -> DataFrame:
     """Every neighbour of a node linked to the smallest of the node and its neighbours.
 
     ``pairs`` (u, v) holds what counts as u's neighbours v. The minimum is aggregated before the
-    shuffle; the join back is one that Spark splits for a hub.
+    shuffle; the join back is one that Spark splits for a hub. Joins are by merge: a broadcast of every step's
+    small table, and there are many steps, goes through the driver's memory.
     """
     smallest = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    moved = pairs.join(smallest, "u").where(F.col("v") != F.col("m")).select("v", "m")
+    moved = pairs.join(smallest.hint("merge"), "u").where(F.col("v") != F.col("m")).select("v", "m")
     if keep_root:
         moved = moved.union(smallest.where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), "m"))
     return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -37,7 +38,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # Large star: only larger neighbours move to the smallest one.
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(smallest.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: each node and its smaller neighbours move to the smallest of them.
         edges = stored(_to_smallest(large, keep_root=True), name)
         now = mark(edges)

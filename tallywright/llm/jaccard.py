@@ -367,6 +367,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
     Two documents are linked when den * common >= num * united, ``share`` being (num, den).
     """
     bounded_batches(docs.sparkSession)
+    # Joins of ids and digests are by merge, as they are on large tables anyway: no broadcast goes through the driver.
     # With the id, a digest of the text finds the text again when its set is needed.
     docs = docs.select("doc_id", F.unhex(F.sha2(F.col(text), 256)).alias("text_key"), F.col(text).alias("text"))
     # A stored row keeps its number, which also names the class that it stands for.
@@ -374,33 +375,33 @@ def jaccard_join(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 1
     known = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     chosen = F.min(F.struct("row", "n", "doc_id", "text_key")).alias("chosen")
     classes = stored(known.groupBy("digest").agg(chosen).select("digest", "chosen.*"), "classes").withColumnRenamed("row", "id")
-    described = rows.select(F.col("row").alias("id"), "pivots", "parities", "counts").join(classes.select("id", "n"), "id")
+    described = rows.select(F.col("row").alias("id"), "pivots", "parities", "counts").join(classes.select("id", "n").hint("merge"), "id")
     per_pivot = Window.partitionBy("pivot")
     # Most pivots are met by one document only; sketches travel with those that are left.
     entries = (
         described.select("id", F.explode("pivots").alias("pivot"))
         .withColumn("met", F.count("*").over(per_pivot))
         .where("met > 1")
-        .join(described.select("id", "n", "parities", "counts"), "id")
+        .join(described.select("id", "n", "parities", "counts").hint("merge"), "id")
     )
     clusters = components(_candidates(_blocks(entries, "pivot", "met", REGION_BLOCK), share), "candidates")
-    clusters = clusters.join(classes.select("id", "n", "doc_id", "text_key"), "id")
+    clusters = clusters.join(classes.select("id", "n", "doc_id", "text_key").hint("merge"), "id")
     sizes = clusters.groupBy("component_id").agg(F.sum("n").alias("shingles"))
-    members = clusters.join(sizes, "component_id").select("id", "doc_id", "text_key", F.col("component_id").alias("cluster"), "shingles")
+    members = clusters.join(sizes.hint("merge"), "component_id").select("id", "doc_id", "text_key", F.col("component_id").alias("cluster"), "shingles")
     # Repeated rows share the key; one of them is enough.
     texts = docs.join(members, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     links = _links(_sets(texts, size), share)
-    named = stored(known.select("doc_id", "digest").distinct().join(classes.select("digest", F.col("id").alias("class")), "digest").select("doc_id", "class"), "named")
+    named = stored(known.select("doc_id", "digest").distinct().join(classes.select("digest", F.col("id").alias("class")).hint("merge"), "digest").select("doc_id", "class"), "named")
     # An id with several texts ties their classes together.
     several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
-    tied = named.join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
+    tied = named.join(several.hint("merge"), "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
     found = components(links.unionByName(tied), "links")
     # Copies share a class, so all but the last join is one row per class.
-    placed = named.groupBy("class").agg(F.min("doc_id").alias("first_id")).join(found, F.col("class") == F.col("id"), "left").select("class", "first_id", F.coalesce("component_id", "class").alias("_component"))
+    placed = named.groupBy("class").agg(F.min("doc_id").alias("first_id")).join(found.hint("merge"), F.col("class") == F.col("id"), "left").select("class", "first_id", F.coalesce("component_id", "class").alias("_component"))
     first = placed.groupBy("_component").agg(F.min("first_id").alias("component_id"))
-    of_id = named.join(placed.join(first, "_component").select("class", "component_id"), "class").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    of_id = named.join(placed.join(first.hint("merge"), "_component").select("class", "component_id").hint("merge"), "class").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     # Ids without any shingle are linked with nothing, not even with one another.
-    return rows.select("doc_id", "n").join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n").join(of_id.hint("merge"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,8 +242,8 @@ def disclosures(found: DataFrame, frequency: DataFrame) -> DataFrame:
     known = F.log2(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("co") / (F.greatest("df_t", "co") * F.col("df_e")))
     return (
-        together.join(entities, "entity")
-        .join(frequency, "term")
+        together.join(entities.hint("merge"), "entity")
+        .join(frequency.hint("merge"), "term")
         .where(F.col("df_e") < n)
         .select("entity", "term", (pmi / known).alias("share"))
         .where(F.col("share") >= GENERALISE)
@@ -259,7 +259,7 @@ def term_spans(found: DataFrame, disclosed: DataFrame) -> DataFrame:
         .select("doc_id", "text_key", "entity", F.lower("t.value").alias("term"), "t.start", "t.end")
     )
     return (
-        beside.join(disclosed, ["entity", "term"])
+        beside.join(disclosed.hint("merge"), ["entity", "term"])
         .groupBy("doc_id", "text_key", "start", "end")
         .agg(F.max("share").alias("share"))
         .groupBy("doc_id", "text_key")
@@ -291,18 +291,18 @@ def document_terms(found: DataFrame, frequency: DataFrame) -> DataFrame:
     # An entity of fewer texts than SUPPORT has no such term.
     entities = mentions.groupBy("entity").agg(F.count("*").alias("df_e"), F.countDistinct("text_key").alias("texts"), *same_rows).where(F.col("texts") >= SUPPORT)
     entities = entities.select("entity", "df_e", F.xxhash64("a", "b", "df_e").alias("class"))
-    of_row = stored(mentions.join(entities, "entity").select(*row, "class", "df_e").distinct(), "entity-classes")
+    of_row = stored(mentions.join(entities.hint("merge"), "entity").select(*row, "class", "df_e").distinct(), "entity-classes")
     wide = found.where(F.col("words").isNotNull()).select(*row, "words")
     chosen = of_row.select(row).distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_row"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
     held = stored(wide.join(chosen, same, "left_semi").dropDuplicates(row).select(*row, F.explode("words").alias("term")), "words")
     # A term in fewer texts than SUPPORT discloses nothing.
     terms = held.groupBy("term").agg(F.count("*").alias("rows"), F.countDistinct("text_key").alias("texts"), *same_rows).where(F.col("texts") >= SUPPORT)
-    terms = terms.join(frequency, "term").select("term", "df_t", F.xxhash64("a", "b", "rows", "df_t").alias("term_class"))
-    held = stored(held.join(terms, "term"), "term-classes")
+    terms = terms.join(frequency.hint("merge"), "term").select("term", "df_t", F.xxhash64("a", "b", "rows", "df_t").alias("term_class"))
+    held = stored(held.join(terms.hint("merge"), "term"), "term-classes")
     classes = held.select(*row, "term_class", "df_t").distinct()
     # A class of terms stands in all rows that its terms stand in.
-    met = of_row.join(classes.withColumnsRenamed({"doc_id": "_id", "text_key": "_row"}), same)
+    met = of_row.join(classes.withColumnsRenamed({"doc_id": "_id", "text_key": "_row"}).hint("merge"), same)
     together = (
         met.groupBy("class", "df_e", "term_class", "df_t", "text_key")
         .agg(F.count("*").alias("rows"))
@@ -314,8 +314,8 @@ def document_terms(found: DataFrame, frequency: DataFrame) -> DataFrame:
     known = F.log2(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log2(F.lit(float(n)) * F.col("co") / (F.greatest("df_t", "co") * F.col("df_e")))
     telling = together.where(F.col("df_e") < n).select("class", "term_class", (pmi / known).alias("share")).where(F.col("share") >= GENERALISE)
-    told = of_row.join(telling, "class").groupBy(*row, "term_class").agg(F.max("share").alias("share")).withColumnsRenamed({"doc_id": "_id", "text_key": "_row", "term_class": "_class"})
-    return held.join(told, same & (F.col("term_class") == F.col("_class"))).select(*row, "term", "share")
+    told = of_row.join(telling.hint("merge"), "class").groupBy(*row, "term_class").agg(F.max("share").alias("share")).withColumnsRenamed({"doc_id": "_id", "text_key": "_row", "term_class": "_class"})
+    return held.join(told.hint("merge"), same & (F.col("term_class") == F.col("_class"))).select(*row, "term", "share")
 
 
 def _without(masked: F.Column, given: F.Column) -> F.Column:
@@ -377,13 +377,13 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     read = docs.select("doc_id", F.col(text).alias("text"))
     found, frequency = spans_of(read, words=True), stored(frequency_of(read), "frequency")
     beside = found.where(F.col("windows").isNotNull()).select(*row, F.explode(F.array_distinct(F.col("windows.entity"))).alias("entity"))
-    beside = beside.join(disclosures(found, frequency), "entity").select(*row, "term", "share")
+    beside = beside.join(disclosures(found, frequency).hint("merge"), "entity").select(*row, "term", "share")
     i, r, given, puts, cuts, masked = (private(x) for x in ("id", "row", "given", "puts", "cuts", "masked"))
     terms = beside.unionByName(document_terms(found, frequency)).groupBy(*row, "term").agg(F.max("share").alias("share"))
     terms = terms.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_row")).agg(F.collect_list(F.struct("term", "share")).alias(given))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_row"))
     # Only rows with mentions have terms.
-    rows = found.where(F.size(F.concat(*KINDS)) > 0).join(terms, same, "left").drop("_id", "_row").dropDuplicates(row)
+    rows = found.where(F.size(F.concat(*KINDS)) > 0).join(terms.hint("merge"), same, "left").drop("_id", "_row").dropDuplicates(row)
     cut = lambda s, kind: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put"))
     rows = rows.select(F.col("doc_id").alias(i), F.col("text_key").alias(r), given, F.concat(*[_each(k, cut) for k in KINDS]).alias(puts))
     raw, key = F.col(f"`{text}`"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))

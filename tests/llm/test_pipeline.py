@@ -192,3 +192,17 @@ def test_classes_of_terms_against_all_pairs(spark):
         want |= {(i, t, w): s for w, s in told.items() if s >= privacy.GENERALISE}
     assert len(got) == len(want) > 0
     assert sorted((i, w, round(s, 9)) for (i, _, w), s in got.items()) == sorted((i, w, round(s, 9)) for (i, _, w), s in want.items())
+
+
+def test_near_duplicates_broadcast_nothing(spark, folder):
+    """Small tables of ids meet by merge: what is broadcast is held by the driver, several times over, in every step."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    begun = store.executionsCount()
+    found = jaccard.jaccard_join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), 5, (80, 100))
+    steps = {r.doc_id: r.component_id for r in found.where("doc_id < 400").collect()}
+    assert steps[300] == steps[200] == 20 and steps[1] == 1
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(begun, store.executionsCount())]
+    assert len(plans) > 5
+    # The one join with whole texts is left to Spark: a few members' ids may go to where the texts are.
+    assert [p.count("BroadcastExchange") for p in plans if "BroadcastExchange" in p and "text_key" not in p] == []
