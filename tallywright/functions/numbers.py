@@ -39,6 +39,12 @@ def amount(s: Column) -> Column:
     return F.when(single, F.when(bare.rlike(shape), number(bare))).when(may, F.when(minus, -value).otherwise(value))
 
 
+def is_amount(s: Column) -> Column:
+    """Whether amount() finds one, false for null; a cell without parts is told by its shape."""
+    shape = r"^[원\s]*[+\-]?[원\s]*[\d,][\d,원\s]*(?:\.[원\s]*\d[\d원\s]*)?\z"
+    return F.coalesce(F.when(s.rlike(r"[|()]"), amount(s).isNotNull()).otherwise(s.rlike(shape) & s.rlike(r"\d")), F.lit(False))
+
+
 def cell_number(s: Column) -> Column:
     """The amount of a cell in which a thousands comma may have been read as a dot."""
     return amount(F.regexp_replace(s, r"([.,]\d{3})\.(\d{3})(?!\d)", "$1,$2"))

@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from tallywright.functions import numbers as N
 from tallywright.functions import text as S
 from tallywright.functions import vocabulary as V
-from tallywright.operators import totals
-from tallywright.plans import headered, screens
+from tallywright.plans import headered, screens, sheets
 from tallywright.sources.scratch import stored
 
 SCREEN = ["batch_id", "file"]
-# The name of a row that gives its screen's own total, how sure a bound row is, the lines that a label is
-# looked for in, the letters from which a card's word may go on, and what a label looks like.
-SCREEN_TOTAL, SURE, LABEL_LINES, CARD_LETTERS = "__screen_total__", 0.95, 6, 3
-LABEL = r"\d{4}-\d{4}-\d{2}|\d{8,}|\["
+# The name of a row that gives its screen's own total, how sure a bound row is, and the letters from which a
+# card's word may go on.
+SCREEN_TOTAL, SURE, CARD_LETTERS = "__screen_total__", 0.95, 3
+ROW_FIELDS = ("row", "name", "qty", "value", "cost", "pnl", "price", "account")
+ROWS = "array<struct<row:bigint,name:string,qty:double,value:double,cost:double,pnl:double,price:double,account:string>>"
 
 
 def _bare(text: Column) -> Column:
@@ -56,61 +56,98 @@ def card_totals(top: DataFrame) -> DataFrame:
     return found.groupBy(*SCREEN).agg(F.min_by("total", "rank").alias("total"))
 
 
-def labels(b: DataFrame) -> DataFrame:
-    """(screen, label): the first of the top lines that holds an account number or a square bracket, its boxes joined."""
-    ranked = b.groupBy(*SCREEN, "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "box_id", "text"))), lambda c: c["text"]), " ").alias("t"))
-    rank = F.row_number().over(Window.partitionBy(*SCREEN).orderBy("line"))
-    near = ranked.withColumn("rank", rank).where((F.col("rank") <= LABEL_LINES) & F.col("t").rlike(LABEL))
-    return near.groupBy(*SCREEN).agg(F.min_by("t", "rank").alias("label"))
+def _card(lines: str) -> Column:
+    """card_totals() of one screen's lines of (amount, label)."""
 
+    def card(line: Column, i: Column) -> Column:
+        label = F.array_position(F.transform(line, lambda c: c["label"]), F.lit(True)) - 1
+        beside = _first(F.filter(F.transform(line, lambda c, k: F.when(k != label, c["amount"])), lambda a: a.isNotNull()))
+        below = F.get(lines, i + 1)
+        return F.when(label >= 0, F.coalesce(beside, F.when(F.size(below) == 1, _first(below)["amount"])))
 
-def _found_rows(b: DataFrame, columns: DataFrame) -> DataFrame:
-    """(screen, row, name, qty, value, cost, pnl, price, account) of both kinds of screens."""
-    table = headered.header_rows(b, columns)
-    sums = N.screen_arithmetic(F.col("qty"), F.col("cost_unit"), F.col("price"), F.col("value"))
-    table = table.withColumn("_s", sums).select(
-        *SCREEN, "row", "name", "qty", F.round("_s.value", 2).alias("value"), F.coalesce("cost", F.round("_s.cost", 2)).alias("cost"), "pnl", "price",
-        F.lit(None).cast("string").alias("account"),
-    )
-    lists = screens.placed_list_rows(stored(b.join(columns.select(SCREEN).hint("merge"), SCREEN, "left_anti"), "list-boxes"))
+    return _first(F.filter(F.transform(lines, card), S.truthy))
+
+
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
+
+
+def _table_rows() -> Column:
+    """ROWS of a screen with a header, from what ``sheets.read`` gives."""
+
+    def told(r: Column) -> Column:
+        v = headered.typed(r["name"], r["shares"], {k: r[k] for k in headered.FIELDS})
+        return F.struct(r["row"].alias("row"), *[v[k].alias(k) for k in ("name", "qty", "value", "cost", "pnl", "price", "cost_unit")], r["value"].isNotNull().alias("valued"))
+
+    def worked_out(r: Column) -> Column:
+        s = N.screen_arithmetic(r["qty"], r["cost_unit"], r["price"], r["value"])
+        value, cost = F.round(s["value"], 2).alias("value"), F.coalesce(r["cost"], F.round(s["cost"], 2)).alias("cost")
+        return F.struct(r["row"].alias("row"), r["name"].alias("name"), r["qty"].alias("qty"), value, cost, r["pnl"].alias("pnl"), r["price"].alias("price"), F.lit(None).cast("string").alias("account"))
+
+    kept = F.filter(F.transform("rows", told), lambda r: (r["name"] != "") | r["valued"])
+    return F.transform(kept, worked_out).cast(ROWS)
+
+
+def _list_rows(read: DataFrame) -> DataFrame:
+    """(screen, rows) of screens without a header."""
+    lists = screens.placed_list_rows(read.where("not framed").select(*SCREEN, F.inline("boxes")))
     nothing = F.lit(None).cast("double")
-    lists = lists.select(*SCREEN, "row", "name", "qty", "value", nothing.alias("cost"), "pnl", nothing.alias("price"), "account")
-    return table.unionByName(lists)
+    row = F.struct("row", "name", "qty", "value", nothing.alias("cost"), "pnl", nothing.alias("price"), "account")
+    return lists.groupBy(*SCREEN).agg(F.sort_array(F.collect_list(row)).cast(ROWS).alias("rows"))
+
+
+def _coherent(rows: str) -> Column:
+    """Rows as ``totals.coherent`` keeps them: those of accounts, or those of categories, where they are two and half of all."""
+    flags = lambda r: [F.size(S.account_tokens(r["name"])) > 0, S.is_category(r["name"])]
+    marked = F.transform(rows, lambda r: F.struct(r.alias("r"), *[F.coalesce(f, F.lit(False)).alias(k) for k, f in zip("ac", flags(r), strict=True)]))
+
+    def chosen(m: Column) -> Column:
+        n = {"a": F.filter(m, lambda x: x["a"]), "c": F.filter(m, lambda x: x["c"])}
+        most = lambda k: (F.size(n[k]) >= 2) & (F.size(n[k]) * 2 >= F.size(m))
+        return F.transform(F.when(most("a"), n["a"]).when(most("c"), n["c"]).otherwise(m), lambda x: x["r"])
+
+    return F.transform(F.array(marked), chosen)[0]
 
 
 def bind(boxes: DataFrame) -> DataFrame:
-    """(screen, row_no, broker, accountType, name, assetClass, currency, qty, price, value, cost, pnl, confidence).
+    """(screen, row_no, broker, accountType, name, assetClass, currency, qty, price, value, cost, pnl, confidence) of boxes in any order, as ``bound``."""
+    return bound(sheets.by_screen(boxes))
+
+
+def bound(pieces: DataFrame) -> DataFrame:
+    """bind() of (screen, cells), where a screen's rows lie behind each other in one partition.
 
     Rows of one screen that are mostly accounts, or mostly categories, are only those. A row that is named like a
     figure of the screen is no holding; one named like a value gives the screen's total, as ``SCREEN_TOTAL``.
     Where a row has the account line above it, that is its broker and account type; else the screen's label.
+    A screen is one row from the reading on; only boxes of screens without a header are rows again.
     """
-    b = stored(screens.placed(boxes), "placed")
-    columns = stored(headered.frames(b), "frames")
-    rows = _found_rows(b, columns)
-    rows = totals.coherent(rows, SCREEN, F.size(S.account_tokens(F.col("name"))) > 0, S.is_category(F.col("name")))
-    rows = rows.withColumn("name", F.trim("name")).where(F.length("name") >= 2)
-    rows = stored(rows.withColumn("_figure", S.is_field_label(F.col("name"))), "bound-rows")
-    named = rows.where(F.col("_figure") & F.trim(F.regexp_replace("name", r"\(.*?\)", "")).isin(*V.HEADERS["value"]) & F.col("value").isNotNull())
-    own = named.groupBy(*SCREEN).agg(F.min_by("value", "row").alias("own"))
-    kept = rows.where(~F.col("_figure")).drop("_figure")
-    top = stored(top_lines(b, columns), "top-lines")
-    amounts = top.select(F.struct(*SCREEN).alias("s"), F.col("rank").alias("line"), F.posexplode("cells").alias("i", "c")).select("s", "line", "i", "c.amount")
-    sums = totals.sum_matched(kept.select(F.struct(*SCREEN).alias("s"), "value"), amounts, "s", "value", ["line", "i"], "line", "amount").select("s.*", F.col("total").alias("summed"))
-    total = own.hint("merge").join(card_totals(top), SCREEN, "full").join(sums.hint("merge"), SCREEN, "full").select(*SCREEN, F.coalesce("own", "total", "summed").alias("value"))
-    texts = b.groupBy(*SCREEN).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "box_id", "text"))), lambda c: c["text"]), " ").alias("all"))
-    head = top.groupBy(*SCREEN).agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cells"))), lambda c: F.transform(c["cells"], lambda x: x["text"]))), " ").alias("head"))
-    said = texts.hint("merge").join(labels(b), SCREEN, "left").join(head.hint("merge"), SCREEN, "left")
-    broker = S.blank_to_null(F.trim(F.concat_ws(" ", S.canonical_broker(F.col("all")), "label")))
-    kind = F.coalesce(S.known_account_type(F.col("label")), S.known_account_type(F.col("head")))
-    told = said.select(*SCREEN, broker.alias("_broker"), kind.alias("_type"))
-    full = kept.hint("merge").join(told, SCREEN, "left").select(
-        *SCREEN, F.col("row").alias("row_no"), F.coalesce("account", "_broker").alias("broker"), F.coalesce(S.known_account_type(F.col("account")), "_type").alias("accountType"),
-        "name", S.asset_class(F.col("name")).alias("assetClass"), F.lit(None).cast("string").alias("currency"), "qty", "price", "value", "cost", "pnl", F.lit(SURE).alias("confidence"),
-    )
-    empty = lambda c: F.lit(None).cast(full.schema[c].dataType).alias(c)
-    sure = total.select(
-        *SCREEN, F.lit(-1).cast("long").alias("row_no"), *[empty(c) for c in ("broker", "accountType")], F.lit(SCREEN_TOTAL).alias("name"),
-        *[empty(c) for c in ("assetClass", "currency", "qty", "price")], "value", *[empty(c) for c in ("cost", "pnl")], F.lit(SURE).alias("confidence"),
+    read = stored(sheets.read(pieces), "read")
+    facts = ["label", "firms", "top"]
+    table = read.where("framed").select(*SCREEN, *facts, _table_rows().alias("rows"))
+    lists = read.where("not framed").select(*SCREEN, *facts).hint("merge").join(_list_rows(read), SCREEN, "left")
+    s = table.unionByName(lists.withColumn("rows", F.coalesce("rows", F.array().cast(ROWS))))
+    s = s.withColumn("rows", _coherent("rows"))
+    named = lambda r: F.struct(*[(F.trim(r[k]) if k == "name" else r[k]).alias(k) for k in ROW_FIELDS], S.is_field_label(F.trim(r["name"])).alias("figure"))
+    s = s.withColumn("rows", F.transform(F.filter("rows", lambda r: F.length(F.trim(r["name"])) >= 2), named))
+    own = F.filter("rows", lambda r: r["figure"] & F.trim(F.regexp_replace(r["name"], r"\(.*?\)", "")).isin(*V.HEADERS["value"]) & r["value"].isNotNull())
+    own = F.array_min(F.transform(own, lambda r: F.struct(r["row"].alias("row"), r["value"].alias("value"))))["value"]
+    cells = F.transform("top", lambda line: F.transform(line, lambda c: F.struct(N.cell_number(c).alias("amount"), is_card_label(c).alias("label"))))
+    s = s.select(*SCREEN, "label", "firms", "top", own.alias("own"), F.filter("rows", lambda r: ~r["figure"]).alias("rows"), cells.alias("cells"))
+    valued = F.filter(F.transform("rows", lambda r: r["value"]), S.truthy)
+    s = s.withColumn("_sum", F.when(F.size(valued) >= 2, F.aggregate(valued, F.lit(0.0), lambda a, v: a + v)))
+    near = F.filter(F.transform(F.flatten("cells"), lambda c: c["amount"]), lambda a: S.truthy(a) & (F.abs(a - F.col("_sum")) <= V.SUM_MATCH * F.col("_sum")) & (F.col("_sum") > 0))
+    total = F.coalesce("own", _card("cells"), _first(near))
+    head = F.array_join(F.flatten("top"), " ")
+    broker = S.blank_to_null(F.trim(F.concat_ws(" ", S.canonical_broker(F.col("firms")), "label")))
+    kind = F.coalesce(S.known_account_type(F.col("label")), S.known_account_type(head))
+    s = s.select(*SCREEN, "rows", total.alias("_total"), broker.alias("_broker"), kind.alias("_type"))
+    fixed = {"name": F.lit(SCREEN_TOTAL), "value": F.col("_total"), "row": F.lit(-1)}
+    last = F.when(F.col("_total").isNotNull(), F.array(F.struct(*[fixed.get(k, F.lit(None)).alias(k) for k in ROW_FIELDS], F.lit(True).alias("figure"))))
+    of = "array<struct<" + ROWS[len("array<struct<") : -2] + ",figure:boolean>>"
+    rows = s.select(*SCREEN, "_broker", "_type", F.inline(F.concat(F.col("rows").cast(of), F.coalesce(last.cast(of), F.array().cast(of)))))
+    told = lambda c: F.when(~F.col("figure"), c)
+    return rows.select(
+        *SCREEN, F.col("row").alias("row_no"), told(F.coalesce("account", "_broker")).alias("broker"), told(F.coalesce(S.known_account_type(F.col("account")), "_type")).alias("accountType"),
+        "name", told(S.asset_class(F.col("name"))).alias("assetClass"), F.lit(None).cast("string").alias("currency"), "qty", "price", "value", "cost", "pnl", F.lit(SURE).alias("confidence"),
     )
-    return full.unionByName(sure)

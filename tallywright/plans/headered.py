@@ -166,6 +166,13 @@ def names(fragments: DataFrame) -> DataFrame:
     return fragments.groupBy(*SCREEN, "row").agg(name.alias("name"), F.max_by(shares, F.when(shares.isNotNull(), place)).alias("shares"))
 
 
+def typed(name: Column, shares: Column, texts: dict[str, Column]) -> dict[str, Column]:
+    """The fields of a row from its joined name, the quantity beside it, and its texts by field."""
+    number = {k: N.cell_number(texts[k]) for k in FIELDS if k not in ("qty", "rate")}
+    qty = F.coalesce(N.share_quantity(F.trim(shares)), N.share_quantity(F.trim(texts["qty"])), N.cell_number(texts["qty"]))
+    return {"name": F.trim(F.regexp_replace(name, r"\s+", " ")), "qty": qty, **number, "rate": texts["rate"]}
+
+
 def header_rows(b: DataFrame, columns: DataFrame) -> DataFrame:
     """(screen, row, name, qty, value, cost, pnl, price, cost_unit, rate) of screens with a header.
 

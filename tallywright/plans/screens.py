@@ -75,7 +75,7 @@ def placed_list_rows(b: DataFrame) -> DataFrame:
     quantities = b.where("qty is not null").select(*SCREEN, "cy", "qty", "box_id", reach)
     counted = asof.nearest_join(quantities, right, SCREEN, "cy", "label", float("inf")).where(F.col("distance") <= F.col("reach"))
     first = counted.groupBy(*SCREEN, "label").agg(F.min_by("qty", F.struct("distance", "box_id")).alias("qty"))
-    out = rows.where(F.size("_free") > 0).join(first, [*SCREEN, "label"], "left")
+    out = rows.where(F.size("_free") > 0).hint("merge").join(first, [*SCREEN, "label"], "left")
     number = F.row_number().over(Window.partitionBy(*SCREEN).orderBy(F.col("label.cy"), F.col("label.text"))) - 1
     return out.select(
         *SCREEN,

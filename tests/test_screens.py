@@ -1,10 +1,15 @@
 """Screens with headers, cards and labels, box by box."""
 
+import random
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions import numbers
 from tallywright.operators import matching, sequences
-from tallywright.plans import bind, headered, screens
+from tallywright.plans import bind, headered, screens, sheets
 
 BOXES = "batch_id string, file string, box_id long, text string, x double, y double, w double, h double"
 
@@ -144,3 +149,50 @@ def test_bound_rows_are_not_broadcast(spark):
 
 def test_no_boxes(spark):
     assert bind.bind(spark.createDataFrame([], BOXES)).count() == 0
+
+
+def _screen_of(rng, k):
+    """Boxes of a screen that is mostly in order: rows of two pitches, missing cells, ties, lines of an index, and sometimes no header."""
+    out = [*TOP, *(HEADER if rng.random() < 0.8 else HEADER[:1])]
+    y = 300
+    for i in range(rng.randrange(1, 7)):
+        cells = row(i, f"Name {i}", rng.choice(["1,000원", "2.000", "-30", "(5%)-7", ""]), rng.choice(["+1", "3.5%", "-2(1%)"]), rng.choice(["900", "10주", "x"]), y)
+        out += [c for c in cells if rng.random() < 0.85] + ([("12주", 40, y + 60)] if rng.random() < 0.4 else []) + ([("1,0", -1050, y), ("2,0", -1050, y)] if rng.random() < 0.2 else [])
+        y += rng.choice([55, 90, 200, 200, 200])
+    return [*out, *([("KOSDAQ", 40, y)] if rng.random() < 0.3 else [])]
+
+
+def test_screens_read_in_one_pass_are_the_same(spark):
+    """Arrays give what windows and joins give, also where a screen goes over several batches."""
+    rng = random.Random(5)
+    boxes = reduce(DataFrame.unionByName, [placed(spark, *_screen_of(rng, k), file=f"{k}.png") for k in range(12)]).localCheckpoint()
+    b = screens.placed(boxes).localCheckpoint()
+    columns = headered.frames(b).localCheckpoint()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        read = sheets.read(sheets.by_screen(boxes)).localCheckpoint()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = read.select("batch_id", "file", F.inline("rows")).withColumns(headered.typed(F.col("name"), F.col("shares"), {k: F.col(k) for k in headered.FIELDS}) | {"_v": F.col("value")}).where("name != '' or _v is not null")
+    told = lambda df, c: sorted(map(repr, df.select(*c).collect()))
+    assert len(told(columns, ["file"])) >= 4
+    assert told(rows, ["file", "row", "name", *headered.FIELDS]) == told(headered.header_rows(b, columns), ["file", "row", "name", *headered.FIELDS])
+    unframed = ["file", "line", "box_id", "text", "x", "cy", "h0", "x0", "span", "top"]
+    assert told(read.where("not framed").select("file", F.inline("boxes")), unframed) == told(b.join(columns, "file", "left_anti"), unframed)
+    top = bind.top_lines(b, columns).groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cells"))), lambda c: F.transform(c["cells"], lambda x: x["text"])).alias("top"))
+    assert told(read.where("size(top) > 0"), ["file", "top"]) == told(top, ["file", "top"])
+
+
+def test_bind_stores_a_screen_once(spark, monkeypatch):
+    """Boxes are neither stored nor shuffled again and again: one table of screens is."""
+    kept = []
+    for module in (bind, headered):
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: kept.append(name) or f(df, name))
+    bind.bind(placed(spark, *TOP, *HEADER, *row(0)))
+    assert kept == ["read"]
+
+
+def test_amounts_are_told_by_their_shape(spark):
+    texts = ["1", "1,000원", "+1 000", "원-3.5", ",", "+,", ",.5", "1.", "1.5.5", "1\n", "1 ", "", "원", "3.4%", "+1(2%)", "(5%)-7", "a|1", "1|2)", "1 . 5", "--1", "1-", "١", None, "9" * 400]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", numbers.is_amount(F.col("t")).alias("is"), numbers.amount(F.col("t")).isNotNull().alias("was"))
+    assert [r.t for r in df.collect() if r["is"] != r.was] == []
