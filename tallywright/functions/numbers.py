@@ -39,10 +39,21 @@ def amount(s: Column) -> Column:
     return F.when(single, F.when(bare.rlike(shape), number(bare))).when(may, F.when(minus, -value).otherwise(value))
 
 
+def is_plain_amount(s: Column) -> Column:
+    """Whether a cell without parts is an amount, by its shape; false for null."""
+    whole = ~(F.contains(s, F.lit("|")) | F.contains(s, F.lit("(")) | F.contains(s, F.lit(")")))
+    return F.coalesce(whole & s.rlike(r"^(?=[^\d]*\d)[원\s]*[+\-]?[원\s]*[\d,][\d,원\s]*(?:\.[원\s]*\d[\d원\s]*)?\z"), F.lit(False))
+
+
 def is_amount(s: Column) -> Column:
-    """Whether amount() finds one, false for null; a cell without parts is told by its shape."""
-    shape = r"^[원\s]*[+\-]?[원\s]*[\d,][\d,원\s]*(?:\.[원\s]*\d[\d원\s]*)?\z"
-    return F.coalesce(F.when(s.rlike(r"[|()]"), amount(s).isNotNull()).otherwise(s.rlike(shape) & s.rlike(r"\d")), F.lit(False))
+    """Whether amount() finds one; false for null."""
+    parts = F.contains(s, F.lit("|")) | F.contains(s, F.lit("(")) | F.contains(s, F.lit(")"))
+    return is_plain_amount(s) | F.coalesce(F.when(parts, amount(s).isNotNull()), F.lit(False))
+
+
+def is_share_quantity(s: Column) -> Column:
+    """Whether share_quantity() finds one; false for null."""
+    return F.coalesce(F.contains(s, F.lit("주")) & s.rlike(r"^(?=[,.]*\d)[\d,]+(?:\.\d+)?\s*주$"), F.lit(False))
 
 
 def cell_number(s: Column) -> Column:

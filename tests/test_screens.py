@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import numbers
 from tallywright.operators import matching, sequences
-from tallywright.plans import bind, headered, screens, sheets
+from tallywright.plans import bind, headered, screen_queries, screens, sheets
 
 BOXES = "batch_id string, file string, box_id long, text string, x double, y double, w double, h double"
 
@@ -196,3 +196,9 @@ def test_amounts_are_told_by_their_shape(spark):
     texts = ["1", "1,000원", "+1 000", "원-3.5", ",", "+,", ",.5", "1.", "1.5.5", "1\n", "1 ", "", "원", "3.4%", "+1(2%)", "(5%)-7", "a|1", "1|2)", "1 . 5", "--1", "1-", "١", None, "9" * 400]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", numbers.is_amount(F.col("t")).alias("is"), numbers.amount(F.col("t")).isNotNull().alias("was"))
     assert [r.t for r in df.collect() if r["is"] != r.was] == []
+
+
+def test_header_rows_deal_lines_out_once(spark):
+    """Boxes are made where an order's lines lie; neither they nor rows are shuffled or joined."""
+    plan = screen_queries.header_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
